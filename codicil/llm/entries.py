@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codicil.llm import decontaminate, html_blocks, packing, quality_rules, setsketch, token_shards, toxicity
+from codicil.llm import compaction, decontaminate, html_blocks, licenses, packing, quality_rules, setsketch, token_shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -37,11 +41,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.shard_and_read(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = (op1_html_main_text, op2_quality_rules, op4_best_fit_packing, op5_decontamination, op6_token_shards, op7_toxicity, op10_near_duplicates)
+QUERIES = (op1_html_main_text, op2_quality_rules, op3_warc_normaliser, op4_best_fit_packing, op5_decontamination, op6_token_shards, op7_toxicity, op8_sharding, op9_license_scan, op10_near_duplicates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
