@@ -5,11 +5,13 @@ spaced minimum ``floor(1 - log_b(x_i))`` of an exponential variable per shingle,
 union are the element-wise maximum (:func:`merge`). Equal runs of registers (bands) make texts meet.
 
 * Texts with the same set collapse to one class first, so copies never meet one another.
-* In each band group, every class is paired with one centre; what stays outside the centre's component is
-  paired again with another centre, and at last with every class of another component in its group. Classes
-  that are connected already need no pair, so a large group of near copies costs about one pair per class.
-* A pair is estimated from both register sets by maximum likelihood; only pairs far below the threshold
-  (over 5 standard deviations) are left out. The rest are confirmed on their full shingle sets.
+* In each band group, every class is paired with one centre, the class that meets most others over all its
+  bands (the likely origin of near copies). What stays outside the centre's component is paired again with
+  another centre, and at last with every class of another component in its group. Classes that are connected
+  already need no pair, so a large group of near copies costs about one pair per class.
+* A pair is first held to bounds over 4 standard deviations below the threshold: the size ratio, the agreement
+  of the registers' lowest bits inside the join, then the maximum-likelihood estimate from both register sets.
+  The rest are confirmed on their full shingle sets. Only texts of classes that met another are moved for it.
 
 Edge cases: a null, empty or white-space-only text has an empty set, is linked with nothing and kept. A text
 of fewer words than a shingle is one shingle. Rows with a null id are returned with a null component and
@@ -25,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codicil.llm.scratch import Scratch
@@ -36,11 +38,15 @@ REGISTERS, ROWS = 125, 5
 #: SetSketch parameters: base, rate, largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 #: Estimates this far below the threshold are left out (the deviation at 0.8 is 0.036).
-SLACK = 0.2
+SLACK = 0.16
+#: Of the registers' lowest bits, how many may differ: at 0.8 the mean is 12.5 and the deviation 3.4.
+BITS = 28
 #: Rounds with one centre in each group before all pairs of what is left.
 CENTRE_ROUNDS = 3
+#: Most ids that are broadcast to pick the texts of candidates; beyond it the two are shuffled together.
+BROADCAST_IDS = 2_000_000
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, registers binary"
 
 
 @cache
@@ -85,14 +91,18 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 hashes, bounds, _, _ = hash_words(*text_bytes(part.column(1)))
-                n, a, b, regs = [], [], [], []
+                n, a, b, regs, bits = [], [], [], [], []
                 for s in shingles(hashes, bounds, k):
                     n.append(len(s))
                     x, y = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                     a.append(x)
                     b.append(y)
-                    regs.append(registers(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "registers"])
+                    own = registers(s) if len(s) else np.zeros(REGISTERS, "<u2")
+                    regs.append(own.tobytes() if len(s) else None)
+                    bits.append(np.frombuffer(np.packbits(np.append(own & 1, [0, 0, 0]).astype(bool)).tobytes(), np.int64))
+                low, high = np.array(bits, np.int64).reshape(-1, 2).T
+                cols = [part.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, a, b, low, high)), pa.array(regs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_a", "set_b", "bits_a", "bits_b", "registers"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
@@ -115,6 +125,13 @@ def band_keys(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "registers").mapInArrow(run, "band long, doc_id long")
 
 
+def _could(x: str, y: str, percent: int) -> Column:
+    """Whether two sketched rows, with columns prefixed x and y, can be at the threshold by sizes and lowest bits."""
+    size = 100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n")
+    differ = F.bit_count(F.col(f"{x}bits_a").bitwiseXOR(F.col(f"{y}bits_a"))) + F.bit_count(F.col(f"{x}bits_b").bitwiseXOR(F.col(f"{y}bits_b")))
+    return size & (differ <= BITS if percent >= 80 else F.lit(True))
+
+
 def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Pairs whose estimate isn't far below the threshold."""
 
@@ -127,11 +144,16 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 yield part.select([0, 1]).filter(pa.array(est >= least - SLACK))
 
     side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"))
-    small = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least)  # a necessary size ratio
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(small)
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
     return joined.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(run, "a long, b long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with these distinct ids; ids are broadcast only if they were counted to be few."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on their full sets."""
 
@@ -144,8 +166,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
                 good = [100 * n >= percent * (len(s) + len(t) - n) for n, s, t in zip(same, x, y, strict=True)]
                 yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t_{s}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
     return joined.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long").distinct()
@@ -188,40 +209,53 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
         classes = scratch.save(classes, "classes")
         reps = full.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-        reps = scratch.save(reps.select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id", "n_shingles", "registers"]), "reps")
-        reps_docs = docs
+        reps = scratch.save(reps.drop("set_a", "set_b").distinct(), "reps")
         bands = scratch.save(band_keys(reps), "bands")
-        shared = bands.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last")
-        met = scratch.save(bands.join(shared.select("band", "centre"), "band"), "met")
+        shared = bands.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+        met = scratch.save(bands.join(shared.where("first < last").select("band", F.col("n").alias("meets")), "band"), "met")
         scratch.drop("bands")
+        weight = met.groupBy("doc_id").agg(F.sum("meets").alias("weight"))
+        facts = reps.select("doc_id", F.col("n_shingles").alias("n"), "bits_a", "bits_b").join(weight, "doc_id")
+        met = scratch.save(met.select("band", "doc_id").join(facts, "doc_id"), "facts")
+        scratch.drop("met")
+        # ids that met another one, once; the texts that later rounds move are among these
+        candidates = scratch.save(_texts(docs, met.select("doc_id").distinct()), "candidates")
 
         links = comps = checked = None
-        pairs = met.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+        ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        facts_of = lambda rows, s, *more: rows.select("band", *(F.col(c).alias(f"{s}{c}") for c in ("doc_id", "n", "bits_a", "bits_b", *more)))
+
+        def starred(rows: DataFrame, others: DataFrame) -> DataFrame:
+            """Pairs of each band's heaviest row of rows with the band's others."""
+            pick = F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "doc_id", "n", "bits_a", "bits_b")).alias("c")
+            centre = rows.groupBy("band").agg(pick).select("band", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("doc_id", "n", "bits_a", "bits_b")))
+            met_it = facts_of(others, "o_").join(centre, "band").where("o_doc_id <> c_doc_id").where(_could("o_", "c_", percent))
+            return met_it.select(F.col("c_doc_id").alias("a"), F.col("o_doc_id").alias("b"))
+
+        pairs = ordered(starred(met, met))
         for turn in range(CENTRE_ROUNDS + 1):
             pairs = scratch.save(pairs, f"pairs-{turn}")
             if pairs.isEmpty():
                 break
             likely = scratch.save(_likely(pairs, reps, percent / 100), f"likely-{turn}")
-            found = scratch.save(_confirmed(likely, reps_docs, k, percent), f"links-{turn}")
+            found = scratch.save(_confirmed(likely, candidates, k, percent), f"links-{turn}")
             links = found if links is None else links.union(found)
             checked = pairs if checked is None else checked.union(pairs)
             comps = components(links, scratch, f"comps-{turn}")
             if turn == CENTRE_ROUNDS:
                 break
-            now = met.select("band", "doc_id").join(comps, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+            now = met.join(comps, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
             split = now.groupBy("band").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low < high").select("band", "high")
             open_ = scratch.save(now.join(split, "band"), f"open-{turn}")
             if open_.isEmpty():
                 break
-            if turn + 1 < CENTRE_ROUNDS:  # a centre from the component with the largest id, met with all others
-                centre = open_.where("component_id = high").groupBy("band").agg((F.min if turn % 2 else F.max)("doc_id").alias("centre"))
-                pairs = open_.where("component_id <> high").join(centre, "band").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
+            if turn + 1 < CENTRE_ROUNDS:  # a centre from one component, met with the others
+                pairs = starred(open_.where("component_id = high"), open_.where("component_id <> high"))
             else:
-                other = open_.select("band", F.col("doc_id").alias("a"), F.col("component_id").alias("c"))
-                pairs = open_.join(other, "band").where("component_id < c").select("a", F.col("doc_id").alias("b"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+                sides = [facts_of(open_, s, "component_id") for s in ("x_", "y_")]
+                pairs = sides[0].join(sides[1], "band").where(F.col("x_component_id") < F.col("y_component_id")).where(_could("x_", "y_", percent))
+                pairs = pairs.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"))
+            pairs = ordered(pairs).join(checked, ["a", "b"], "left_anti")
 
         member = sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left")
         member = member.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
