@@ -94,14 +94,16 @@ class Composer:
             out += ["<button>", (short(),), "</button>"]
         else:
             for _ in range(r.choice((1, 1, 2, 4)) if kind != "comment" else r.randint(1, 6)):
-                inner = r.choice(("p", "p", "div", "span", ""))
+                inner = r.choice(("p", "p", "div", "span", "", ""))
                 if kind == "comment" and r.random() < 0.6:
                     out += [f'<div class="{r.choice(BAD["comment"])}"><{r.choice(("h4", "div", "p"))}>', (self.word(),)]
                     inner = "p"
                 text = self.prose() if style == "prose" or style == "mixed" and r.random() < 0.5 else short()
+                if r.random() < 0.35:  # a line like one of the article's
+                    text = self.sentence(r.choice((1, 1, 2, 3, 6, 10)))
                 if kind == "foot" and r.random() < 0.6:
                     text = "&copy; " + text
-                out += [f"<{inner}>" if inner else "", (self.inline(text),), f"</{inner}>" if inner else " <hr>"]
+                out += [f"<{inner}>" if inner else "", (self.inline(text),), f"</{inner}>" if inner else r.choice((" <hr>", ""))]
         out.append(f"</{tag}>")
 
     def page(self) -> tuple[str, list[tuple[str, bool]]]:
@@ -113,7 +115,7 @@ class Composer:
         wrapped = r.random() < 0.3
         if wrapped:
             out.append(f'<div class="{r.choice(("wrapper", "container", "site", "page", "layout"))}">')
-        for kind in ("notice", "head", "nav", "ad", "form", "nav"):
+        for kind in ("notice", "head", "nav", "ad", "form", "nav", "ad"):
             if r.random() < 0.45:
                 self.boiler(kind, out)
         if r.random() < 0.2:
@@ -225,7 +227,7 @@ def _backward(x: np.ndarray, u: np.ndarray, kept: list, d_out: np.ndarray, w: np
     return x.reshape(-1, x.shape[2]).T @ flat, d_u, flat.sum(0), dz_all @ w.T
 
 
-def train(steps: int = 700, batch: int = 24, seed: int = 5) -> dict[str, np.ndarray]:
+def train(steps: int = 600, batch: int = 24, seed: int = 5) -> dict[str, np.ndarray]:
     """Weights after that many batches of fresh pages."""
     p = init(seed)
     first = {k: np.zeros_like(v) for k, v in p.items()}
