@@ -1,0 +1,28 @@
+"""Schemas of the core tables and in-flight records."""
+
+from __future__ import annotations
+
+REFERENCES = "array<struct<title:string,part:string,chapter:string,citation_url:string>>"
+CITATIONS = "array<struct<policy_id:string,policy_version:int,section_ref:string,quote:string>>"
+
+POLICIES = f"""id string, name string, version int, status string, content string, content_hash string, content_sha256 string,
+    effective_from date, effective_to date, document_number string, title string, source string, source_url string,
+    document_type string, publication_date date, citation string, cfr_references {REFERENCES}, docket_ids array<string>,
+    effective_date_source string, dataset_version string, correction_of string, created_by string, created_at timestamp"""
+SECTIONS = "id string, policy_id string, section_ref string, heading string, text string, position int"
+SECTION_EMBEDDINGS = "section_id string, model_id string, content_sha256 string, embedding array<float>, created_at timestamp"
+PROMPTS = "id string, name string, version int, system_prompt string, output_schema_version string, active boolean, created_by string, created_at timestamp"
+DOCUMENTS = "id string, title string, source string, content string, content_hash string, created_by string, created_at timestamp"
+CASES = f"""id string, document_id string, prompt_template_id string, idempotency_key string, status string, requested_by string,
+    outcome string, confidence double, rationale string, citations {CITATIONS}, validation_errors array<string>,
+    injection_signals array<string>, redaction_count int, error_code string, worker_id string, fencing_token int, attempts int,
+    lease_expires_at timestamp, created_at timestamp, started_at timestamp, completed_at timestamp"""
+AUDIT_EVENTS = "id string, event_type string, actor_id string, case_id string, correlation_id string, details string, created_at timestamp"
+OUTBOX = "id string, case_id string, event_type string, payload string, status string, attempts int, fencing_token int, available_at timestamp, lease_expires_at timestamp, delivered_at timestamp, last_error string, created_at timestamp"
+RUNS = "run_id string, params string, started_at timestamp, finished_at timestamp, counts string, status string, dataset_version string, error string"
+PARSED = "array<struct<section_ref:string,heading:string,paragraphs:array<string>>>"
+SOURCE_DOCUMENTS = f"""document_number string, title string, document_type string, publication_date date, effective_on date, citation string,
+    source_url string, cfr_references {REFERENCES}, docket_ids array<string>, correction_of string, sections {PARSED},
+    source_xml_sha256 string, parse_error string"""
+
+STATUSES = {"policy": ("DRAFT", "ACTIVE", "RETIRED"), "case": ("QUEUED", "ANALYZING", "REVIEW_REQUIRED", "APPROVED", "REJECTED", "FAILED"), "notification": ("PENDING", "DELIVERING", "DELIVERED", "DEAD"), "run": ("RUNNING", "SUCCEEDED", "FAILED")}
