@@ -188,11 +188,14 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns; statistics of the labelled rows teach."""
-    names = docs.columns
+    """The rows of docs that are kept, with all their columns.
+
+    Rows are written once beside their statistics, so no text is shuffled and no statistic computed twice.
+    """
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text"))
+    lasting = Scratch(docs.sparkSession, "judged")
+    judged = lasting.save(statistics(row).drop("text"), "rows")
+    lasting.close_at_exit()
     with Scratch(docs.sparkSession, "quality") as scratch:
-        ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-        rules = learn(scratch.save(statistics(taught).drop("text"), "stats"), labels, scratch)
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col("text"))
-    return statistics(row).where(verdict(rules)).select("_row.*")
+        rules = learn(judged.select(F.col("_row.doc_id").cast("long").alias("doc_id"), *(c for c in judged.columns if c != "_row")), labels, scratch)
+    return judged.where(verdict(rules)).select("_row.*")

@@ -74,16 +74,18 @@ class Scratch:
 
         The result stays until the driver's interpreter ends.
         """
-        path = f"{shared_dir(self.spark)}/codicil/result-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(path)
-        spark = self.spark
+        lasting = Scratch(self.spark, "result")
+        lasting.close_at_exit()
+        return lasting.save(df, "rows")
+
+    def close_at_exit(self) -> None:
+        """Keep the tables until the driver's interpreter ends."""
 
         def clean() -> None:
             with contextlib.suppress(Exception):
-                delete(spark, path)
+                self.close()
 
         atexit.register(clean)
-        return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
         delete(self.spark, self.root)
