@@ -7,8 +7,9 @@ union are the element-wise maximum (:func:`merge`). Equal runs of registers (ban
 * Texts with the same set collapse to one class first, so copies never meet one another.
 * In each band group, every class is paired with one centre, the class that meets most others over all its
   bands (the likely origin of near copies). What stays outside the centre's component is paired again with
-  another centre, and at last with every class of another component in its group. Classes that are connected
-  already need no pair, so a large group of near copies costs about one pair per class.
+  another centre while such rounds add links, and at last always with every class of another component in its
+  group, in cells of about ``CELL`` by ``CELL`` classes. Classes that are connected already need no pair, so a
+  large group of near copies costs about one pair per class.
 * A pair is first held to bounds over 4 standard deviations below the threshold: the size ratio, the agreement
   of the registers' lowest bits inside the join, then the maximum-likelihood estimate from both register sets.
   The rest are confirmed on their full shingle sets. Only texts of classes that met another are moved for it.
@@ -43,6 +44,8 @@ SLACK = 0.16
 BITS = 28
 #: Rounds with one centre in each group before all pairs of what is left.
 CENTRE_ROUNDS = 3
+#: Classes on either side of one cell of a group's pairs in the last round.
+CELL = 256
 #: Most ids that are broadcast to pick the texts of candidates; beyond it the two are shuffled together.
 BROADCAST_IDS = 2_000_000
 
@@ -232,30 +235,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             met_it = facts_of(others, "o_").join(centre, "band").where("o_doc_id <> c_doc_id").where(_could("o_", "c_", percent))
             return met_it.select(F.col("c_doc_id").alias("a"), F.col("o_doc_id").alias("b"))
 
+        def crossed(rows: DataFrame) -> DataFrame:
+            """All pairs of rows (with n_rows, those of the band) of one band and two components, a cell of the band in each task."""
+            cells = F.ceil(F.col("n_rows") / CELL).cast("int")
+            rows = rows.withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int"))
+            other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")
+            x = facts_of(rows.select("*", other), "x_", "component_id", "own", "other").withColumnsRenamed({"x_own": "row", "x_other": "column"})
+            y = facts_of(rows.select("*", other), "y_", "component_id", "own", "other").withColumnsRenamed({"y_own": "column", "y_other": "row"})
+            met_it = x.join(y, ["band", "row", "column"]).where(F.col("x_component_id") < F.col("y_component_id")).where(_could("x_", "y_", percent))
+            return met_it.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"))
+
         pairs = ordered(starred(met, met))
-        for turn in range(CENTRE_ROUNDS + 1):
+        turn, last = 0, False
+        while True:
             pairs = scratch.save(pairs, f"pairs-{turn}")
-            if pairs.isEmpty():
-                break
-            likely = scratch.save(_likely(pairs, reps, percent / 100), f"likely-{turn}")
-            found = scratch.save(_confirmed(likely, candidates, k, percent), f"links-{turn}")
-            links = found if links is None else links.union(found)
-            checked = pairs if checked is None else checked.union(pairs)
-            comps = components(links, scratch, f"comps-{turn}")
-            if turn == CENTRE_ROUNDS:
+            linked = False
+            if not pairs.isEmpty():
+                likely = scratch.save(_likely(pairs, reps, percent / 100), f"likely-{turn}")
+                found = scratch.save(_confirmed(likely, candidates, k, percent), f"links-{turn}")
+                checked = pairs if checked is None else checked.union(pairs)
+                linked = not found.isEmpty()
+            if linked:
+                links = found if links is None else links.union(found)
+                comps = components(links, scratch, f"comps-{turn}")
+            if last:
                 break
-            now = met.join(comps, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-            split = now.groupBy("band").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low < high").select("band", "high")
-            open_ = scratch.save(now.join(split, "band"), f"open-{turn}")
+            if comps is None:
+                now = met.withColumn("component_id", F.col("doc_id"))
+            else:
+                now = met.join(comps, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+            split = now.groupBy("band").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count(F.lit(1)).alias("n_rows"))
+            open_ = scratch.save(now.join(split.where("low < high").select("band", "high", "n_rows"), "band"), f"open-{turn}")
             if open_.isEmpty():
                 break
-            if turn + 1 < CENTRE_ROUNDS:  # a centre from one component, met with the others
+            turn += 1
+            last = turn == CENTRE_ROUNDS or not linked  # without a link the next centres would be the same
+            if last:
+                pairs = crossed(open_)
+            else:  # a centre from one component, met with the others
                 pairs = starred(open_.where("component_id = high"), open_.where("component_id <> high"))
-            else:
-                sides = [facts_of(open_, s, "component_id") for s in ("x_", "y_")]
-                pairs = sides[0].join(sides[1], "band").where(F.col("x_component_id") < F.col("y_component_id")).where(_could("x_", "y_", percent))
-                pairs = pairs.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"))
-            pairs = ordered(pairs).join(checked, ["a", "b"], "left_anti")
+            pairs = ordered(pairs)
+            if checked is not None:
+                pairs = pairs.join(checked, ["a", "b"], "left_anti")
 
         member = sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left")
         member = member.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))

@@ -357,6 +357,25 @@ def test_chain_of_near_copies(spark):
     assert got == brute_near(dict(rows), 2, 80)
 
 
+@pytest.mark.parametrize("cell", [2, 256])
+def test_pair_that_no_centre_links(spark, monkeypatch, cell):
+    base = [f"w{i}" for i in range(600)]
+
+    def variant(i, own):
+        out = base[:]
+        for j in range(own):
+            out[(j * 6 + i) * 7] = f"v{i}-{j}"
+        return " ".join(out)
+
+    rows = [(i, variant(i, 4 if i in (2, 3) else 12)) for i in range(6)]  # 2 and 3 at 0.87, the others at 0.67 to 0.76
+    want = brute_near(dict(rows), 5, 80)
+    assert [d for d, r in want.items() if not r[2]] == [3]
+    monkeypatch.setattr(setsketch, "CELL", cell)
+    monkeypatch.setattr(setsketch, "band_keys", lambda reps: reps.select(F.lit(1).cast("long").alias("band"), "doc_id"))
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+
+
 def test_estimate_is_near():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 2000, dtype=np.uint64)
