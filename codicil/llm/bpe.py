@@ -2,7 +2,8 @@
 
 The pre-tokeniser works on runs between single spaces independently of their neighbours, so the ids
 of each distinct run are kept and looked up again. A text in which white space touches a space
-(where a run's neighbours do matter) goes through the whole tokenizer instead.
+(where a run's neighbours do matter) goes through the whole tokenizer instead, and so does one that holds
+an added token such as ``<|endoftext|>``.
 """
 
 from __future__ import annotations
@@ -87,8 +88,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.first = _Runs(model, "")
         self.rest = _Runs(model, " ", self.first)
 
@@ -97,6 +98,8 @@ class Encoder:
             return np.empty(0, np.uint32)
         head, *tail = text.split(" ")
         try:
+            if any(t in text for t in self.added):
+                raise _Whole
             ids = self.first[head] + b"".join(map(self.rest.__getitem__, tail))
         except _Whole:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)

@@ -184,6 +184,13 @@ def test_packing(docs, odd):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_added_tokens_are_encoded():
+    tok = Tokenizer.from_file(bpe.default_path())
+    for text in ("a<|endoftext|>", "<|endoftext|>", "one <|endoftext|> two", "x <|endoftext|>\n\n y", "<|endoftext| >"):
+        assert bpe.encoder(bpe.default_path()).ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert 50256 in bpe.encoder(bpe.default_path()).ids("a<|endoftext|>")
+
+
 def test_plan_of_thirds():
     counts = np.zeros(31, np.int64)
     counts[[10, 15, 20]] = 100, 40, 60
