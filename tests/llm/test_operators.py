@@ -230,6 +230,22 @@ def test_benchmark_passages_are_found(spark):
     assert holding <= found and len(found - holding) <= 5
 
 
+def test_parts_of_long_items_and_short_items_are_found(spark, docs):
+    long = [f"q{i}" for i in range(200)]
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, "Who discovered quarkium"), (3, " "), (4, "the blorb, the blorb")], "item_id long, text string")
+    noise = [r.text.split() for r in docs.orderBy("doc_id").limit(60).collect()]
+    around = lambda i, words: " ".join(noise[i][:40] + words + noise[i + 1][:40])
+    planted = {i: (around(2 * i, long[a : a + 48]), 1) for i, a in enumerate((0, 16, 20, 77, 152))}
+    planted[10] = ("so who DISCOVERED quarkium then", 2)
+    planted[11] = ("the the blorb, the blorb", 4)
+    clean = {20: around(20, long[:12]), 21: "who discovered", 22: "quarkium", 23: "the blorb, the", 24: "discovered quarkium who"}
+    rows = [(i, t) for i, (t, _) in planted.items()] + list(clean.items())
+    df = spark.createDataFrame(rows, "doc_id long, text string").union(docs.select(F.col("doc_id") + 1000, "text"))
+    got = {r.doc_id: r.item_id for r in decontaminate.contamination(df, bench).where("contaminated").collect()}
+    assert got == {i: item for i, (_, item) in planted.items()}
+    assert decontaminate.clean_rows(df, bench).count() == df.count() - len(planted)
+
+
 def test_lcs_and_basis():
     assert decontaminate.lcs(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 1])) == 2
     basis = np.random.default_rng(1).standard_normal((5000, 8)).astype(np.float32)
