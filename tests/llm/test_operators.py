@@ -246,6 +246,22 @@ def test_parts_of_long_items_and_short_items_are_found(spark, docs):
     assert decontaminate.clean_rows(df, bench).count() == df.count() - len(planted)
 
 
+def test_items_among_rare_words_are_found(spark, monkeypatch):
+    items = [[f"item{i}word{j}" for j in range(15 + i)] for i in range(4)]
+    rare = iter(f"rare{i}" for i in range(10**6))
+    some = lambda n: [next(rare) for _ in range(n)]
+    rows = [(i * 100 + a, " ".join(some(32 + a) + w + some(40))) for i, w in enumerate(items) for a in range(16)]
+    rows += [(1000 + i, " ".join(some(90))) for i in range(100)]
+    hashes = decontaminate.folded(pa.array([" ".join(w for x in items for w in x)]))[0]
+    df = np.full(decontaminate.FEATURES + 1, 5, np.int64)  # of ten million texts
+    df[(hashes >> np.uint64(49)).astype(int)] = np.random.default_rng(5).integers(3 * 10**5, 3 * 10**6, len(hashes))
+    df[decontaminate.FEATURES] = 10**7
+    monkeypatch.setattr(decontaminate, "document_frequencies", lambda docs: df)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).where("contaminated").collect()
+    assert {(r.doc_id, r.item_id, r.coverage) for r in got} == {(d, d // 100, 1.0) for d, _ in rows if d < 1000}
+
+
 def test_lcs_and_basis():
     assert decontaminate.lcs(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 1])) == 2
     basis = np.random.default_rng(1).standard_normal((5000, 8)).astype(np.float32)
