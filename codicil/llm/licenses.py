@@ -4,7 +4,8 @@ Words are compared in lower case with marks as white space. Each template's thre
 least hash of every window of three is kept) into an inverted index hash -> (template, place). A text is winnowed
 in the same way, so any run of five words that it shares with a template hits the index. Hits on nearby diagonals
 make one candidate, which a local alignment within a band around its diagonal turns into matched words and a span.
-Of overlapping matches the one with most matched words is reported.
+A match must hold just the deciding words of its template (names, versions, "NonCommercial", "Lesser", "later" and the
+like), none missing and none more. Of overlapping matches the one with most matched words is reported.
 
 The index holds templates only and is small by construction; texts never leave their task.
 
@@ -14,6 +15,7 @@ table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,6 +49,54 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+_GNU = "under the terms of the GNU {0} as published by the Free Software Foundation"
+_HEADER = (
+    "This {1} is free software: you can redistribute it and/or modify it " + _GNU + "{2} This {1} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+    "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
+)
+for _name, _title, _work, _versions in (
+    ("GPL", "General Public License", "program", ("2", "3")),
+    ("LGPL", "Lesser General Public License", "library", ("2.1", "3")),
+    ("AGPL", "Affero General Public License", "program", ("3",)),
+    ("LGPL", "Library General Public License", "library", ("2",)),
+):
+    for _v in _versions:
+        _id = f"{_name}-{_v if '.' in _v else _v + '.0'}"
+        TEMPLATES.setdefault(_id, f"This work is licensed under the GNU {_title}, version {_v}.")
+        TEMPLATES.setdefault(f"{_id}-or-later", _HEADER.format(_title, _work, f"; either version {_v} of the License, or (at your option) any later version."))
+        TEMPLATES[f"{_id}-header"] = _HEADER.format(_title, _work, f", version {_v} of the License.")
+        TEMPLATES[f"{_id}-or-later-short"] = f"This work is licensed under the GNU {_title}, version {_v} or later."
+for _id, _title in (("", ""), ("-SA", "-ShareAlike"), ("-ND", "-NoDerivatives"), ("-NC", "-NonCommercial"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives")):
+    for _v in ("4.0", "3.0"):
+        _kind = "International" if _v == "4.0" else "Unported"
+        _long = f"This work is licensed under a Creative Commons Attribution{_title} {_v} {_kind} License."
+        if _long not in TEMPLATES.values():
+            TEMPLATES[f"CC-BY{_id}-{_v}-notice"] = _long
+        TEMPLATES.setdefault(f"CC-BY{_id}-{_v}" if f"CC-BY{_id}-{_v}" not in TEMPLATES else f"CC-BY{_id}-{_v}-short", f"Licensed under CC BY{_id} {_v}.")
+del TEMPLATES["CC-BY-NC-4.0-short"]  # the same words as CC-BY-NC-4.0
+_AS_IS = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"
+TEMPLATES["BSD-2-Clause"] = TEMPLATES["BSD"] + _AS_IS
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD"] + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission." + _AS_IS
+
+#: Words that tell a license from its neighbours; versions and clauses count only where the template has a version.
+NAMES = re.compile(r"\b(?:mit|apache|bsd|isc|mozilla|eclipse|artistic|boost|gnu|cc|creative commons|lesser|library general|affero)\b")
+CLAUSES = re.compile(r"\b(?:non ?commercial|share ?alike|no ?deriv\w*|nc|sa|nd|later)\b")
+VERSIONS = re.compile(r"\bv?([1-5])\b")
+_MARKS = re.compile(r"[^0-9a-z]+")
+_SAME = {"noncommercial": "nc", "sharealike": "sa"}
+
+
+def deciding(text: str, versioned: bool = True) -> frozenset[str]:
+    """The deciding words of a notice."""
+    plain = _MARKS.sub(" ", text.lower())
+    found = set(NAMES.findall(plain))
+    if versioned:
+        clauses = (c.replace(" ", "") for c in CLAUSES.findall(plain))
+        found |= {"nd" if c.startswith("noderiv") else _SAME.get(c, c) for c in clauses}
+        found |= set(VERSIONS.findall(plain))
+    return frozenset(found)
+
+
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = 32
 
@@ -88,6 +138,8 @@ class Index:
     texts: list[np.ndarray]
     hashes: np.ndarray
     places: list[list[tuple[int, int]]]
+    deciding: list[frozenset[str]]
+    versioned: list[bool]
 
     @classmethod
     def of(cls, templates: dict[str, str]) -> Index:
@@ -99,11 +151,14 @@ class Index:
             for x, at in zip(*winnowed(h, b), strict=True):
                 lists[int(x)].append((t, int(at)))
         keys = sorted(lists)
-        return cls(names, texts, np.array(keys, np.uint64), [lists[k] for k in keys])
+        versioned = [bool(VERSIONS.search(_MARKS.sub(" ", templates[n].lower()))) for n in names]
+        own = [deciding(templates[n], v) for n, v in zip(names, versioned, strict=True)]
+        return cls(names, texts, np.array(keys, np.uint64), [lists[k] for k in keys], own, versioned)
 
     def matches(self, column: pa.Array) -> list[list[tuple[str, float, int, int]]]:
         """(license, coverage, first byte, end byte) of each text's matches in order; bytes count from the column's first."""
         hashes, bounds, starts, ends = words(column)
+        data = text_bytes(column)[0]
         found, at = winnowed(hashes, bounds)
         k = np.minimum(np.searchsorted(self.hashes, found), max(0, len(self.hashes) - 1))
         hit = np.flatnonzero(self.hashes[k] == found) if len(self.hashes) else k[:0]
@@ -122,7 +177,10 @@ class Index:
                 last = d
                 a, b = max(int(bounds[text]), d - BAND), min(int(bounds[text + 1]), d + len(self.texts[t]) + BAND)
                 matched, lo, hi = align(self.texts[t], hashes[a:b], d - a)
-                if matched >= COVERAGE * len(self.texts[t]):
+                if matched < COVERAGE * len(self.texts[t]):
+                    continue
+                span = bytes(data[int(starts[a + lo]) : int(ends[a + hi - 1])]).decode(errors="ignore")
+                if deciding(span, self.versioned[t]) == self.deciding[t]:
                     spans[text].append((matched, -t, a + lo, a + hi))
         for text, own in spans.items():
             kept = []

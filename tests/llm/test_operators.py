@@ -355,6 +355,34 @@ def test_licenses(spark, odd):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_neighbouring_licenses():
+    gpl = licenses.TEMPLATES["GPL-3.0-or-later"]
+    cases = {
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"],
+        "This work is licensed under the GNU General Public License, version 3 or later.": ["GPL-3.0-or-later-short"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        gpl: ["GPL-3.0-or-later"],
+        gpl.replace("version 3", "version 2"): ["GPL-2.0-or-later"],
+        gpl.replace("either version 3", "either version 7"): [],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": ["CC-BY-NC-4.0-notice"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA-4.0"],
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": ["CC-BY-4.0"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": ["CC-BY-NC-ND-4.0-notice"],
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"],
+        "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA-4.0"],
+        "Released under the MIT License.": ["MIT"],
+        "Released under the BSD License.": [],
+        licenses.TEMPLATES["BSD-3-Clause"]: ["BSD-3-Clause"],
+        licenses.TEMPLATES["BSD-2-Clause"]: ["BSD-2-Clause"],
+    }
+    assert len(set(licenses.TEMPLATES.values())) == len(licenses.TEMPLATES)
+    index = licenses.Index.of(licenses.TEMPLATES)
+    got = index.matches(pa.array([f"Some words before. {t} Some words after it." for t in cases]))
+    assert [[n for n, *_ in own] for own in got] == list(cases.values())
+
+
 # 10: near duplicates
 
 
