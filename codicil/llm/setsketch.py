@@ -5,11 +5,13 @@ spaced minimum ``floor(1 - log_b(x_i))`` of an exponential variable per shingle,
 union are the element-wise maximum (:func:`merge`). Equal runs of registers (bands) make texts meet.
 
 * Texts with the same set collapse to one class first, so copies never meet one another.
-* In each band group, every class is paired with one centre, the class that meets most others over all its
-  bands (the likely origin of near copies). What stays outside the centre's component is paired again with
-  another centre while such rounds add links, and at last always with every class of another component in its
-  group, in cells of about ``CELL`` by ``CELL`` classes. Classes that are connected already need no pair, so a
-  large group of near copies costs about one pair per class.
+* In each band, every class is paired with the band's hub, the class that meets most others over all its bands (the
+  likely origin of near copies). The classes that met one hub are its group; those that its links connect need no
+  further pair, so a large group of near copies costs about one pair per class.
+* Classes of one group that aren't connected yet are compared without forming all pairs (:func:`_apart`). A shingle
+  is popular in a group if more than ``RARE`` classes of it hold it. Two sets at the threshold either share rare
+  shingles, which an equal join over a prefix of each set's rarest ones finds, or both hold so many popular ones that
+  these alone could reach it, which a join over sizes finds. Both are bounds on full sets: no pair is lost by them.
 * A pair is first held to bounds over 4 standard deviations below the threshold: the size ratio, the agreement
   of the registers' lowest bits inside the join, then the maximum-likelihood estimate from both register sets.
   The rest are confirmed on their full shingle sets. Only texts of classes that met another are moved for it.
@@ -28,7 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.llm.scratch import Scratch
@@ -42,10 +44,14 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 SLACK = 0.16
 #: Of the registers' lowest bits, how many may differ: at 0.8 the mean is 12.5 and the deviation 3.4.
 BITS = 28
-#: Rounds with one centre in each group before all pairs of what is left.
-CENTRE_ROUNDS = 3
-#: Classes on either side of one cell of a group's pairs in the last round.
+#: A shingle is rare in a group if at most this many of its classes hold it; groups of as few classes compare them directly.
+RARE = 64
+#: Components that hold this fraction of a group are set against others without meeting themselves.
+SLOTS = 16
+#: Classes of one size and component in one cell of the join over sizes.
 CELL = 256
+#: Popular shingles that are broadcast; beyond it they are shuffled.
+BROADCAST_SHINGLES = 500_000
 #: Most ids that are broadcast to pick the texts of candidates; beyond it the two are shuffled together.
 BROADCAST_IDS = 2_000_000
 
@@ -175,6 +181,86 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return joined.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shingles) of docs (doc_id, text); an id that stands for several texts has the shingles of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                own = list(shingles(*hash_words(*text_bytes(part.column(1)))[:2], k))
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                flat = np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "shingles"])
+
+    each = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return each.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
+
+
+def _apart(groups: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of one group and two components that can be at the threshold.
+
+    groups: (hub, doc_id, n, bits_a, bits_b, component_id, n_rows), the classes of each group and their number;
+    docs: (doc_id, text) of all of them. With t the popular shingles of a set and n its size, sets that share o
+    rare shingles have at most min(t) + o in common, and the threshold asks for percent / (100 + percent) of n_a + n_b.
+    A partner is no smaller than percent of a set, so a set needs at least percent of its n in t + o.
+    """
+    enough = lambda t, o, n: (100 + percent) * (t + o) >= percent * n
+    facts = ("doc_id", "component_id", "n", "bits_a", "bits_b")
+    named = lambda rows, s, *more: rows.select(*more, *(F.col(c).alias(f"{s}{c}") for c in facts))
+    ends = (F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"))
+
+    few = groups.where(F.col("n_rows") <= RARE)
+    direct = named(few, "x_", "hub").join(named(few, "y_", "hub"), "hub").where("x_component_id < y_component_id").where(_could("x_", "y_", percent)).select(*ends)
+    many = groups.where(F.col("n_rows") > RARE)
+    if many.isEmpty():
+        return direct
+
+    sets = _sets(_texts(docs, many.select("doc_id").distinct()), k)
+    sets = scratch.save(many.groupBy("hub", "doc_id").agg(F.min("n").alias("n"), F.min("component_id").alias("component_id")).join(sets, "doc_id"), "sets")
+    each = sets.select("hub", "doc_id", F.explode("shingles").alias("shingle"))
+    popular = each.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > RARE)
+    popular = scratch.save(popular.select("hub", "shingle"), "popular")
+    rare = each.join(F.broadcast(popular) if popular.count() <= BROADCAST_SHINGLES else popular, ["hub", "shingle"], "left_anti")
+    held = rare.groupBy("hub", "shingle").agg(F.collect_list("doc_id").alias("docs"))  # at most RARE
+    held = held.select("hub", "shingle", F.size("docs").alias("held"), F.explode("docs").alias("doc_id"))
+    own = held.groupBy("hub", "doc_id").agg(F.count(F.lit(1)).alias("n_rare"), F.sort_array(F.collect_list(F.when(F.col("held") > 1, F.struct("held", "shingle")))).alias("shared"))
+    own = sets.select("hub", "doc_id", "component_id", "n", F.size("shingles").alias("size")).join(own, ["hub", "doc_id"], "left")
+    own = own.withColumn("t", (F.col("size") - F.coalesce("n_rare", F.lit(0))).cast("long"))
+    # rare shingles by number of holders: those held once come first, and the prefix leaves out what the least overlap allows
+    least = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100) - F.col("t"))
+    own = own.withColumn("prefix", F.greatest(F.lit(0), F.size("shared") - least + 1).cast("int")).withColumn("whole", F.col("prefix") == F.size("shared"))
+    own = scratch.save(own.select("hub", "doc_id", "component_id", "n", "t", "whole", F.slice("shared", 1, F.col("prefix")).alias("shared")), "own")
+
+    # pairs that meet in a rare shingle of both prefixes; where the prefixes are whole, what they share is known
+    of = F.struct("doc_id", "component_id", "n", "t", "whole")
+    meet = own.select("hub", of.alias("x"), F.explode("shared.shingle").alias("shingle")).groupBy("hub", "shingle").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
+    meet = meet.select("hub", F.explode("xs").alias("x"), "xs").select("hub", "x", F.explode("xs").alias("y"))
+    meet = meet.where("x.doc_id < y.doc_id and x.component_id <> y.component_id").groupBy("hub", "x", "y").agg(F.count(F.lit(1)).alias("o"))
+    can = ~F.col("x.whole") | ~F.col("y.whole") | enough(F.least("x.t", "y.t"), F.col("o"), F.col("x.n") + F.col("y.n"))
+    size = (100 * F.least("x.n", "y.n")) >= percent * F.greatest("x.n", "y.n")
+    by_rare = meet.where(can & size).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+    # pairs whose popular shingles could do: sizes of partners lie in a range
+    step = lambda n: F.floor(64 * F.log2(n)).cast("int")
+    most = F.least(F.floor(((100 + percent) * F.col("t") - percent * F.col("n")) / percent), F.floor(100 * F.col("n") / percent))
+    heavy = own.withColumn("low", F.ceil(percent * F.col("n") / 100)).withColumn("high", most).where("high >= low")
+    heavy = many.join(heavy.select("hub", "doc_id", "t", "low", "high"), ["hub", "doc_id"]).withColumn("step", step(F.col("n")))
+    large = heavy.groupBy("hub", "component_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_rows").alias("n_rows")).where(F.col("rows") * SLOTS >= F.col("n_rows"))
+    large = large.select("hub", "component_id", F.row_number().over(Window.partitionBy("hub").orderBy(F.desc("rows"), "component_id")).alias("slot"))  # at most SLOTS a hub
+    heavy = scratch.save(heavy.join(large, ["hub", "component_id"], "left").withColumn("slot", F.coalesce("slot", F.lit(SLOTS + 1))), "heavy")
+    cells = heavy.groupBy("hub", "slot", "step").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
+    cells = scratch.save(cells, "cells")
+    x = named(heavy, "x_", "hub", F.col("slot").alias("x_slot"), F.col("t").alias("x_t"), step(F.col("low")).alias("low"), step(F.col("high")).alias("high"))
+    x = x.join(cells, "hub").where("(slot < x_slot or slot > %d and x_slot > %d) and step between low and high" % (SLOTS, SLOTS))
+    x = x.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("low", "high", "cells")
+    y = heavy.join(cells, ["hub", "slot", "step"]).withColumn("cell", F.pmod(F.xxhash64("doc_id"), "cells").cast("int"))
+    y = named(y, "y_", "hub", "slot", "step", "cell", F.col("t").alias("y_t"))
+    by_size = x.join(y, ["hub", "slot", "step", "cell"]).where("x_component_id <> y_component_id and (x_slot <> slot or x_doc_id < y_doc_id)")
+    by_size = by_size.where(enough(F.least("x_t", "y_t"), F.lit(0), F.col("x_n") + F.col("y_n"))).where(_could("x_", "y_", percent)).select(*ends)
+    return direct.union(by_rare).union(by_size)
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(doc_id, component_id) of all ends of links (a, b): the smallest id reachable.
 
@@ -224,66 +310,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         # ids that met another one, once; the texts that later rounds move are among these
         candidates = scratch.save(_texts(docs, met.select("doc_id").distinct()), "candidates")
 
-        links = comps = checked = None
         ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        facts_of = lambda rows, s, *more: rows.select("band", *(F.col(c).alias(f"{s}{c}") for c in ("doc_id", "n", "bits_a", "bits_b", *more)))
-
-        def starred(rows: DataFrame, others: DataFrame) -> DataFrame:
-            """Pairs of each band's heaviest row of rows with the band's others."""
-            pick = F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "doc_id", "n", "bits_a", "bits_b")).alias("c")
-            centre = rows.groupBy("band").agg(pick).select("band", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("doc_id", "n", "bits_a", "bits_b")))
-            met_it = facts_of(others, "o_").join(centre, "band").where("o_doc_id <> c_doc_id").where(_could("o_", "c_", percent))
-            return met_it.select(F.col("c_doc_id").alias("a"), F.col("o_doc_id").alias("b"))
-
-        def crossed(rows: DataFrame) -> DataFrame:
-            """All pairs of rows (with n_rows, those of the band) of one band and two components, a cell of the band in each task."""
-            cells = F.ceil(F.col("n_rows") / CELL).cast("int")
-            rows = rows.withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int"))
-            other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")
-            x = facts_of(rows.select("*", other), "x_", "component_id", "own", "other").withColumnsRenamed({"x_own": "row", "x_other": "column"})
-            y = facts_of(rows.select("*", other), "y_", "component_id", "own", "other").withColumnsRenamed({"y_own": "column", "y_other": "row"})
-            met_it = x.join(y, ["band", "row", "column"]).where(F.col("x_component_id") < F.col("y_component_id")).where(_could("x_", "y_", percent))
-            return met_it.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"))
-
-        pairs = ordered(starred(met, met))
-        turn, last = 0, False
-        while True:
-            pairs = scratch.save(pairs, f"pairs-{turn}")
-            linked = False
-            if not pairs.isEmpty():
-                likely = scratch.save(_likely(pairs, reps, percent / 100), f"likely-{turn}")
-                found = scratch.save(_confirmed(likely, candidates, k, percent), f"links-{turn}")
-                checked = pairs if checked is None else checked.union(pairs)
-                linked = not found.isEmpty()
-            if linked:
-                links = found if links is None else links.union(found)
-                comps = components(links, scratch, f"comps-{turn}")
-            if last:
-                break
-            if comps is None:
-                now = met.withColumn("component_id", F.col("doc_id"))
-            else:
-                now = met.join(comps, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-            split = now.groupBy("band").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count(F.lit(1)).alias("n_rows"))
-            open_ = scratch.save(now.join(split.where("low < high").select("band", "high", "n_rows"), "band"), f"open-{turn}")
-            if open_.isEmpty():
-                break
-            turn += 1
-            last = turn == CENTRE_ROUNDS or not linked  # without a link the next centres would be the same
-            if last:
-                pairs = crossed(open_)
-            else:  # a centre from one component, met with the others
-                pairs = starred(open_.where("component_id = high"), open_.where("component_id <> high"))
-            pairs = ordered(pairs)
-            if checked is not None:
-                pairs = pairs.join(checked, ["a", "b"], "left_anti")
+
+        def linked(pairs: DataFrame, name: str) -> DataFrame:
+            likely = scratch.save(_likely(scratch.save(pairs, f"pairs-{name}"), reps, percent / 100), f"likely-{name}")
+            return scratch.save(_confirmed(likely, candidates, k, percent), f"links-{name}")
+
+        # every class with the hub of each of its bands
+        pick = F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "doc_id", "n", "bits_a", "bits_b")).alias("c")
+        hub = met.groupBy("band").agg(pick).select("band", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("doc_id", "n", "bits_a", "bits_b")))
+        groups = met.join(hub, "band").select(F.col("c_doc_id").alias("hub"), "c_n", "c_bits_a", "c_bits_b", "doc_id", "n", "bits_a", "bits_b").distinct()
+        groups = scratch.save(groups, "groups")
+        starred = groups.where("doc_id <> hub").withColumnsRenamed({x: f"o_{x}" for x in ("n", "bits_a", "bits_b")}).where(_could("c_", "o_", percent))
+        links = linked(ordered(starred.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))), "hubs")
+        comps = components(links, scratch, "hubs")
+        # groups of three classes or more that are still apart
+        groups = groups.join(comps, "doc_id", "left").select("hub", "doc_id", "n", "bits_a", "bits_b", F.coalesce("component_id", "doc_id").alias("component_id"))
+        split = groups.groupBy("hub").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count(F.lit(1)).alias("n_rows"))
+        groups = scratch.save(groups.join(split.where("low < high and n_rows > 2").select("hub", "n_rows"), "hub"), "open")
+        more = linked(ordered(_apart(groups, candidates, k, percent, scratch)), "apart")
+        # the labels of both ends are linked, so the first links aren't followed again
+        label = lambda s: comps.select(F.col("doc_id").alias(s), F.col("component_id").alias(f"of_{s}"))
+        joined = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        wider = components(joined, scratch, "apart").select(F.col("doc_id").alias("label"), F.col("component_id").alias("wider"))
+        known = comps.union(joined.select(F.explode(F.array("a", "b")).alias("doc_id"), F.lit(None).cast("long"))).groupBy("doc_id").agg(F.min("component_id").alias("own"))
+        known = known.withColumn("label", F.coalesce("own", "doc_id")).join(wider, "label", "left")
+        comps = scratch.save(known.select("doc_id", F.coalesce("wider", "label").alias("component_id")), "comps")
 
         member = sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left")
         member = member.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
-        if comps is not None:
-            member = member.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        else:
-            member = member.withColumn("component_id", F.lit(None).cast("long"))
+        member = member.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id"))
         out = member.select("doc_id", "n_shingles", component.alias("component_id"))
         return scratch.result(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

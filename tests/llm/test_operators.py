@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import random
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -424,8 +425,8 @@ def test_chain_of_near_copies(spark):
     assert got == brute_near(dict(rows), 2, 80)
 
 
-@pytest.mark.parametrize("cell", [2, 256])
-def test_pair_that_no_centre_links(spark, monkeypatch, cell):
+@pytest.mark.parametrize("rare", [2, 64])
+def test_pair_that_no_hub_links(spark, monkeypatch, rare):
     base = [f"w{i}" for i in range(600)]
 
     def variant(i, own):
@@ -437,12 +438,38 @@ def test_pair_that_no_centre_links(spark, monkeypatch, cell):
     rows = [(i, variant(i, 4 if i in (2, 3) else 12)) for i in range(6)]  # 2 and 3 at 0.87, the others at 0.67 to 0.76
     want = brute_near(dict(rows), 5, 80)
     assert [d for d, r in want.items() if not r[2]] == [3]
-    monkeypatch.setattr(setsketch, "CELL", cell)
+    monkeypatch.setattr(setsketch, "RARE", rare)
     monkeypatch.setattr(setsketch, "band_keys", lambda reps: reps.select(F.lit(1).cast("long").alias("band"), "doc_id"))
     got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
 
 
+@pytest.mark.parametrize(("k", "rare", "slots"), [(2, 3, 16), (2, 12, 1), (5, 3, 2)])
+def test_groups_are_compared_whole(spark, monkeypatch, k, rare, slots):
+    """One band holds edits, excerpts and two families of a text; the links are those of brute force."""
+    rng = random.Random(k)
+    base = [f"w{i}" for i in range(150)]
+    families = [base, [w if i % 9 else f"x{w}" for i, w in enumerate(base)]]
+    texts = []
+    for i in range(160):
+        words = list(families[i % 2])
+        for _ in range(rng.randrange(22)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(400)}"
+        if i % 3 == 0:
+            n = rng.randrange(90, 150)
+            at = rng.randrange(150 - n + 1)
+            words = words[at : at + n]
+        if i % 5 == 0:
+            words = [w for w in words if rng.random() < 0.9]
+        texts.append((i, " ".join(words)))
+    monkeypatch.setattr(setsketch, "RARE", rare)
+    monkeypatch.setattr(setsketch, "SLOTS", slots)
+    monkeypatch.setattr(setsketch, "CELL", 5)
+    monkeypatch.setattr(setsketch, "band_keys", lambda reps: reps.select(F.lit(1).cast("long").alias("band"), "doc_id"))
+    got = setsketch.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), k).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_near(dict(texts), k, 80)
+
+
 def test_estimate_is_near():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 2000, dtype=np.uint64)
