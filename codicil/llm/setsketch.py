@@ -235,8 +235,9 @@ def _apart(groups: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Sc
     # pairs that meet in a rare shingle of both prefixes; where the prefixes are whole, what they share is known
     of = F.struct("doc_id", "component_id", "n", "t", "whole")
     meet = own.select("hub", of.alias("x"), F.explode("shared.shingle").alias("shingle")).groupBy("hub", "shingle").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
-    meet = meet.select("hub", F.explode("xs").alias("x"), "xs").select("hub", "x", F.explode("xs").alias("y"))
-    meet = meet.where("x.doc_id < y.doc_id and x.component_id <> y.component_id").groupBy("hub", "x", "y").agg(F.count(F.lit(1)).alias("o"))
+    later = F.filter("xs", lambda y: (y["doc_id"] > F.col("x.doc_id")) & (y["component_id"] != F.col("x.component_id")))
+    meet = meet.select("hub", F.explode("xs").alias("x"), "xs").select("hub", "x", F.explode(later).alias("y"))
+    meet = meet.groupBy("hub", "x", "y").agg(F.count(F.lit(1)).alias("o"))
     can = ~F.col("x.whole") | ~F.col("y.whole") | enough(F.least("x.t", "y.t"), F.col("o"), F.col("x.n") + F.col("y.n"))
     size = (100 * F.least("x.n", "y.n")) >= percent * F.greatest("x.n", "y.n")
     by_rare = meet.where(can & size).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
