@@ -17,8 +17,10 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
+from codicil.llm import worker
+
 #: Kept runs per worker; older ones go when twice as many are held.
-KEPT = 200_000
+KEPT = 100_000
 #: Closing marks that are neither letters, digits, white space nor part of a contraction.
 MARKS = ".,;:!?#$%&*|"
 #: Ids of the few strings of closing marks met so far; kept small by the runs' own bound.
@@ -108,7 +110,8 @@ class Encoder:
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker."""
+    """One encoder for each Python worker, kept while this is what the worker does."""
+    worker.keep("bpe", encoder.cache_clear)
     return Encoder(path)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codicil.llm import bpe
+from codicil.llm import bpe, worker
 from codicil.llm.scratch import Scratch
 
 END = 2
@@ -48,6 +48,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end: int = END) -> Da
     """PIECES rows of docs (doc_id, text); row tells repeated rows of a batch apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start("bpe")
         enc = bpe.encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

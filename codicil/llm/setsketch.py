@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codicil.llm import worker
 from codicil.llm.scratch import Scratch
 from codicil.llm.words import hash_words, mix, shingles, text_bytes
 
@@ -96,6 +97,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     """One row of SKETCH for each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start("near")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -120,6 +122,7 @@ def band_keys(reps: DataFrame) -> DataFrame:
     """(band, doc_id) for each band of each class; band is a 64-bit key of band number and values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start("near")
         salt = mix(np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64))
         for batch in batches:
             if not batch.num_rows:
@@ -145,6 +148,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Pairs whose estimate isn't far below the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start("near")
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
@@ -167,6 +171,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     """Pairs with 100 * intersection >= percent * union on their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start("near")
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -185,6 +190,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, shingles) of docs (doc_id, text); an id that stands for several texts has the shingles of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start("near")
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)

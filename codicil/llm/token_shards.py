@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codicil.llm import bpe
+from codicil.llm import bpe, worker
 from codicil.llm.scratch import Scratch
 
 MAGIC = b"EFTOK1\0\0"
@@ -138,6 +138,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start("bpe")
         enc, part, seq = bpe.encoder(tokenizer), TaskContext.get().partitionId(), 0
         store, root = pafs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
