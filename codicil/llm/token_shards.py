@@ -9,8 +9,8 @@ returns one row for each shard. A shard is::
     Elias-Fano sequence of the sorted document ids less id_base (those of the first n_null are null)
 
 An Elias-Fano sequence of n values up to u keeps ``l = floor(log2(u / n))`` low bits of each value packed, and
-the high parts in unary in a bit vector of about 2n bits; ``select`` finds the i-th set bit from a sample kept
-for every 256th and a popcount scan of the bytes after it. Offsets thus take about ``2 + l`` bits a document, and
+the high parts in unary in a bit vector of about 2n bits; the place of every 256th set bit stands behind them, and
+``select`` finds the i-th from that and a scan of the bits after it. Offsets thus take about ``2 + l`` bits a document, and
 no table of 64-bit offsets exists.
 
 Edge cases: a null or empty text is the end id alone. Null ids come first. Rows that repeat an id follow one
@@ -38,18 +38,13 @@ END = 2
 #: Tokens in a shard, but for one longer document.
 SHARD_TOKENS = 1 << 21
 SAMPLE = 256
-_POP = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
 
 
 class EliasFano:
     """A non-decreasing sequence of non-negative integers in near-minimal space."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        counts = np.concatenate([[0], np.cumsum(_POP[high])])
-        #: byte in which the 0th, 256th, 512th ... set bit stands, and set bits before it
-        self.sample = np.searchsorted(counts, np.arange(0, n, SAMPLE), side="right") - 1
-        self.before = counts[self.sample]
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, sample: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.sample = n, low_bits, low, high, sample
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -61,18 +56,22 @@ class EliasFano:
         low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
         unary = np.zeros((top >> low_bits) + n + 1, np.uint8)
         unary[(values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, low_bits, low, np.packbits(unary, bitorder="little"))
+        return cls(n, low_bits, low, np.packbits(unary, bitorder="little"), (np.flatnonzero(unary)[::SAMPLE]).astype("<u8"))
 
     def select(self, i: int) -> int:
-        """The i-th value."""
-        at, ones = int(self.sample[i // SAMPLE]), int(self.before[i // SAMPLE])
-        while ones + _POP[self.high[at]] <= i:
-            ones += int(_POP[self.high[at]])
-            at += 1
-        place = at * 8 + int(np.flatnonzero(np.unpackbits(self.high[at : at + 1], bitorder="little"))[i - ones])
+        """The i-th value, from the place of the sampled bit before it and a scan of the bits behind."""
+        place, left = int(self.sample[i // SAMPLE]), i % SAMPLE
+        at, skip = place // 8, place % 8
+        while True:  # SAMPLE bits of one are mostly within 2 * SAMPLE
+            ones = np.flatnonzero(np.unpackbits(self.high[at : at + SAMPLE // 4], bitorder="little"))
+            ones = ones[np.searchsorted(ones, skip) :]
+            if left < len(ones):
+                break
+            left, at, skip = left - len(ones), at + SAMPLE // 4, 0
+        place = at * 8 + int(ones[left])
         first = i * self.low_bits
-        part = np.unpackbits(self.low[first // 8 : (first + self.low_bits + 7) // 8], bitorder="little")[first % 8 :][: self.low_bits]
-        return (place - i << self.low_bits) | sum(int(b) << k for k, b in enumerate(part))
+        word = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little")
+        return (place - i << self.low_bits) | (word >> first % 8) & ((1 << self.low_bits) - 1)
 
     def all(self) -> np.ndarray:
         """Every value."""
@@ -82,14 +81,16 @@ class EliasFano:
         return (places.astype(np.int64) << self.low_bits) + low
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QQQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        return struct.pack("<QQQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.sample.tobytes()
 
     @classmethod
     def read(cls, data: memoryview, at: int) -> tuple[EliasFano, int]:
         """The sequence that starts at byte ``at``, and where it ends."""
         n, low_bits, a, b = struct.unpack_from("<QQQQ", data, at)
         at += 32
-        return cls(n, low_bits, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a)), at + a + b
+        marks = -(-n // SAMPLE)
+        sample = np.frombuffer(data, "<u8", marks, at + a + b)
+        return cls(n, low_bits, np.frombuffer(data, np.uint8, a, at), np.frombuffer(data, np.uint8, b, at + a), sample), at + a + b + 8 * marks
 
 
 def shard_bytes(ids: list[np.ndarray], docs: list[int | None]) -> bytes:
@@ -120,8 +121,9 @@ class Shard:
         """Token ids of the i-th document of the shard."""
         return self.tokens[self.bounds.select(i) : self.bounds.select(i + 1)]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.n_null + (self.known.all() + self.base).tolist()
+    def doc_id(self, i: int) -> int | None:
+        """Id of the i-th document of the shard."""
+        return None if i < self.n_null else self.base + self.known.select(i - self.n_null)
 
 
 WRITTEN = "path string, part int, seq int, n_docs long, n_tokens long"
@@ -172,9 +174,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 for each document, read from the shards' bytes."""
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    placed = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).cast("long"))
-    spread = placed.select("path", "base").repartition(F.col("path"))
+    tasks = max(1, int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # running sums of the parts, a row each, and of the shards within a part
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
+    parts = parts.select("part", F.coalesce(F.sum("tokens").over(before(Window.orderBy("part"))), F.lit(0)).alias("from"))
+    within = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("part").orderBy("seq"))), F.lit(0))
+    placed = shards.withColumn("within", within).join(parts, "part").select("path", (F.col("from") + F.col("within")).cast("long").alias("base"))
+    spread = placed.repartition(tasks, F.col("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder)
@@ -182,10 +189,12 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(path) as f:
                     shard = Shard(f.read())
-                bounds = shard.bounds.all()
-                crcs = [bpe.crc(shard.tokens[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                cols = [pa.array(shard.doc_ids(), pa.int64()), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for first in range(0, shard.n_docs, 4096):
+                    docs = range(first, min(first + 4096, shard.n_docs))
+                    starts = [shard.bounds.select(i) for i in range(docs.start, docs.stop + 1)]
+                    crcs = [bpe.crc(shard.tokens[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                    cols = [pa.array([shard.doc_id(i) for i in docs], pa.int64()), pa.array(np.array(starts[:-1]) + base), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
