@@ -11,7 +11,7 @@ A merge streams row batches from its inputs, so its memory is bounded by one bat
 key matters, so a source that holds a third of all rows is like any other.
 
 Edge cases: rows are kept as they are with nulls, repeats and all columns. An empty arrival adds no shard. An
-empty store reads as an empty table of the schema that its reader names.
+empty store reads as an empty table of the schema that its reader names, and without one as only the columns shard and tier.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from codicil.llm.scratch import Scratch
 
 #: Shards of like size that a merge takes, bytes of a finished file, bytes under which all sizes are alike.
 FANOUT, TARGET, LEAST = 4, 128 << 20, 64 << 10
+#: Most tasks that read footers.
+TASKS = 256
 
 
 @dataclass(frozen=True)
@@ -106,10 +108,20 @@ class Store:
         return version
 
     def _sizes(self, folder: str) -> list[Entry]:
-        """Shards that Spark wrote below folder, with their rows from the files' own footers."""
+        """Shards that Spark wrote below folder, with their rows from the files' own footers, which tasks read."""
         store, root = pafs.FileSystem.from_uri(folder)
-        found = [i for i in store.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)) if i.base_name.endswith(".parquet")]
-        return [Entry(i.path, pq.read_metadata(i.path, filesystem=store).num_rows, i.size) for i in sorted(found, key=lambda i: i.path)]
+        found = [(i.path, i.size) for i in store.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)) if i.base_name.endswith(".parquet")]
+        if not found:
+            return []
+
+        def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, _ = pafs.FileSystem.from_uri(folder)
+            for batch in batches:
+                rows = [pq.read_metadata(p, filesystem=store).num_rows for p in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int64()), batch.column(1)], names=["path", "rows", "bytes"])
+
+        files = self.spark.createDataFrame(sorted(found), "path string, bytes long").repartition(min(len(found), TASKS))
+        return sorted((Entry(*r) for r in files.mapInArrow(footers, "path string, rows long, bytes long").collect()), key=lambda e: e.path)  # a row a file
 
     def append(self, arrivals: DataFrame, by: str | None = None) -> int:
         """Write arrivals as shards and commit them; with ``by``, each value of that column is a commit of its own."""
@@ -151,7 +163,9 @@ class Store:
                         size = store.get_file_info(path).size
                         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([path]), pa.array([rows], pa.int64()), pa.array([size], pa.int64())], names=["name", "path", "rows", "bytes"])
 
-            jobs = self.spark.createDataFrame(plan, "name string, paths array<string>").repartition(len(plan), "name")
+            # one task a merge: the jobs are laid out by their index, as hashes would put several in one task
+            jobs = self.spark.createDataFrame([(i, *p) for i, p in enumerate(plan)], "job int, name string, paths array<string>")
+            jobs = jobs.repartitionByRange(len(plan), "job").select("name", "paths")
             done = {r["name"]: Entry(r["path"], r["rows"], r["bytes"]) for r in jobs.mapInArrow(merge, "name string, path string, rows long, bytes long").collect()}  # a row a file
             gone = {e.path: name for (name, _), g in zip(plan, groups, strict=True) for e in g}
             merged, seen = [], set()
@@ -180,11 +194,11 @@ class Store:
         entries = self.manifest(version)
         reader = self.spark.read.schema(schema) if schema else self.spark.read
         if not entries:
-            return self.spark.createDataFrame([], f"{schema}, shard long, tier int")
-        prefix = self.folder[: self.folder.index("/", 8)] if self.folder.startswith(("hdfs://", "s3")) else "file://"
+            return self.spark.createDataFrame([], f"{schema}, shard long, tier int" if schema else "shard long, tier int")
+        root = pafs.FileSystem.from_uri(self.folder)[1].rstrip("/")
         names = [("/".join(e.path.split("/")[-2:]), i, tier(e.bytes)) for i, e in enumerate(entries)]
         listed = self.spark.createDataFrame(names, "file string, shard long, tier int")  # a row a file
-        rows = reader.parquet(*(prefix + e.path for e in entries)).withColumn("file", F.substring_index(F.col("_metadata.file_path"), "/", -2))
+        rows = reader.parquet(*(self.folder.rstrip("/") + e.path[len(root) :] for e in entries)).withColumn("file", F.substring_index(F.col("_metadata.file_path"), "/", -2))
         return rows.join(F.broadcast(listed), "file").drop("file")
 
 
