@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codicil.llm.scratch import small_batches
+
 PATHS, WORDS, LEAVES = 1024, 2048, 64
 PATH_DIM, WORD_DIM, LEAF_DIM, MEASURES, HIDDEN = 24, 8, 8, 9, 24
 WEIGHTS = Path(__file__).with_name("html_blocks.npz")
@@ -254,5 +256,6 @@ def extract(pages: DataFrame) -> DataFrame:
                 found = texts(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return own.mapInArrow(run, schema)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codicil.llm.scratch import small_batches
 from codicil.llm.words import hash_words, mix, text_bytes
 
 GRAM, WINDOW, BAND = 3, 3, 6
@@ -236,4 +237,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                     rows.append(own)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, rows), pa.int64()), pa.array(rows, kind)], names=["doc_id", "n_licenses", "licenses"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)

@@ -11,7 +11,7 @@ Words are runs of ``[^\\x20\\x09-\\x0D]``. Repeated words are those in five-word
 their text; windows are compared by 64-bit hashes of their words' hashes.
 
 Edge cases: a null text counts as empty; texts without words fail the base rule (n_words < 10). Without labels
-of both kinds the list is empty and only the base rule decides. Rows with a null id take no part in learning but
+of both kinds the list is empty and only the base rule decides. A document with both labels counts as bad. Rows with a null id take no part in learning but
 are judged. Rows that repeat an id are judged each by its own text. Other columns are ignored.
 """
 
@@ -132,7 +132,7 @@ def _best_condition(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Cond
 def learn(stats: DataFrame, labels: DataFrame, scratch: Scratch) -> list[list[Condition]]:
     """Ordered rules that reject, from statistics with doc_id and labels (doc_id, quality: 0 is bad)."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (1 - F.col("quality").cast("int")).alias("bad"))
-    own = own.where("doc_id is not null and bad in (0, 1)").dropDuplicates(["doc_id"])
+    own = own.where("doc_id is not null and bad in (0, 1)").groupBy("doc_id").agg(F.max("bad").alias("bad"))
     rows = stats.where(~base_failed()).join(own, "doc_id").select("doc_id", "bad", *(F.expr(e).alias(f) for f, e in FEATURES.items()))
     rows = scratch.save(rows, "labelled")
     shares = [i / BINS for i in range(1, BINS)]

@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Rows of a batch that Spark hands to Python where the session has no setting of its own; texts are long, so Spark's default is much.
+BATCH_ROWS = 1024
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -39,6 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     return qualified(spark, path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows that a Python worker and its executor hold at once, unless the session says how many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove ``path`` and everything below it, on whatever store holds it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,6 +59,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/codicil/{name}-{uuid.uuid4().hex[:12]}"
 
     def __enter__(self) -> Scratch:

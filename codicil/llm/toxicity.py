@@ -11,7 +11,7 @@ Only rows with ``crc32(doc_id as text) mod 4 <> 2`` teach. At most ``SAMPLE_TOXI
 other labelled texts, those least by a hash of their id, are used; every text is scored whole.
 
 Edge cases: null, empty and white-space-only texts have no window and get the calibrated score of none. Without
-labels of both kinds every score is the share of toxic labels (0 without labels). Rows with a null id are never
+labels of both kinds (a document with both labels counts as toxic) every score is the share of toxic labels (0 without labels). Rows with a null id are never
 held out. Rows that repeat an id are scored alike if their texts are. Other columns are ignored.
 """
 
@@ -31,6 +31,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codicil.llm import worker
+from codicil.llm.scratch import small_batches
+
 #: Bounds of the training sample, and bytes of a dictionary.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, DICTIONARY = 3000, 6000, 1 << 16
 #: Longest window in bytes; a longer run of text without white space becomes windows of this with half overlap.
@@ -40,7 +43,7 @@ THRESHOLDS = (3, 5)
 #: Least score that is predicted toxic.
 DECISION = 0.3
 #: Distances kept per worker; older ones go when twice as many are held.
-KEPT = 200_000
+KEPT = 100_000
 HEAD, TAIL = bytes(range(1, 9)) + bytes(range(14, 32)), bytes(range(128, 152))
 FRAGMENT = 6
 _MARKS = b".,;:!?#$%&*|\"()[]{}<>"
@@ -133,6 +136,7 @@ class Distances(dict):
 
 @cache
 def _distances(toxic: bytes, ordinary: bytes) -> Distances:
+    worker.keep("toxicity", _distances.cache_clear)
     return Distances(toxic, ordinary)
 
 
@@ -186,8 +190,9 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Model learned from the bounded sample of labelled training rows."""
+    small_batches(docs.sparkSession)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    own = own.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).dropDuplicates(["doc_id"])
+    own = own.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda y, n: own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_ORDINARY))
     # the sample has at most SAMPLE_TOXIC + SAMPLE_ORDINARY rows of two numbers
@@ -200,6 +205,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.start("toxicity")
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -215,6 +221,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def of(text: pd.Series) -> pd.Series:
+        worker.start("toxicity")
         return pd.Series(model.scores(text), dtype="float64")
 
     return docs.where(of(F.col("text").cast("string")) < DECISION)

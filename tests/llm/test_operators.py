@@ -509,3 +509,16 @@ def test_stages_on_awkward_rows(spark, sf_dir, odd):
         assert i == 4 or out.columns == odd.columns
         assert stage(spark, odd.limit(0), sf_dir).count() == 0
         out.count()
+
+
+def test_conflicting_labels(spark, docs):
+    labels = spark.createDataFrame([(i, y) for i in range(40) for y in (0, 1)] + [(i, 0) for i in range(40, 80)], "doc_id long, toxic int")
+    first, second = (toxicity.fit(docs, x) for x in (labels, labels.orderBy(F.desc("toxic"))))
+    assert first == second
+    assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+def test_empty_store(spark, tmp_path):
+    store = compaction.Store(spark, f"file://{tmp_path}/store")
+    assert store.read().columns == ["shard", "tier"] and store.read("doc_id long").columns == ["doc_id", "shard", "tier"]
+    assert store.append(spark.createDataFrame([], "doc_id long")) == 0 and store.compact() == 0
