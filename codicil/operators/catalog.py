@@ -31,6 +31,11 @@ def flat_sections(policies: DataFrame, sections: DataFrame) -> DataFrame:
     ).drop("content")
 
 
+def text_only(flat: DataFrame) -> DataFrame:
+    """flat_sections as full text searches it: of a section-less policy only the content, not its name."""
+    return flat.withColumn("body", F.when(F.col("section_ref") == "document", F.col("text")).otherwise(F.col("body")))
+
+
 def eligible_sections(policies: DataFrame, sections: DataFrame, as_of: Column) -> DataFrame:
     return flat_sections(policies.where(in_force(as_of)), sections)
 

@@ -48,7 +48,7 @@ def moments(rows: DataFrame, column: str, size: int) -> tuple[int, np.ndarray, n
 
 
 def principal_shift(reference: DataFrame, current: DataFrame, column: str, size: int, components: int = 2, steps: int = 30) -> tuple[float, list[float]]:
-    """Distance between both means along the reference's principal directions, and their explained variances.
+    """Distance between both means along the reference's principal directions, and the share of variance that each explains.
 
     Directions come from power iteration with deflation on the reference's covariance, from a fixed start.
     """
@@ -58,7 +58,7 @@ def principal_shift(reference: DataFrame, current: DataFrame, column: str, size:
         return 0.0, []
     mean = s / n
     cov = p / n - np.outer(mean, mean)
-    shift, explained = [], []
+    shift, explained, whole = [], [], cov.copy()
     for _ in range(components):
         v = np.ones(size) / np.sqrt(size)
         for _ in range(steps):
@@ -68,7 +68,7 @@ def principal_shift(reference: DataFrame, current: DataFrame, column: str, size:
                 break
             v = w / length
         value = float(v @ cov @ v)
-        explained.append(value)
+        explained.append(float(v @ whole @ v) / float(np.trace(whole)) if np.trace(whole) > 0 else 0.0)
         shift.append(float(v @ (t / m - mean)))
         cov = cov - value * np.outer(v, v)
     return float(np.linalg.norm(shift)), explained

@@ -21,10 +21,18 @@ def lexemes(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def postings(flat: DataFrame) -> DataFrame:
-    """(section columns, lexeme, positions) of each section's body."""
+#: Most distinct words of the queries that are broadcast; more are shuffled.
+BROADCAST_WORDS = 500_000
+
+
+def postings(flat: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(section columns, lexeme, positions) of each section's body; with asked (lexeme), of those words only."""
     keep = [c for c in (*KEY, "name", "version", "effective_from", "effective_to") if c in flat.columns]
     rows = flat.select(*keep, F.posexplode(lexemes(F.col("body"))).alias("place", "lexeme"))
+    if asked is not None:
+        asked = asked.select("lexeme").distinct()
+        few = asked.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+        rows = rows.join(F.broadcast(asked) if few else asked, "lexeme", "left_semi")
     return rows.groupBy(*keep, "lexeme").agg(F.array_sort(F.collect_list("place")).alias("places"))  # within one section
 
 
@@ -77,7 +85,7 @@ def fulltext_scores(queries: DataFrame, flat: DataFrame) -> DataFrame:
     sees one (query, section) group, whose size is bounded by the query and the section.
     """
     named = queries.select("query_id", "as_of", F.col("text").alias("query"), F.explode(F.array_distinct(lexemes(F.col("text")))).alias("lexeme"))
-    hits = postings(flat).join(named, "lexeme").where(in_force(F.col("as_of")))
+    hits = postings(flat, named).join(named, "lexeme").where(in_force(F.col("as_of")))
     grouped = hits.groupBy("query_id", "query", *KEY, "name", "version").agg(F.collect_list(F.struct("lexeme", "places")).alias("words"))
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,6 +108,6 @@ def all_words(queries: DataFrame, flat: DataFrame) -> DataFrame:
     """Sections in force that hold every word of a query, scored WEIGHT for each occurrence; expressions only."""
     named = queries.select("query_id", "as_of", F.array_distinct(lexemes(F.col("text"))).alias("w"))
     named = named.select("query_id", "as_of", F.size("w").alias("n"), F.explode("w").alias("lexeme"))
-    hits = postings(flat).join(named, "lexeme").where(in_force(F.col("as_of")))
+    hits = postings(flat, named).join(named, "lexeme").where(in_force(F.col("as_of")))
     counted = hits.groupBy("query_id", *KEY, "name", "version", "n").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("places")).alias("times"))
     return counted.where("c = n").select("query_id", *KEY, "name", "version", F.round(WEIGHT * F.col("times"), SCORE_DIGITS).alias("score"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.config import MAX_SECTION_WORDS, MIN_CHUNK_WORDS, MIN_SECTION_WORDS, OVERLAP_WORDS, PARSE_FAILURE_LIMIT
-from codicil.functions.text import fitted_ref, has_markup, tail_words, word_count
+from codicil.functions.text import fitted_ref, has_markup, squeezed, tail_words, word_count
 
 
 def chunked(paragraphs: Column) -> Column:
@@ -15,7 +15,7 @@ def chunked(paragraphs: Column) -> Column:
     A section of at most MAX_SECTION_WORDS or of one paragraph is one chunk. A chunk closes before a paragraph
     that would take it over the limit, if it has MIN_CHUNK_WORDS; the next one begins with its last words.
     """
-    kept = F.filter(paragraphs, lambda p: F.length(F.trim(p)) > 0)
+    kept = F.filter(paragraphs, lambda p: F.length(squeezed(p)) > 0)
     total = F.aggregate(F.transform(kept, word_count), F.lit(0), lambda a, b: a + b)
     state = "struct<chunks:array<string>,current:array<string>,n:int>"
     start = F.from_json(F.lit('{"chunks":[],"current":[],"n":0}'), state)
@@ -115,7 +115,7 @@ def versioned_load(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return kept.select("document_number", "version", "content_hash", "status").unionByName(new)
 
 
-def dataset_version(hashes: DataFrame) -> DataFrame:
+def dataset_digest(hashes: DataFrame) -> DataFrame:
     """A row with the version of a set of (doc, content_sha256): first 12 digits of a hash over hashes of buckets.
 
     Each bucket's documents are sorted within it, so no task holds the whole corpus.
@@ -126,6 +126,21 @@ def dataset_version(hashes: DataFrame) -> DataFrame:
     return rows.agg(F.left(whole, F.lit(12)).alias("dataset_version"), F.sum("n").alias("documents"))
 
 
+def manifest(hashes: DataFrame, query: dict[str, str], files: list[tuple[str, str]], source: str, code: str | None = None) -> DataFrame:
+    """One row (body, dataset_version): canonical JSON of a load, and the first 12 digits of its hash.
+
+    hashes: (document_number, content_sha256, source_xml_sha256, section_count), a line of the manifest each, so this is
+    for loads whose manifest is one file; dataset_digest has no such bound. files: (path, sha256). Members are sorted
+    by name and written without spaces; nulls are kept.
+    """
+    members = F.struct("content_sha256", "document_number", F.col("section_count").cast("long").alias("section_count"), "source_xml_sha256")
+    one = hashes.agg(F.array_sort(F.collect_list(F.struct("document_number", members.alias("d")))).alias("d"), F.coalesce(F.sum("section_count"), F.lit(0)).cast("long").alias("section_count"))
+    listed = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(h).alias("sha256")) for p, h in files)) if files else F.array().cast("array<struct<path:string,sha256:string>>")
+    asked = F.struct(*(F.lit(query[k]).alias(k) for k in sorted(query)))
+    body = F.struct(F.size("d").cast("long").alias("document_count"), F.transform("d", lambda x: x["d"]).alias("documents"), listed.alias("files"), F.lit(code).cast("string").alias("git_sha"), asked.alias("query"), "section_count", F.lit(source).alias("source"))
+    return one.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("body")).withColumn("dataset_version", F.left(F.sha2("body", 256), F.lit(12)))
+
+
 def watermark(documents: DataFrame, at: str = "publication_date") -> DataFrame:
     return documents.agg(F.max(at).alias("watermark"))
 

@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.config import PSI_THRESHOLD
-from codicil.functions.text import tokens
+from codicil.functions.text import expanded_tokens, tokens
 
 
 def labelled_tokens(examples: DataFrame) -> DataFrame:
-    """(doc, label, token) of examples (doc, label, text); texts without tokens and empty labels have none."""
-    return examples.where("label <> ''").select("doc", "label", F.explode(tokens(F.col("text"))).alias("token"))
+    """(doc, label, token) of examples (doc, label, text), with synonyms; texts without tokens and empty labels have none."""
+    return examples.where("label <> ''").select("doc", "label", F.explode(expanded_tokens(F.col("text"))).alias("token"))
 
 
 def fit_prior(examples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Token counts by label, (label, total tokens, documents), and the size of the vocabulary."""
     rows = labelled_tokens(examples)
     counts = rows.groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))
-    docs = examples.where((F.col("label") != "") & (F.size(tokens(F.col("text"))) > 0)).groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
+    docs = examples.where((F.col("label") != "") & (F.size(expanded_tokens(F.col("text"))) > 0)).groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
     totals = counts.groupBy("label").agg(F.sum("n").alias("total")).join(docs, "label")
     return counts, totals, counts.agg(F.count_distinct("token").alias("vocabulary"))
 
@@ -29,7 +29,7 @@ def predict_prior(queries: DataFrame, counts: DataFrame, totals: DataFrame, voca
     Unseen tokens give every label its smoothed floor, so only tokens that a label has are joined: the floor is
     counted once for each token, and a seen token adds ln(n + 1).
     """
-    q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token"))
+    q = queries.select("query_id", F.explode(expanded_tokens(F.col("text"))).alias("token"))
     size = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
     seen = q.join(counts, "token").groupBy("query_id", "label").agg(F.sum(F.log(F.col("n") + 1.0)).alias("gain"))
     labels = F.broadcast(totals.crossJoin(vocabulary))  # a row for each label

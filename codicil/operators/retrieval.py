@@ -32,8 +32,8 @@ def mode_or_default(mode: str | None, has_vectors: bool) -> str:
     return mode or ("hybrid" if has_vectors else "keyword")
 
 
-def keyword_scores(queries: DataFrame, flat: DataFrame, synonyms: bool = False) -> DataFrame:
-    """Share of each query's tokens that a section in force on its date holds, if over 0.
+def keyword_scores(queries: DataFrame, flat: DataFrame, synonyms: bool = True) -> DataFrame:
+    """Share of each query's tokens, with those of synonyms, that a section in force on its date holds, if over 0.
 
     Tokens are made distinct in each row before they are exploded; the join meets only equal tokens, and
     counts are partly summed before they move.
@@ -47,7 +47,7 @@ def keyword_scores(queries: DataFrame, flat: DataFrame, synonyms: bool = False)
     return counted.select("query_id", *KEY, "name", "version", F.round(F.col("c") / F.col("n"), SCORE_DIGITS).alias("score"))
 
 
-def keyword(queries: DataFrame, flat: DataFrame, limit: int = SEARCH_LIMIT, synonyms: bool = False, bonus: DataFrame | None = None) -> DataFrame:
+def keyword(queries: DataFrame, flat: DataFrame, limit: int = SEARCH_LIMIT, synonyms: bool = True, bonus: DataFrame | None = None) -> DataFrame:
     scores = keyword_scores(queries, flat, synonyms)
     return top(with_bonus(scores, bonus) if bonus is not None else scores, limit)
 

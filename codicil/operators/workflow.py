@@ -1,7 +1,8 @@
 """Queues as an append-only log of events, replayed to the current state; deliveries and reviews.
 
-A claim event takes a record with the next fencing token and a lease. A later event of the holder counts only if
-its token is that of the latest claim and its time is before the lease's end.
+A claim event takes a record with the next fencing token and a lease; a renewal in time moves the lease's end and
+keeps the token. A later event of the holder counts only if it comes before the lease's end, and a finalised or
+failed event ends the lease. Log rows may name the token that they act for; those of another token don't count.
 """
 
 from __future__ import annotations
@@ -26,20 +27,30 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def fenced(log: DataFrame, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
-    """log with token (claims so far), lease_end of the latest claim, and whether the event counts."""
-    past = Window.partitionBy("record").orderBy("ts", "seq")
-    claim = F.col("kind") == "claimed"
-    rows = log.withColumn("token", F.count_if(claim).over(past)).withColumn("claimed_at", F.last(F.when(claim, F.col("ts")), True).over(past))
-    end = F.col("claimed_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lease_seconds))
-    held = (F.col("token") > 0) & (F.col("ts") < F.col("claimed_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lease_seconds)))
-    return rows.withColumn("lease_end", end).withColumn("valid", F.col("kind").isin("queued", "claimed") | F.coalesce(held, F.lit(False)))
+    """log with token (claims so far), lease_end after the event, and whether the event counts.
+
+    Within the time of one token, claim and renewals are a chain that breaks where a renewal comes too late.
+    """
+    lease = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lease_seconds))
+    kind = F.col("kind")
+    rows = log.withColumn("token", F.count_if(kind == "claimed").over(Window.partitionBy("record").orderBy("ts", "seq")))
+    own = Window.partitionBy("record", "token").orderBy("ts", "seq")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    held = F.col("ts") < F.last(F.when(kind.isin("claimed", "renewed"), F.col("ts")), True).over(before) + lease
+    if "acts_for" in log.columns:
+        held = held & F.coalesce(F.col("acts_for") == F.col("token"), F.lit(True))
+    rows = rows.withColumn("_held", F.coalesce(held, F.lit(False)) & (F.col("token") > 0))
+    broken = F.coalesce(F.max((kind == "renewed") & ~F.col("_held")).over(before), F.lit(False))
+    ended = F.coalesce(F.max(kind.isin("finalised", "failed")).over(before), F.lit(False))
+    rows = rows.withColumn("valid", kind.isin("queued", "claimed") | (F.col("_held") & ~broken & ~ended))
+    anchor = F.when(kind.isin("claimed", "renewed") & F.col("valid"), F.col("ts"))
+    return rows.withColumn("lease_end", F.last(anchor, True).over(own) + lease).drop("_held")
 
 
 def current_state(log: DataFrame, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
     """Last counting event of each record, its token and the events that came too late."""
     rows = fenced(log, lease_seconds)
-    last = F.max_by("kind", F.struct("ts", "seq"))
-    return rows.groupBy("record").agg(last.alias("_"), F.max_by(F.when(F.col("valid"), F.col("kind")), F.when(F.col("valid"), F.struct("ts", "seq"))).alias("state"), F.max("token").alias("token"), F.count_if(~F.col("valid")).alias("stale")).drop("_")
+    return rows.groupBy("record").agg(F.max_by(F.when(F.col("valid"), F.col("kind")), F.when(F.col("valid"), F.struct("ts", "seq"))).alias("state"), F.max("token").alias("token"), F.count_if(~F.col("valid")).alias("stale"))
 
 
 def reaped(state: DataFrame, now: Column, most: int = MAX_ATTEMPTS) -> DataFrame:

@@ -205,9 +205,23 @@ def manifest_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.content_hash(sections(spark, sf_dir).withColumnRenamed("policy_id", "doc"))
 
 
-@query()
+@query(rf"""WITH {SQL} h AS (SELECT policy_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY position)) AS c, count(*) AS n FROM sections GROUP BY 1),
+d AS (SELECT 'n' || lpad(CAST(policy_id AS VARCHAR), 9, '0') AS num, c, n, sha256(text) AS x FROM h JOIN documents ON doc_id = policy_id),
+b AS (SELECT '{{"document_count":' || count(*) || ',"documents":[' || string_agg('{{"content_sha256":"' || c || '","document_number":"' || num || '","section_count":' || n || ',"source_xml_sha256":"' || x || '"}}', ',' ORDER BY num)
+  || '],"files":[{{"path":"staging/one.jsonl","sha256":"00"}}],"git_sha":null,"query":{{"since":"2024-01-01","type":"RULE"}},"section_count":' || sum(n) || ',"source":"test"}}' AS body FROM d)
+SELECT left(sha256(body), 12) AS dataset_version, length(body) AS chars FROM b""")
 def manifest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.dataset_version(manifest_hashes(spark, sf_dir))
+    """Version of a load from its canonical manifest."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.sha2("text", 256).alias("source_xml_sha256"))
+    number = F.concat(F.lit("n"), F.lpad(F.col("doc").cast("string"), 9, "0")).alias("document_number")
+    rows = manifest_hashes(spark, sf_dir).join(d, "doc").select(number, "content_sha256", "source_xml_sha256", F.col("sections").alias("section_count"))
+    m = ingest.manifest(rows, {"type": "RULE", "since": "2024-01-01"}, [("staging/one.jsonl", "00")], "test")
+    return m.select("dataset_version", F.length("body").cast("long").alias("chars"))
+
+
+@query()
+def dataset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.dataset_digest(manifest_hashes(spark, sf_dir))
 
 
 @query("SELECT event_type, count(*) AS arrivals, max(ts) AS watermark FROM events WHERE event_id % 3 <> 0 GROUP BY 1")

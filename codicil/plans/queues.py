@@ -17,10 +17,14 @@ LEASE = 12 * 3600
 
 LOG = f"""log AS (SELECT user_id AS record, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'claimed' WHEN 'click' THEN 'renewed'
   WHEN 'purchase' THEN 'finalised' ELSE 'failed' END AS kind FROM events),
-marked AS (SELECT *, count(*) FILTER (kind = 'claimed') OVER w AS token, max(CASE WHEN kind = 'claimed' THEN ts END) OVER w AS claimed_at
-  FROM log WINDOW w AS (PARTITION BY record ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
-fenced AS (SELECT *, kind IN ('queued', 'claimed') OR (token > 0 AND ts < claimed_at + INTERVAL {LEASE} SECOND) AS valid FROM marked),
-state AS (SELECT record, max_by(kind, (ts, seq)) FILTER (valid) AS state, max(token) AS token, count(*) FILTER (NOT coalesce(valid, false)) AS stale, max(claimed_at) AS claimed_at FROM fenced GROUP BY 1)"""
+marked AS (SELECT *, count(*) FILTER (kind = 'claimed') OVER (PARTITION BY record ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS token FROM log),
+anchored AS (SELECT *, coalesce(token > 0 AND ts < max(CASE WHEN kind IN ('claimed', 'renewed') THEN ts END) OVER b + INTERVAL {LEASE} SECOND, false) AS held,
+  coalesce(bool_or(kind IN ('finalised', 'failed')) OVER b, false) AS ended
+  FROM marked WINDOW b AS (PARTITION BY record, token ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fenced AS (SELECT *, kind IN ('queued', 'claimed') OR (held AND NOT ended AND NOT coalesce(bool_or(kind = 'renewed' AND NOT held) OVER b, false)) AS valid
+  FROM anchored WINDOW b AS (PARTITION BY record, token ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+state AS (SELECT record, max_by(kind, (ts, seq)) FILTER (valid) AS state, max(token) AS token, count(*) FILTER (NOT valid) AS stale,
+  max(ts) FILTER (valid AND kind IN ('claimed', 'renewed')) AS held_at FROM fenced GROUP BY 1)"""
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +39,12 @@ def queue_current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LOG}, now AS (SELECT max(ts) AS now FROM events)
 SELECT record, CASE WHEN token >= {MAX_ATTEMPTS} THEN 'failed' ELSE 'queued' END AS status, token AS attempts FROM state, now
-WHERE state = 'claimed' AND claimed_at + INTERVAL {LEASE} SECOND <= now""")
+WHERE state IN ('claimed', 'renewed') AND held_at + INTERVAL {LEASE} SECOND <= now""")
 def queue_reap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims whose lease has ended at the log's last moment."""
     rows = log(spark, sf_dir)
     ends = workflow.fenced(rows, LEASE).groupBy("record").agg(F.max("lease_end").alias("lease_end"))
-    state = workflow.current_state(rows, LEASE).join(ends, "record").select("record", F.col("state").alias("status"), F.col("token").alias("attempts"), "lease_end")
+    state = workflow.current_state(rows, LEASE).join(ends, "record").select("record", F.when(F.col("state") == "renewed", "claimed").otherwise(F.col("state")).alias("status"), F.col("token").alias("attempts"), "lease_end")
     now = rows.agg(F.max("ts").alias("now"))
     held = state.crossJoin(F.broadcast(now))  # one row
     return workflow.reaped(held, F.col("now")).select("record", "status", "attempts")

@@ -46,10 +46,25 @@ WHOLE = """whole AS (
     content AS text, name || ' ' || content AS body, 0 AS position FROM policies),"""
 
 
+def form_sql(text: str, form: str) -> str:
+    pattern = r"\s+".join(w.replace(".", r"\.") for w in form.split(" "))
+    return f"regexp_matches(lower({text}), '(^|[^a-z0-9]){pattern}($|[^a-z0-9])')"
+
+
+def any_form_sql(text: str, forms: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(form_sql(text, f) for f in forms) + ")"
+
+
+def tokens_sql(text: str) -> str:
+    """Distinct tokens of a column with those of its synonyms."""
+    more = " || ".join(f"CASE WHEN {any_form_sql(text, f)} THEN {_form_tokens(f)} ELSE [] END" for f in SYNONYMS)
+    return f"list_distinct({TOKENS.format(text)} || {more})"
+
+
 def scores_sql(rows: str, items: str = "items", name: str = "scores") -> str:
     return f"""
-{name}_q AS (SELECT query_id, as_of, greatest(len(t), 1) AS n, unnest(t) AS token FROM (SELECT *, {TOKENS.format('text')} AS t FROM {items})),
-{name}_d AS (SELECT policy_id, section_ref, position, name, version, status, effective_from, effective_to, unnest({TOKENS.format('body')}) AS token FROM {rows}),
+{name}_q AS (SELECT query_id, as_of, greatest(len(t), 1) AS n, unnest(t) AS token FROM (SELECT *, {tokens_sql('text')} AS t FROM {items})),
+{name}_d AS (SELECT policy_id, section_ref, position, name, version, status, effective_from, effective_to, unnest({tokens_sql('body')}) AS token FROM {rows}),
 {name} AS (
   SELECT q.query_id, f.policy_id, f.section_ref, f.position, f.name, f.version, round(count(*) / q.n, {SCORE_DIGITS}) AS score
   FROM {name}_d f JOIN {name}_q q USING (token) WHERE {IN_FORCE}
@@ -108,27 +123,10 @@ def suffix_sql(key: str) -> str:
     return "CASE " + " ".join(f"WHEN {key} % {len(SUFFIX)} = {k} THEN '{s}'" for k, s in SUFFIX.items()) + " END"
 
 
-def form_sql(text: str, form: str) -> str:
-    pattern = r"\s+".join(w.replace(".", r"\.") for w in form.split(" "))
-    return f"regexp_matches(lower({text}), '(^|[^a-z0-9]){pattern}($|[^a-z0-9])')"
-
-
-def any_form_sql(text: str, forms: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(form_sql(text, f) for f in forms) + ")"
-
-
-_EXPANDED = " || ".join(f"CASE WHEN {any_form_sql('text', f)} THEN {_form_tokens(f)} ELSE [] END" for f in SYNONYMS)
-
-
 @query(f"""WITH {SQL} items2 AS (SELECT query_id, as_of, text || {suffix_sql('query_id')} AS text FROM items),
-expanded AS (SELECT query_id, as_of, list_distinct({TOKENS.format('text')} || {_EXPANDED}) AS t FROM items2),
-ds AS (SELECT f.*, unnest(list_distinct({TOKENS.format('body')} || {_EXPANDED.replace('(text)', '(body)')})) AS token FROM flat f),
-qs AS (SELECT query_id, as_of, greatest(len(t), 1) AS n, unnest(t) AS token FROM expanded),
-scores AS (SELECT q.query_id, f.policy_id, f.section_ref, f.position, f.name, f.version, round(count(*) / q.n, {SCORE_DIGITS}) AS score
-  FROM ds f JOIN qs q USING (token) WHERE {IN_FORCE} GROUP BY q.query_id, q.n, f.policy_id, f.section_ref, f.position, f.name, f.version),
-{top_sql('scores')} {RANKED}""")
+{scores_sql('flat', 'items2')} {top_sql('scores')} {RANKED}""")
 def keyword_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(retrieval.keyword(suffixed(queries(spark, sf_dir), "query_id"), flat(spark, sf_dir), synonyms=True))
+    return ranked(retrieval.keyword(suffixed(queries(spark, sf_dir), "query_id"), flat(spark, sf_dir)))
 
 
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,12 +137,12 @@ def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prior_sql(train: str, asked: str) -> str:
     """CTEs up to prior(query_id, label, probability): naive Bayes on train(doc, label, text) for asked(query_id, text)."""
     return f"""
-nb_tokens AS (SELECT doc, label, unnest({TOKENS.format('text')}) AS token FROM {train} WHERE label <> ''),
+nb_tokens AS (SELECT doc, label, unnest({tokens_sql('text')}) AS token FROM {train} WHERE label <> ''),
 nb_counts AS (SELECT label, token, count(*) AS n FROM nb_tokens GROUP BY 1, 2),
-nb_docs AS (SELECT label, count(*) AS docs FROM {train} WHERE label <> '' AND len({TOKENS.format('text')}) > 0 GROUP BY 1),
+nb_docs AS (SELECT label, count(*) AS docs FROM {train} WHERE label <> '' AND len({tokens_sql('text')}) > 0 GROUP BY 1),
 nb_totals AS (SELECT label, sum(n) AS total, any_value(docs) AS docs FROM nb_counts JOIN nb_docs USING (label) GROUP BY 1),
 nb_size AS (SELECT count(DISTINCT token) AS v FROM nb_counts),
-nb_q AS (SELECT query_id, unnest({TOKENS.format('text')}) AS token FROM {asked}),
+nb_q AS (SELECT query_id, unnest({tokens_sql('text')}) AS token FROM {asked}),
 nb_score AS (
   SELECT q.query_id, t.label, ln(any_value(t.docs) / (SELECT sum(docs) FROM nb_totals)) + sum(ln(coalesce(c.n, 0) + 1.0) - ln(t.total + v)) AS s
   FROM nb_q q CROSS JOIN nb_totals t CROSS JOIN nb_size LEFT JOIN nb_counts c ON c.label = t.label AND c.token = q.token GROUP BY 1, 2),
@@ -192,15 +190,10 @@ def websearch_query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEXEMES = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
 
-def short(q: DataFrame) -> DataFrame:
-    """Queries of the first three lexemes."""
-    return q.withColumn("text", F.array_join(F.slice(fulltext.lexemes(F.col("text")), 1, 3), " "))
-
-
 def all_words_sql(rows: str) -> str:
     return f"""
-short AS (SELECT query_id, as_of, list_distinct(list_slice({LEXEMES.format('text')}, 1, 3)) AS w FROM items),
-fq AS (SELECT query_id, as_of, len(w) AS n, unnest(w) AS lexeme FROM short),
+lexed AS (SELECT query_id, as_of, list_distinct({LEXEMES.format('text')}) AS w FROM items),
+fq AS (SELECT query_id, as_of, len(w) AS n, unnest(w) AS lexeme FROM lexed),
 fd AS (SELECT policy_id, section_ref, position, name, version, status, effective_from, effective_to, unnest({LEXEMES.format('body')}) AS lexeme FROM {rows}),
 words_found AS (
   SELECT q.query_id, f.policy_id, f.section_ref, f.position, f.name, f.version, q.n, count(DISTINCT lexeme) AS c, count(*) AS times
@@ -208,19 +201,24 @@ words_found AS (
 matched AS (SELECT query_id, policy_id, section_ref, position, name, version, round(CAST({fulltext.WEIGHT} AS DOUBLE) * times, {SCORE_DIGITS}) AS score FROM words_found WHERE c = n),"""
 
 
-@query(f"WITH {SQL} {all_words_sql('flat')} {top_sql('matched')} {RANKED}")
+#: What full text searches: the text alone, without a section-less policy's name.
+CONTENT = "content AS (SELECT * REPLACE (text AS body) FROM whole),"
+
+
+@query(f"WITH {SQL} {WHOLE} {CONTENT} {all_words_sql('content')} {top_sql('matched')} {RANKED}")
 def fulltext_simple_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections that hold the first three words of each query, ranked by their occurrences."""
-    return ranked(retrieval.top(fulltext.all_words(short(queries(spark, sf_dir)), flat(spark, sf_dir)), 5))
+    """Policies that hold all words of each query, ranked by their occurrences."""
+    return ranked(retrieval.top(fulltext.all_words(queries(spark, sf_dir), catalog.text_only(whole(spark, sf_dir))), 5))
 
 
 @query()
 def fulltext_websearch_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web searches with a phrase, an alternative and a negation, ranked by cover density."""
+    """Web searches ranked by cover density: each query as alternatives of a phrase and a word, the last without its first word."""
     w = fulltext.lexemes(F.col("text"))
-    at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("none"))
-    text = F.concat(at(0), F.lit(" "), at(1), F.lit(' OR "'), at(2), F.lit(" "), at(3), F.lit('" -'), at(7))
-    return ranked(retrieval.top(fulltext.fulltext_scores(queries(spark, sf_dir).withColumn("text", text), flat(spark, sf_dir)), 5))
+    at = lambda i: F.coalesce(F.get(w, i), F.lit(""))
+    clause = lambda i: F.concat(F.lit('"'), at(i), F.lit(" "), at(i + 1), F.lit('" '), at(i + 2), F.when(i + 3 >= F.size(w), F.concat(F.lit(" -"), at(F.lit(0)))).otherwise(""))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(3)), clause), " OR ")
+    return ranked(retrieval.top(fulltext.fulltext_scores(queries(spark, sf_dir).withColumn("text", text), catalog.text_only(flat(spark, sf_dir))), 5))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -293,10 +291,10 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(retrieval.fused(lexical, _semantic(spark, sf_dir, True), 5)).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {SQL} {WHOLE} {all_words_sql('whole')} {semantic_sql(False)} {fused_sql('matched', 'semantic', CANDIDATES)} SELECT query_id, policy_id, section_ref, round(score, 6) AS score, rank FROM best")
+@query(f"WITH {SQL} {WHOLE} {CONTENT} {all_words_sql('content')} {semantic_sql(False)} {fused_sql('matched', 'semantic', CANDIDATES)} SELECT query_id, policy_id, section_ref, round(score, 6) AS score, rank FROM best")
 def hybrid_rrf_pg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion of the hundred best of full text and of vectors."""
-    lexical = fulltext.all_words(short(queries(spark, sf_dir)), whole(spark, sf_dir))
+    lexical = fulltext.all_words(queries(spark, sf_dir), catalog.text_only(whole(spark, sf_dir)))
     return ranked(retrieval.fused(lexical, _semantic(spark, sf_dir, False), 5, CANDIDATES)).withColumn("score", F.round("score", 6))
 
 

@@ -39,9 +39,16 @@ def windows(since: date, until: date, count: Callable[[date, date], int]) -> Ite
         yield since, until
 
 
+#: The service's names of conditions, and the members that are asked for.
+CONDITIONS = {"agency": "conditions[agencies][]", "type": "conditions[type][]", "cfr": "conditions[cfr][title]"}
+FIELDS = ("document_number", "title", "type", "abstract", "publication_date", "effective_on", "citation", "html_url", "full_text_xml_url", "raw_text_url", "cfr_references", "docket_ids", "correction_of", "agencies")
+
+
 def query_url(base: str, since: date, until: date, per_page: int = PAGE_ROWS, **conditions: str | None) -> str:
-    pairs = [("per_page", str(min(max(per_page, 1), PAGE_ROWS))), ("order", "oldest"), ("conditions[publication_date][gte]", since.isoformat()), ("conditions[publication_date][lte]", until.isoformat())]
-    pairs += [(f"conditions[{k}]", v) for k, v in sorted(conditions.items()) if v]
+    """First page of a window, oldest first; conditions by the keys of CONDITIONS."""
+    pairs = [(name, str(conditions[k])) for k, name in CONDITIONS.items() if conditions.get(k)]
+    pairs += [("conditions[publication_date][gte]", since.isoformat()), ("conditions[publication_date][lte]", until.isoformat())]
+    pairs += [("per_page", str(min(max(per_page, 1), PAGE_ROWS))), ("order", "oldest"), *(("fields[]", f) for f in FIELDS)]
     return f"{base}?{urllib.parse.urlencode(pairs)}"
 
 
@@ -141,7 +148,12 @@ def stored_pages(spark: SparkSession, path: str) -> DataFrame:
     items = raw.select(F.explode(F.from_json(F.to_json("page"), "struct<results:array<string>>")["results"]).alias("r")).select(F.parse_json("r").alias("v"))
     get = lambda path: F.nullif(F.trim(F.try_variant_get("v", f"$.{path}", "string")), F.lit(""))
     plain = [get(k).alias(k) for k in ("document_number", "title", "type", "publication_date", "effective_on", "citation", "html_url", "full_text_xml_url", "raw_text_url")]
-    return items.select(*plain, correction(F.col("v")).alias("correction_of"))
+    members = lambda path: F.from_json(F.to_json(F.try_variant_get("v", f"$.{path}", "variant")), "array<variant>")
+    text = lambda v, path: F.nullif(F.trim(F.try_variant_get(v, path, "string")), F.lit(""))
+    names = ("title", "part", "chapter", "citation_url")
+    references = F.transform(F.coalesce(members("cfr_references"), F.array().cast("array<variant>")), lambda r: F.struct(*(text(r, f"$.{n}").alias(n) for n in names)))
+    dockets = F.array_compact(F.transform(F.coalesce(members("docket_ids"), F.array().cast("array<variant>")), lambda d: text(d, "$")))
+    return items.select(*plain, references.alias("cfr_references"), dockets.alias("docket_ids"), correction(F.col("v")).alias("correction_of"))
 
 
 def correction(v: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,8 +13,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from codicil.config import LEASE_SECONDS
 
+#: Deliveries handed over at once.
+SENT_AT_ONCE = 500
 OUTPUT = "record long, state string, token long, stale long"
-STATE = "state string, token long, stale long, claimed double"
+STATE = "state string, token long, stale long, lease_end double"
 
 
 def replayed(log: DataFrame, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
@@ -24,16 +27,18 @@ def replayed(log: DataFrame, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kind, token, stale, claimed = state.get if state.exists else (None, 0, 0, -1.0)
+        kind, token, stale, end = state.get if state.exists else (None, 0, 0, -1.0)
         rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
         for event, at in zip(rows["kind"], rows["ts"].astype("datetime64[us]").astype("int64") / 1e6, strict=True):
             if event == "claimed":
-                kind, token, claimed = event, token + 1, at
-            elif event == "queued" or token and at < claimed + lease_seconds:
+                kind, token, end = event, token + 1, at + lease_seconds
+            elif event == "queued":
                 kind = event
+            elif token and at < end:
+                kind, end = event, at + lease_seconds if event == "renewed" else -1.0
             else:
                 stale += 1
-        state.update((kind, token, stale, claimed))
+        state.update((kind, token, stale, end))
         yield pd.DataFrame({"record": [key[0]], "state": [kind], "token": [token], "stale": [stale]})
 
     return log.groupBy("record").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
@@ -48,6 +53,10 @@ def deliver(outbox: DataFrame, send: Callable[[list[dict]], None], checkpoint: s
     """Send each micro-batch's partitions with their idempotency keys; at least once, resumed from the checkpoint."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        rows.foreachPartition(lambda part: send([r.asDict() for r in part]))
+        def sent(part: Iterator) -> None:
+            while some := [r.asDict() for r in islice(part, SENT_AT_ONCE)]:
+                send(some)
+
+        rows.foreachPartition(sent)
 
     return outbox.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
