@@ -6,30 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.config import MAX_SECTION_WORDS, MIN_CHUNK_WORDS, MIN_SECTION_WORDS, OVERLAP_WORDS, PARSE_FAILURE_LIMIT
-from codicil.functions.text import fitted_ref, has_markup, squeezed, tail_words, word_count
+from codicil.functions.text import fitted_ref, has_markup, tail_words, word_count
 
 
-def chunked(paragraphs: Column) -> Column:
-    """Chunks of a section's paragraphs by one fold over them.
+def counted(paragraphs: Column) -> Column:
+    """Paragraphs with a word, each with its number of words."""
+    return F.filter(F.transform(paragraphs, lambda p: F.struct(p.alias("p"), word_count(p).alias("n"))), lambda x: x["n"] > 0)
+
+
+def chunked(counted_: Column) -> Column:
+    """Chunks of a section's counted paragraphs by one fold over them.
 
     A section of at most MAX_SECTION_WORDS or of one paragraph is one chunk. A chunk closes before a paragraph
     that would take it over the limit, if it has MIN_CHUNK_WORDS; the next one begins with its last words.
     """
-    kept = F.filter(paragraphs, lambda p: F.length(squeezed(p)) > 0)
-    total = F.aggregate(F.transform(kept, word_count), F.lit(0), lambda a, b: a + b)
+    total = F.aggregate(counted_, F.lit(0), lambda a, x: a + x["n"])
     state = "struct<chunks:array<string>,current:array<string>,n:int>"
     start = F.from_json(F.lit('{"chunks":[],"current":[],"n":0}'), state)
 
-    def step(s: Column, p: Column) -> Column:
-        n = word_count(p)
-        full = (F.size(s["current"]) > 0) & (s["n"] >= MIN_CHUNK_WORDS) & (s["n"] + n > MAX_SECTION_WORDS)
+    def step(s: Column, x: Column) -> Column:
+        full = (F.size(s["current"]) > 0) & (s["n"] >= MIN_CHUNK_WORDS) & (s["n"] + x["n"] > MAX_SECTION_WORDS)
         tail = tail_words(F.array_join(s["current"], " "))
-        carried = F.struct(F.concat(s["chunks"], F.array(F.array_join(s["current"], "\n\n"))).alias("chunks"), F.array(tail, p).alias("current"), (F.least(s["n"], F.lit(OVERLAP_WORDS)) + n).alias("n"))
-        grown = F.struct(s["chunks"].alias("chunks"), F.concat(s["current"], F.array(p)).alias("current"), (s["n"] + n).alias("n"))
+        carried = F.struct(F.concat(s["chunks"], F.array(F.array_join(s["current"], "\n\n"))).alias("chunks"), F.array(tail, x["p"]).alias("current"), (F.least(s["n"], F.lit(OVERLAP_WORDS)) + x["n"]).alias("n"))
+        grown = F.struct(s["chunks"].alias("chunks"), F.concat(s["current"], F.array(x["p"])).alias("current"), (s["n"] + x["n"]).alias("n"))
         return F.when(full, carried).otherwise(grown).cast(state)
 
-    folded = F.aggregate(kept, start, step, lambda s: F.concat(s["chunks"], F.when(F.size(s["current"]) > 0, F.array(F.array_join(s["current"], "\n\n"))).otherwise(F.array().cast("array<string>"))))
-    return F.when((total <= MAX_SECTION_WORDS) | (F.size(kept) < 2), F.array(F.array_join(kept, "\n\n"))).otherwise(folded)
+    last = lambda s: F.when(F.size(s["current"]) > 0, F.array(F.array_join(s["current"], "\n\n"))).otherwise(F.array().cast("array<string>"))
+    folded = F.aggregate(counted_, start, step, lambda s: F.concat(s["chunks"], last(s)))
+    whole = F.array(F.array_join(F.transform(counted_, lambda x: x["p"]), "\n\n"))
+    return F.when((total <= MAX_SECTION_WORDS) | (F.size(counted_) < 2), whole).otherwise(folded)
 
 
 def chunks(sections: DataFrame) -> DataFrame:
@@ -37,8 +42,9 @@ def chunks(sections: DataFrame) -> DataFrame:
 
     Returns doc, section_ref, heading, text, position and parts (chunks of the section).
     """
-    total = F.aggregate(F.transform("paragraphs", word_count), F.lit(0), lambda a, b: a + b)
-    rows = sections.where(total >= MIN_SECTION_WORDS).withColumn("parts", chunked(F.col("paragraphs")))
+    # a generator, so that words are counted once and not again by the filter and the fold
+    rows = sections.select("doc", "ord", "section_ref", "heading", F.inline(F.array(F.struct(counted(F.col("paragraphs")).alias("counted")))))
+    rows = rows.where(F.aggregate("counted", F.lit(0), lambda a, x: a + x["n"]) >= MIN_SECTION_WORDS).withColumn("parts", chunked(F.col("counted")))
     rows = rows.select("doc", "ord", "section_ref", "heading", F.size("parts").alias("parts"), F.posexplode("parts").alias("k", "text"))
     suffix = F.when(F.col("k") == 0, "").otherwise(F.concat(F.lit("#"), (F.col("k") + 1).cast("string")))
     position = F.row_number().over(Window.partitionBy("doc").orderBy("ord", "k")) - 1

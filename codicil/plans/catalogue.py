@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codicil.plans import corpus, queues, search
+from codicil.plans import corpus, queues, records, search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(search.QUERIES) | corpus.QUERIES | queues.QUERIES
+    return dict(search.QUERIES) | corpus.QUERIES | queues.QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(search.ORACLES) | corpus.ORACLES | queues.ORACLES
+    return dict(search.ORACLES) | corpus.ORACLES | queues.ORACLES | records.ORACLES

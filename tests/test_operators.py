@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import http.server
 import io
 import json
+import threading
 import urllib.error
+import urllib.parse
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from codicil.functions import privacy, text as texts
+from codicil.functions import labels, privacy, text as texts
 from codicil.functions.vectors import cosine
-from codicil.operators import drift, evaluate, fulltext, ingest, priors, retrieval, validate, workflow
+from codicil.operators import drift, evaluate, fulltext, ingest, priors, retrieval, review, validate, workflow
 from codicil.sources import pages, regulations
 
 
@@ -135,12 +138,128 @@ def test_fencing(spark):
     assert [(r.status, r.attempts, r.available_at) for r in after] == [("PENDING", 1, t + timedelta(seconds=2)), ("DEAD", 3, t)]
 
 
+def test_renewal_moves_the_lease(spark):
+    """A renewed lease outlives the claim's; one renewed too late is lost, and so is all that follows."""
+    t = datetime(2026, 1, 1)
+    at = lambda s: t + timedelta(seconds=s)
+    kinds = [(1, "claimed", 0), (1, "renewed", 50), (1, "renewed", 100), (1, "finalised", 150), (1, "renewed", 155)]
+    kinds += [(2, "claimed", 0), (2, "renewed", 61), (2, "finalised", 70), (3, "claimed", 0), (3, "failed", 10), (3, "finalised", 20)]
+    log = spark.createDataFrame([(r, i, at(s), k) for i, (r, k, s) in enumerate(kinds)], "record long, seq long, ts timestamp, kind string")
+    got = {r.record: (r.state, r.token, r.stale) for r in workflow.current_state(log).collect()}
+    assert got == {1: ("finalised", 1, 1), 2: ("claimed", 1, 2), 3: ("failed", 1, 1)}
+    ends = {(r.record, r.kind): r.lease_end for r in workflow.fenced(log).where("valid").collect()}
+    assert ends[1, "renewed"] == at(160) and ends[2, "claimed"] == at(60)
+    other = workflow.fenced(log.withColumn("acts_for", F.lit(7))).where("kind <> 'claimed' and valid")
+    assert other.count() == 0
+
+
+def test_renewals_and_releases(spark):
+    """Golden values: the holder's live lease is renewed with its token kept; used-up attempts fail, others are queued."""
+    t = datetime(2026, 1, 1)
+    rows = [("a", "ANALYZING", "w1", 3, 1, t + timedelta(seconds=5)), ("b", "ANALYZING", "w1", 3, 3, t - timedelta(seconds=5)), ("c", "QUEUED", None, 0, 0, None)]
+    cases = spark.createDataFrame(rows, "case_id string, status string, worker_id string, token int, attempts int, lease_end timestamp")
+    asked = spark.createDataFrame([(c, w, 3) for c, w in (("a", "w1"), ("b", "w1"), ("c", "w1"))], "case_id string, worker_id string, token int")
+    got = {r.case_id: (r.renewed, r.lease_end, r.token) for r in review.renewed(cases, asked, F.lit(t)).collect()}
+    assert got == {"a": (True, t + timedelta(seconds=60), 3), "b": (False, t - timedelta(seconds=5), 3), "c": (False, None, 0)}
+    got = {r.case_id: (r.status, r.event, r.error_code, r.worker_id, r.lease_end) for r in review.released(cases, asked).collect()}
+    assert got == {"a": ("QUEUED", "analysis_requeued", None, None, None), "b": ("FAILED", "analysis_abandoned", "analysis_worker_error", "w1", None), "c": ("QUEUED", None, None, None, None)}
+    late = asked.withColumn("token", F.lit(2))
+    assert review.renewed(cases, late, F.lit(t)).where("renewed").count() == 0 and review.released(cases, late).where("event is not null").count() == 0
+
+
+def test_labels_of_references(spark):
+    cases = {
+        '[{"title": 40, "part": "60"}, {"title": "40", "part": 52}, {"title": 40, "part": " 60 "}]': ["40:60", "40:52"],
+        '[{"title": true, "part": "1"}, {"title": 40, "part": false}, {"title": 40, "part": " "}, {"title": 40}, 5, "x", null]': [],
+        '{"title": 40, "part": "1"}': [],
+        "not json": [],
+        None: [],
+    }
+    df = spark.createDataFrame([(i, js) for i, js in enumerate(cases)], "i int, js string")
+    got = [r.l for r in df.select("i", labels.part_labels(F.col("js")).alias("l")).orderBy("i").collect()]
+    assert got == list(cases.values())
+    first = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    r = spark.range(1).select(labels.preferred_label(first(["7:1", "40:2"])).alias("a"), labels.preferred_label(first(["7:1"])).alias("b"), labels.preferred_label(first([])).alias("c")).first()
+    assert tuple(r) == ("40:2", "7:1", "other")
+    with pytest.raises(Exception, match="384 numbers"):
+        spark.range(1).select(labels.of_width(F.array(F.lit(1.0)), 384)).collect()
+
+
+def test_modes_and_bounds(spark):
+    assert [retrieval.mode_or_default(None, v) for v in (True, False)] == ["hybrid", "keyword"] and retrieval.mode_or_default("vector", False) == "vector"
+    with pytest.raises(ValueError, match="nearest"):
+        retrieval.mode_or_default("nearest", True)
+    q = spark.createDataFrame([("a",)], "text string")
+    retrieval.checked(q, 20)
+    for rows, limit in ((q, 0), (q, 21), (q.select(F.repeat("text", F.lit(4001)).alias("text")), 5)):
+        with pytest.raises(ValueError):
+            retrieval.checked(rows, limit)
+
+
+def test_outputs_and_outcomes(spark):
+    good = '{"outcome": "COMPLIANT", "confidence": 0.9, "rationale": "r", "citations": []}'
+    rows = [f"```json\n{good}\n```", good, good.replace("0.9", "1.9"), "no json"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").select("i", validate.parsed_output(F.col("x")).alias("v")).orderBy("i").collect()
+    assert [r.v and r.v.outcome for r in got] == ["COMPLIANT", "COMPLIANT", None, None]
+    none, some = F.array().cast("array<string>"), F.array(F.lit("citation_quote_not_found:1"), F.lit("citation_quote_not_found:2"), F.lit("other"))
+    r = spark.range(1).select(
+        validate.outcome(some, F.lit(True), F.lit(False), F.array(F.lit("override"))).alias("a"),
+        validate.outcome(none, F.lit(False), F.lit(False), none).alias("b"),
+        validate.retried(some, ["citation_quote_not_found"]).alias("c"),
+        ingest.status_for(F.lit(" Final  Rule ")).alias("d"),
+        ingest.status_for(F.lit("Notice")).alias("e"),
+        evaluate.number_matches(F.lit("52.1#2"), ["52.1"]).alias("f"),
+        evaluate.number_matches(F.lit("52.15"), ["52.1"]).alias("g"),
+        evaluate.relevant(F.lit("s"), F.lit("d"), none, F.array(F.lit("d"))).alias("h"),
+        evaluate.relevant(F.lit("s"), F.lit("d"), F.array(F.lit("t")), F.array(F.lit("d"))).alias("i"),
+    ).first()
+    assert (r.a.error_code, r.a.findings[-1], r.b.error_code, r.c) == (None, "injection_signal:override", "no_relevant_source", ["citation_quote_not_found"])
+    assert (r.d, r.e, r.f, r.g, r.h, r.i) == ("ACTIVE", "DRAFT", True, False, True, False)
+
+
+def test_search_address():
+    url = pages.query_url("https://x/documents.json", date(2024, 1, 1), date(2024, 2, 1), 5000, agency="an-agency", type="RULE", cfr="40")
+    asked = urllib.parse.parse_qsl(urllib.parse.urlsplit(url).query)
+    assert asked[:7] == [("conditions[agencies][]", "an-agency"), ("conditions[type][]", "RULE"), ("conditions[cfr][title]", "40"), ("conditions[publication_date][gte]", "2024-01-01"), ("conditions[publication_date][lte]", "2024-02-01"), ("per_page", "1000"), ("order", "oldest")]
+    assert [v for k, v in asked if k == "fields[]"] == list(pages.FIELDS)
+
+
+def test_pages_as_a_source(spark):
+    """Spark reads windows of a local service, page by page."""
+
+    class Site(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked = dict(urllib.parse.parse_qsl(urllib.parse.urlsplit(self.path).query))
+            rows = [{"document_number": f"n{i}", "title": " ", "cfr_references": [{"title": 40, "part": "60"}], "docket_ids": ["x", ""]} for i in range(3)]
+            more = None if "page" in asked else f"http://127.0.0.1:{self.server.server_port}/documents.json?page=2"
+            body = json.dumps({"count": 3, "results": rows[2:] if "page" in asked else rows[:2], "next_page_url": more}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(pages.PagedSource)
+    read = spark.read.format("regulation_pages").options(url=f"http://127.0.0.1:{server.server_port}/documents.json", since="2024-01-01", until="2024-01-02")
+    rows = sorted(read.load().collect())
+    server.shutdown()
+    assert [(r.document_number, r.title, r.cfr_references[0].part, r.docket_ids) for r in rows] == [(f"n{i}", None, "60", ["x"]) for i in range(3)]
+
+
+def test_plain_text_sections():
+    text = "Opening words.\n\nI. Background\n\nFirst.\n\nSecond.\n\nII. Action\n\n"
+    assert regulations.plain_sections(text) == [("document", None, ["Opening words."]), ("preamble:I", "I. Background", ["First.", "Second."])]
+
+
 def test_signature():
     assert workflow.canonical({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
     assert len(workflow.signature("{}", "k")) == 64
 
 
-XML = b"""<RULE><PREAMB><ACT><P>Final rule.</P></ACT><SUM><HD SOURCE="HED">S</HD><P>We act.</P></SUM></PREAMB>
+XML = b"""<RULE><PREAMB><ACT><HD SOURCE="HED">ACTION:</HD><P>Final rule.</P></ACT><SUM><HD SOURCE="HED">S</HD><P>We act.</P></SUM></PREAMB>
 <SUPLINF><HD SOURCE="HD1">I. Background</HD><P>NO<E T="52">X</E> limits apply.</P></SUPLINF>
 <SECTION><SECTNO>&#167; 52.1570</SECTNO><SUBJECT>Scope.</SUBJECT><P>First ,  text.</P></SECTION></RULE>"""
 
@@ -148,6 +267,9 @@ XML = b"""<RULE><PREAMB><ACT><P>Final rule.</P></ACT><SUM><HD SOURCE="HED">S</HD
 def test_regulatory_xml(spark):
     sections, action = regulations.parse_body(XML)
     assert action == "Final rule."
+    assert regulations.parse_body(b"<?xml version=\"1.0\"?><!DOCTYPE RULE>" + XML)[1] == "Final rule."
+    with pytest.raises(ValueError, match="entities"):
+        regulations.parse_body(b'<?xml version="1.0"?><!DOCTYPE RULE [<!ENTITY a "b">]><RULE/>')
     assert [(s[0], s[2]) for s in sections] == [("preamble:summary", ["We act."]), ("preamble:I", ["NOx limits apply."]), ("§ 52.1570", ["First, text."])]
     with pytest.raises(ValueError, match="access page"):
         regulations.parse_body(b"<html></html>")
