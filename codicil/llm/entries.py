@@ -53,7 +53,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = (op1_html_main_text, op2_quality_rules, op3_warc_normaliser, op4_best_fit_packing, op5_decontamination, op6_token_shards, op7_toxicity, op8_sharding, op9_license_scan, op10_near_duplicates)
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2's base rule reads, which SQL can express unlike the learned list."""
+    stats = quality_rules.statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return stats.select("doc_id", *quality_rules.BASE, quality_rules.base_failed().alias("base_failed"))
+
+
+QUERIES = (quality_statistics, op1_html_main_text, op2_quality_rules, op3_warc_normaliser, op4_best_fit_packing, op5_decontamination, op6_token_shards, op7_toxicity, op8_sharding, op9_license_scan, op10_near_duplicates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -87,5 +93,28 @@ FROM sizes LEFT JOIN least_id ON x = doc_id
 """
 
 
+SQL_WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, CAST(i // 4 AS INTEGER) * 5 + 1, 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+SQL_STATISTICS = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 1))) AS i, w FROM w),
+n AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(list_slice(w, i, i + 4), ' ')) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM n WHERE n > 1) GROUP BY 1),
+s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM w)
+SELECT s.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM s LEFT JOIN r USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_near_duplicates": SQL_NEAR}
+    return {"op10_near_duplicates": SQL_NEAR, "op3_warc_normaliser": SQL_WARC, "quality_statistics": SQL_STATISTICS}

@@ -20,6 +20,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from codicil.llm import bpe, compaction, decontaminate, entries, html_blocks, licenses, packing, quality_rules, setsketch, token_shards, toxicity, warc
+from codicil.llm.scratch import Scratch
 from codicil.llm.words import hash_words, text_bytes
 
 LONG = "lange Wörter und 日本語 " * 3000
@@ -112,6 +113,30 @@ def test_quality_list_learns(spark):
     assert kept.get(0, 0) < 0.5
 
 
+def test_quality_verdict_is_the_list(spark, docs, labels):
+    """kept of every row, by the learned rules evaluated in plain Python over the statistics."""
+    with Scratch(spark, "test") as scratch:
+        stats = scratch.save(quality_rules.statistics(docs.select("doc_id", "text")).drop("text"), "stats")
+        rules = quality_rules.learn(stats, labels, scratch)
+        rows = [r.asDict() for r in stats.collect()]
+    size = lambda r, name: max(r[name], 1)
+    value = {
+        "mean_word": lambda r: r["word_chars"] / size(r, "n_words"),
+        "symbol_share": lambda r: r["n_symbols"] / size(r, "word_chars"),
+        "dup_line_share": lambda r: r["n_dup_lines"] / size(r, "n_lines"),
+        "repeat_share": lambda r: r["n_repeat_words"] / size(r, "n_words"),
+        "upper_share": lambda r: r["n_upper"] / size(r, "word_chars"),
+        "mark_share": lambda r: r["n_marks"] / size(r, "word_chars"),
+        "digit_share": lambda r: r["n_digits"] / size(r, "word_chars"),
+        "distinct_share": lambda r: r["n_distinct"] / size(r, "n_words"),
+        "words": lambda r: float(r["n_words"]),
+    }
+    holds = lambda r, rule: all(value[f](r) >= at if op == ">=" else value[f](r) < at for f, op, at in rule)
+    failed = lambda r: r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
+    want = {r["doc_id"]: not failed(r) and not any(holds(r, rule) for rule in rules) for r in rows}
+    assert {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()} == want
+
+
 def test_quality_rows_keep_columns(odd, labels):
     rows = quality_rules.kept_rows(odd, labels)
     assert rows.columns == odd.columns and rows.where("doc_id = 1").count() == 0
@@ -491,7 +516,7 @@ def test_sql_of_operators(spark, sf_dir):
         answer = con.execute(sql)
         columns = [c[0] for c in answer.description]
         assert sorted(columns) == sorted(df.columns)
-        assert sorted(map(tuple, df.select(*columns).collect())) == sorted(answer.fetchall())
+        assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, answer.fetchall()))
 
 
 def test_pipeline(spark, sf_dir, docs):
