@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codicil.config import SCORE_DIGITS
+from codicil.functions.stems import STOP, english, stem
 from codicil.operators.catalog import in_force
 from codicil.operators.retrieval import KEY
 
@@ -25,10 +26,15 @@ def lexemes(text: Column) -> Column:
 BROADCAST_WORDS = 500_000
 
 
-def postings(flat: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+def terms(text: Column, stemmed: bool) -> Column:
+    """Lexemes, or English stems with an empty text for each stop word."""
+    return english(lexemes(text)) if stemmed else lexemes(text)
+
+
+def postings(flat: DataFrame, asked: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
     """(section columns, lexeme, positions) of each section's body; with asked (lexeme), of those words only."""
     keep = [c for c in (*KEY, "name", "version", "effective_from", "effective_to") if c in flat.columns]
-    rows = flat.select(*keep, F.posexplode(lexemes(F.col("body"))).alias("place", "lexeme"))
+    rows = flat.select(*keep, F.posexplode(terms(F.col("body"), stemmed)).alias("place", "lexeme")).where("lexeme <> ''")
     if asked is not None:
         asked = asked.select("lexeme").distinct()
         few = asked.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
@@ -39,8 +45,11 @@ def postings(flat: DataFrame, asked: DataFrame | None = None) -> DataFrame:
 Clause = list[tuple[bool, list[str]]]  # (negated, words); two or more words are a phrase
 
 
-def parse(query: str) -> list[Clause]:
-    """Disjunction of clauses of a web search: words, "phrases", -negations, and OR between clauses."""
+def parse(query: str, stemmed: bool = False) -> list[Clause]:
+    """Disjunction of clauses of a web search: words, "phrases", -negations, and OR between clauses.
+
+    Of a stemmed phrase, stop words are empty texts, which any word matches; a part of stop words alone is left out.
+    """
     clauses: list[Clause] = [[]]
     for m in re.finditer(r'(-?)"([^"]*)"|(\S+)', query.lower()):
         if m[3] == "or":
@@ -48,7 +57,9 @@ def parse(query: str) -> list[Clause]:
             continue
         negated = bool(m[1]) if m[3] is None else m[3].startswith("-")
         words = re.findall("[a-z0-9]+", m[2] if m[3] is None else m[3])
-        if words:
+        if stemmed:
+            words = ["" if w in STOP else stem(w) for w in words]
+        if any(words):
             clauses[-1].append((negated, words))
     return [c for c in clauses if any(not n for n, _ in c)]
 
@@ -72,20 +83,22 @@ def covers(places: dict[str, list[int]], words: set[str]) -> float:
 
 def matches(clause: Clause, places: dict[str, list[int]]) -> bool:
     for negated, words in clause:
-        sets = [set(p - i for p in places.get(w, ())) for i, w in enumerate(words)]
+        sets = [set(p - i for p in places.get(w, ())) for i, w in enumerate(words) if w]
         if bool(set.intersection(*sets)) == negated:
             return False
     return True
 
 
-def fulltext_scores(queries: DataFrame, flat: DataFrame) -> DataFrame:
+def fulltext_scores(queries: DataFrame, flat: DataFrame, stemmed: bool = False) -> DataFrame:
     """query_id, KEY, name, version, score of sections in force that match (query_id, text, as_of) web searches.
 
+    stemmed: compare English stems and leave stop words out.
+
     Only postings of words that some query names meet the queries, by an equal join on the word; each task then
     sees one (query, section) group, whose size is bounded by the query and the section.
     """
-    named = queries.select("query_id", "as_of", F.col("text").alias("query"), F.explode(F.array_distinct(lexemes(F.col("text")))).alias("lexeme"))
-    hits = postings(flat, named).join(named, "lexeme").where(in_force(F.col("as_of")))
+    named = queries.select("query_id", "as_of", F.col("text").alias("query"), F.explode(F.array_distinct(terms(F.col("text"), stemmed))).alias("lexeme"))
+    hits = postings(flat, named, stemmed).join(named, "lexeme").where(in_force(F.col("as_of")))
     grouped = hits.groupBy("query_id", "query", *KEY, "name", "version").agg(F.collect_list(F.struct("lexeme", "places")).alias("words"))
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,9 +107,9 @@ def fulltext_scores(queries: DataFrame, flat: DataFrame) -> DataFrame:
             got = []
             for query, words in zip(f["query"], f["words"], strict=True):
                 places = {w["lexeme"]: list(w["places"]) for w in words}
-                clauses = parsed[query] if query in parsed else parsed.setdefault(query, parse(query))
+                clauses = parsed[query] if query in parsed else parsed.setdefault(query, parse(query, stemmed))
                 good = [c for c in clauses if matches(c, places)]
-                got.append(max((covers(places, {w for n, ws in c if not n for w in ws}) for c in good), default=0.0))
+                got.append(max((covers(places, {w for n, ws in c if not n for w in ws if w}) for c in good), default=0.0))
             f["score"] = pd.Series(got, index=f.index).round(SCORE_DIGITS)
             yield f[f["score"] > 0].drop(columns=["query", "words"])
 
@@ -104,10 +117,10 @@ def fulltext_scores(queries: DataFrame, flat: DataFrame) -> DataFrame:
     return grouped.mapInPandas(score, schema)
 
 
-def all_words(queries: DataFrame, flat: DataFrame) -> DataFrame:
+def all_words(queries: DataFrame, flat: DataFrame, stemmed: bool = False) -> DataFrame:
     """Sections in force that hold every word of a query, scored WEIGHT for each occurrence; expressions only."""
-    named = queries.select("query_id", "as_of", F.array_distinct(lexemes(F.col("text"))).alias("w"))
+    named = queries.select("query_id", "as_of", F.array_remove(F.array_distinct(terms(F.col("text"), stemmed)), "").alias("w"))
     named = named.select("query_id", "as_of", F.size("w").alias("n"), F.explode("w").alias("lexeme"))
-    hits = postings(flat, named).join(named, "lexeme").where(in_force(F.col("as_of")))
+    hits = postings(flat, named, stemmed).join(named, "lexeme").where(in_force(F.col("as_of")))
     counted = hits.groupBy("query_id", *KEY, "name", "version", "n").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("places")).alias("times"))
     return counted.where("c = n").select("query_id", *KEY, "name", "version", F.round(WEIGHT * F.col("times"), SCORE_DIGITS).alias("score"))

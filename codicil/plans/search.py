@@ -211,14 +211,24 @@ def fulltext_simple_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(retrieval.top(fulltext.all_words(queries(spark, sf_dir), catalog.text_only(whole(spark, sf_dir))), 5))
 
 
-@query()
-def fulltext_websearch_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web searches ranked by cover density: each query as alternatives of a phrase and a word, the last without its first word."""
+def _websearch(q: DataFrame) -> DataFrame:
+    """Each query as alternatives of a phrase and a word, the last without its first word."""
     w = fulltext.lexemes(F.col("text"))
     at = lambda i: F.coalesce(F.get(w, i), F.lit(""))
     clause = lambda i: F.concat(F.lit('"'), at(i), F.lit(" "), at(i + 1), F.lit('" '), at(i + 2), F.when(i + 3 >= F.size(w), F.concat(F.lit(" -"), at(F.lit(0)))).otherwise(""))
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(3)), clause), " OR ")
-    return ranked(retrieval.top(fulltext.fulltext_scores(queries(spark, sf_dir).withColumn("text", text), catalog.text_only(flat(spark, sf_dir))), 5))
+    return q.withColumn("text", F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(3)), clause), " OR "))
+
+
+@query()
+def fulltext_websearch_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web searches of whole queries, ranked by cover density."""
+    return ranked(retrieval.top(fulltext.fulltext_scores(_websearch(queries(spark, sf_dir)), catalog.text_only(flat(spark, sf_dir))), 5))
+
+
+@query()
+def fulltext_english_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with English stems and stop words."""
+    return ranked(retrieval.top(fulltext.fulltext_scores(_websearch(queries(spark, sf_dir)), catalog.text_only(flat(spark, sf_dir)), stemmed=True), 5))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from codicil.functions import labels, privacy, text as texts
+from codicil.functions import labels, privacy, stems, text as texts
 from codicil.functions.vectors import cosine
 from codicil.operators import drift, evaluate, fulltext, ingest, priors, retrieval, review, validate, workflow
 from codicil.sources import pages, regulations
@@ -51,6 +51,30 @@ def test_full_text_parser_and_covers():
     assert fulltext.matches([(False, ["b", "c"])], {"b": [3], "c": [4]}) and not fulltext.matches([(False, ["b", "c"])], {"b": [4], "c": [3]})
 
 
+def test_english_stems():
+    known = {
+        "regulations": "regul", "implementation": "implement", "states": "state", "emissions": "emiss", "pollutants": "pollut", "quality": "qualiti",
+        "sources": "sourc", "monitoring": "monitor", "agencies": "agenc", "reporting": "report", "hopping": "hop", "hoping": "hope", "national": "nation",
+        "consistently": "consist", "conditional": "condit", "generally": "general", "skies": "sky", "ties": "tie", "cries": "cri", "gas": "gas", "this": "this",
+        "organization": "organ", "effectiveness": "effect", "plastered": "plaster", "agreed": "agre", "feed": "feed", "controlling": "control", "rate": "rate",
+        "probate": "probat", "cease": "ceas", "knightly": "knight", "happy": "happi", "say": "say", "by": "by", "exceed": "exceed", "communism": "communism",
+    }
+    assert {w: stems.stem(w) for w in known} == known
+
+
+def test_english_full_text(spark):
+    rows = [(1, "The agency regulates emissions of stationary sources."), (2, "An emission source was regulated by agencies in the state."), (3, "State plans for ozone.")]
+    flat = spark.createDataFrame([(i, "s", 0, f"n{i}", 1, None, None, t) for i, t in rows], "policy_id int, section_ref string, position int, name string, version int, effective_from date, effective_to date, body string")
+    asked = ["regulating sources", "stationary sources", '"emission of stationary source"', "the state -ozone", "the of", "plan OR stationary"]
+    q = spark.createDataFrame([(i, t, date(2026, 1, 1)) for i, t in enumerate(asked)], "query_id int, text string, as_of date")
+    found = {}
+    for r in fulltext.fulltext_scores(q, flat, stemmed=True).collect():
+        found.setdefault(r.query_id, set()).add(r.policy_id)
+    assert found == {0: {1, 2}, 1: {1}, 2: {1}, 3: {2}, 5: {1, 3}}
+    words = fulltext.all_words(q.where("query_id < 2"), flat, stemmed=True).collect()
+    assert {(r.query_id, r.policy_id) for r in words} == {(0, 1), (0, 2), (1, 1)}
+
+
 def test_cosine(spark):
     vec = lambda *v: F.array(*map(F.lit, v))
     r = one(spark, same=cosine(vec(1.0, 0.0), vec(2.0, 0.0)), zero=cosine(vec(0.0, 0.0), vec(1.0, 0.0)), uneven=cosine(vec(1.0), vec(1.0, 0.0)))
