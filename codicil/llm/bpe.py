@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from codicil.llm import worker
 
 #: Kept runs per worker; older ones go when twice as many are held.
-KEPT = 100_000
+KEPT = 200_000
 #: Closing marks that are neither letters, digits, white space nor part of a contraction.
 MARKS = ".,;:!?#$%&*|"
 #: Ids of the few strings of closing marks met so far; kept small by the runs' own bound.
