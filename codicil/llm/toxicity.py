@@ -43,7 +43,7 @@ THRESHOLDS = (3, 5)
 #: Least score that is predicted toxic.
 DECISION = 0.3
 #: Distances kept per worker; older ones go when twice as many are held.
-KEPT = 100_000
+KEPT = 200_000
 HEAD, TAIL = bytes(range(1, 9)) + bytes(range(14, 32)), bytes(range(128, 152))
 FRAGMENT = 6
 _MARKS = b".,;:!?#$%&*|\"()[]{}<>"
