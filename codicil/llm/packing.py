@@ -5,8 +5,9 @@
 2. The histogram of lengths, at most ``capacity`` rows whatever the corpus, goes to the driver. The covering
    program over configurations (multisets of lengths that fit) is solved by multiplicative weights: each
    step prices lengths by their weights and takes the best configuration found by knapsack dynamic
-   programming. The averaged configurations are rounded down, and what is left goes best-fit into bins that
-   are kept as (configuration, multiplicity), so no work grows with the number of documents.
+   programming. The averaged configurations are rounded, and the program is solved anew for what that leaves
+   until less than one sequence is left, which goes best-fit. Configurations are kept with their multiplicity, so
+   no work grows with the number of documents.
 3. Each configuration owns a run of sequences, and each of its lengths a run of ranks. Pieces of one length
    are ranked within hash buckets and by the buckets' running counts, so a length that a third of all rows
    share is spread over many tasks; rank and plan give sequence and offset.
@@ -32,10 +33,14 @@ END = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 #: Hash buckets over which the pieces of each length are ranked.
 BUCKETS = 256
-#: Steps of the multiplicative weights.
-STEPS = 128
+#: Steps of the multiplicative weights, and how often the program is solved for what rounding left.
+STEPS, ROUNDS = 64, 40
 #: Learning rates tried: small ones suit histograms that fill sequences, large ones those that can't.
 RATES = (0.05, 1.0)
+#: First prices are lengths to this power: of configurations equally full, those with long pieces come first.
+TILT = 1.1
+#: Share of sequences over the bound by volume within which no other rate is tried.
+GAP = 0.001
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -66,37 +71,32 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end: int = END) -> Da
 
 
 def knapsack(value: np.ndarray, limit: np.ndarray, capacity: int) -> Counter:
-    """Configuration of greatest value by dynamic programming over the capacity.
+    """Configuration of greatest value by bounded dynamic programming over the capacity.
 
-    value, limit: by length, 0 to capacity; no length is used more often than its limit.
+    value, limit: by length, 0 to capacity; no length is used more often than its limit, whose copies enter in
+    lots of 1, 2, 4 and so on.
     """
-    sizes = np.flatnonzero((limit > 0) & (value > 0))
     best = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, np.int64)
-    if not len(sizes):
-        return Counter()
-    gain = value[sizes]
-    for c in range(int(sizes[0]), capacity + 1):
-        fit = np.searchsorted(sizes, c, side="right")
-        total = gain[:fit] + best[c - sizes[:fit]]
-        i = int(total.argmax())
-        if total[i] > best[c - 1]:
-            best[c], took[c] = total[i], sizes[i]
-        else:
-            best[c] = best[c - 1]
+    lots: list[tuple[int, int, np.ndarray]] = []
+    for s in np.flatnonzero((limit > 0) & (value > 0))[::-1].tolist():
+        n, k = min(int(limit[s]), capacity // s), 1
+        while n:
+            k = min(k, n)
+            gain = best[: capacity + 1 - k * s] + k * value[s]
+            better = gain > best[k * s :] + 1e-12
+            np.copyto(best[k * s :], gain, where=better)
+            lots.append((s, k, better))
+            n, k = n - k, 2 * k
     found: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if took[c]:
-            if found[took[c]] < limit[took[c]]:
-                found[int(took[c])] += 1
-            c -= int(took[c])
-        else:
-            c -= 1
+    room = capacity
+    for s, k, better in reversed(lots):
+        if room >= k * s and better[room - k * s]:
+            found[s] += k
+            room -= k * s
     return found
 
 
-def fractional(counts: np.ndarray, capacity: int, rate: float) -> dict[tuple, float]:
+def fractional(counts: np.ndarray, capacity: int, rate: float, steps: int) -> dict[tuple, float]:
     """Configuration -> fractional multiplicity covering the counts, by multiplicative weights.
 
     A length that is ahead of the share covered so far loses weight, one that is behind gains, by a factor
@@ -106,15 +106,15 @@ def fractional(counts: np.ndarray, capacity: int, rate: float) -> dict[tuple, fl
     sizes = np.flatnonzero(counts)
     need = counts[sizes].astype(float)
     place = {int(s): i for i, s in enumerate(sizes)}
-    weight = np.log(sizes / capacity)
+    weight = TILT * np.log(sizes / capacity)
     covered = np.zeros(len(sizes))
     used: Counter = Counter()
     volume = float((need * sizes).sum())
-    for _ in range(STEPS):
+    for _ in range(steps):
         value = np.zeros(capacity + 1)
         value[sizes] = np.exp(weight)
         config = knapsack(value, counts, capacity)
-        amount = volume / STEPS / sum(s * n for s, n in config.items())
+        amount = volume / steps / sum(s * n for s, n in config.items())
         amount = min(amount, *(need[place[s]] / n for s, n in config.items()))
         used[tuple(sorted(config.items(), reverse=True))] += amount
         for s, n in config.items():
@@ -148,31 +148,46 @@ def best_fit(left: np.ndarray, capacity: int) -> Counter:
     return sum((Counter(b) for b in bins.values()), Counter())
 
 
+def rounded(counts: np.ndarray, capacity: int, rate: float) -> Counter:
+    """Configuration -> integer multiplicity that packs the histogram exactly.
+
+    The program is solved again and again for what is left. Each time its multiplicities are rounded down and,
+    fullest configuration first, one more is taken of each that what is left still admits. At least one sequence
+    is filled each time; what is under one sequence, or left after ROUNDS times, goes best-fit.
+    """
+    left, chosen = counts.copy(), Counter()
+    tokens = np.arange(capacity + 1)
+    for _ in range(ROUNDS):
+        volume = int(left @ tokens)
+        if volume < capacity:
+            break
+        shares = fractional(left, capacity, rate, min(STEPS, volume // capacity))
+        order = sorted(shares, key=lambda c: (-sum(s * k for s, k in c), c))
+        for up in (False, True):
+            for config in order:
+                n = min(1 if up else int(shares[config]), *(int(left[s]) // k for s, k in config))
+                if n > 0:
+                    chosen[config] += n
+                    for s, k in config:
+                        left[s] -= n * k
+    return chosen + best_fit(left, capacity)
+
+
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
-    """(configuration, multiplicity) list that packs the histogram exactly.
+    """(configuration, multiplicity) list that packs the histogram exactly, by the configuration program.
 
-    The fractional solution is rounded down, for several rates and greatest wastes of a configuration (at
-    -1 all multiplicities round to none); what that leaves goes best-fit, and the rounding with the fewest
-    sequences is taken.
+    Each rate is tried until the rounded program is within GAP of the bound that the tokens' number gives.
     """
     best: Counter | None = None
     if not counts.any():
         return []
+    bound = -(-int(counts @ np.arange(capacity + 1)) // capacity)
     for rate in RATES:
-        shares = fractional(counts, capacity, rate)
-        order = sorted(shares.items(), key=lambda c: (-sum(s * n for s, n in c[0]), c[0]))
-        for waste in (-1, 0, capacity // 256, capacity // 32, capacity):
-            left, chosen = counts.copy(), Counter()
-            for config, x in order:
-                if capacity - sum(s * n for s, n in config) <= waste:
-                    n = min(int(x), *(int(left[s]) // k for s, k in config))
-                    if n > 0:
-                        chosen[config] += n
-                        for s, k in config:
-                            left[s] -= n * k
-            chosen += best_fit(left, capacity)
-            if best is None or chosen.total() < best.total():
-                best = chosen
+        found = rounded(counts, capacity, rate)
+        if best is None or found.total() < best.total():
+            best = found
+        if best.total() - bound <= GAP * bound:
+            break
     return sorted(best.items(), reverse=True)
 
 

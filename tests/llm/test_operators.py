@@ -229,6 +229,26 @@ def test_plan_of_thirds():
     assert used == {10: 100, 15: 40, 20: 60} and sum(n for _, n in configs) == 94
 
 
+def test_plan_comes_from_the_program(monkeypatch):
+    """Triples that fill a sequence: the program needs far fewer than best-fit, which sees under one sequence."""
+    rng, counts, capacity = np.random.default_rng(1), np.zeros(257, np.int64), 256
+    for _ in range(3000):
+        a = int(rng.integers(65, 100))
+        b = int(rng.integers(65, min(100, capacity - a - 65) + 1))
+        for s in (a, b, capacity - a - b):
+            counts[s] += 1
+    plain, left = packing.best_fit(counts, capacity), []
+    monkeypatch.setattr(packing, "best_fit", lambda c, cap, f=packing.best_fit: left.append(int(c @ np.arange(cap + 1))) or f(c, cap))
+    configs = packing.plan(counts, capacity)
+    used = Counter()
+    for config, n in configs:
+        for s, k in config:
+            used[s] += k * n
+    assert all(used[s] == counts[s] for s in range(257)) and max(left) < capacity
+    total = sum(n for _, n in configs)
+    assert 3000 <= total < 3100 < plain.total()
+
+
 # 5: decontamination
 
 
