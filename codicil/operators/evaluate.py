@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from codicil.functions.vectors import discounted_gain
 
+#: Cells that a group's distinct values are dealt to when exact percentiles are looked for.
+CELLS = 256
+
 
 def relevant(section: Column, document: Column, gold_sections: Column, gold_documents: Column) -> Column:
     """Gold sections decide; gold documents only where there are none."""
@@ -37,8 +40,38 @@ def mean_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Exact interpolated percentiles, bounds and mean of each group."""
-    return rows.groupBy(by).agg(F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+    """Exact interpolated percentiles, bounds and mean of each group; a null group is one, null values don't count.
+
+    Equal values become one row with their number. Cuts, a group's values that are least by hash, make cells, whose
+    running counts say in which cells the wanted ranks lie; only these are ordered, each by itself. Cuts decide on the
+    size of cells alone: any give the same percentiles, if only they are the same wherever the plan uses them.
+    """
+    at = {"p50": 0.5, "p95": 0.95}
+    same = F.col("_g").eqNullSafe(F.col("_of"))
+    own = rows.select(F.col(by).alias("_g"), F.col(value).alias("_v"))
+    held = own.where(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    turn = F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64("_v"), "_v"))
+    cuts = held.select("_g", "_v", turn.alias("_turn")).where(F.col("_turn") < CELLS)
+    cuts = cuts.groupBy(F.col("_g").alias("_of")).agg(F.sort_array(F.collect_list("_v")).alias("_cuts"))  # fewer than CELLS
+    cell = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    dealt = held.join(cuts, same).select("_g", "_v", "_n", cell.alias("_cell"))
+    group = Window.partitionBy("_of")  # at most CELLS rows
+    sizes = dealt.groupBy(F.col("_g").alias("_of"), F.col("_cell").alias("_at")).agg(F.sum("_n").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("_before", before).withColumn("_last", F.sum("_rows").over(group) - 1)
+    ends = {c: (F.floor(p * F.col("_last")), F.ceil(p * F.col("_last"))) for c, p in at.items()}
+    inside = F.exists(F.array(*(r for pair in ends.values() for r in pair)), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_rows")))
+    found = dealt.join(sizes.where(inside), same & (F.col("_cell") == F.col("_at")))
+    found = found.withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy("_g", "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    holds = lambda r: F.max(F.when((r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")), F.col("_v").cast("double")))
+    ranked = found.groupBy(F.col("_g").alias("_of")).agg(F.max("_last").alias("_last"), *(holds(r).alias(f"_{c}_{i}") for c, pair in ends.items() for i, r in enumerate(pair)))
+
+    def between(name: str, p: float) -> Column:
+        low, high, place = F.col(f"_{name}_0"), F.col(f"_{name}_1"), p * F.col("_last")
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    facts = own.groupBy("_g").agg(F.min("_v").alias("least"), F.max("_v").alias("most"), F.avg("_v").alias("mean"))
+    return facts.join(ranked, same, "left").select(F.col("_g").alias(by), *(between(c, p).alias(c) for c, p in at.items()), "least", "most", "mean")
 
 
 def round_robin(rows: DataFrame, group: str, key: Column, n: int) -> DataFrame:

@@ -135,6 +135,15 @@ def test_metrics(spark):
     assert p.p95 == pytest.approx(8.6)
 
 
+def test_percentiles_of_large_tied_and_null_groups(spark):
+    rows = spark.range(4000).selectExpr("case id % 4 when 0 then null when 1 then 'many' else 'tied' end as k", "case when id % 4 = 2 then 7.0D when id % 5 = 0 then null else cast(pmod(hash(id), 10007) as double) end as v")
+    rows = rows.union(spark.createDataFrame([("one", 3.5), ("two", 1.0), ("two", 2.0), ("none", None)], rows.schema))
+    want = rows.groupBy("k").agg(F.percentile("v", 0.5), F.percentile("v", 0.95)).collect()
+    got = {r.k: (r.p50, r.p95) for r in evaluate.percentiles(rows, "k", "v").collect()}
+    assert got == {k: (None if low is None else pytest.approx(low), None if high is None else pytest.approx(high)) for k, low, high in want}
+    assert evaluate.percentiles(rows.limit(0), "k", "v").count() == 0
+
+
 def test_stability_and_shift(spark):
     mix = lambda a, b: spark.createDataFrame([("x",)] * a + [("y",)] * b, "k string")
     assert drift.population_stability(mix(90, 10), mix(10, 90), "k").first().drifted
