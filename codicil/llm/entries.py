@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codicil.llm import compaction, decontaminate, html_blocks, licenses, packing, quality_rules, setsketch, token_shards, toxicity, warc
+from codicil.llm import bpe_codec, compaction, decontaminate, html_blocks, licenses, packing, quality_rules, setsketch, token_shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,13 +53,17 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digests(bpe_codec.round_trip(table(spark, sf_dir, "documents")))
+
+
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2's base rule reads, which SQL can express unlike the learned list."""
     stats = quality_rules.statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return stats.select("doc_id", *quality_rules.BASE, quality_rules.base_failed().alias("base_failed"))
 
 
-QUERIES = (quality_statistics, op1_html_main_text, op2_quality_rules, op3_warc_normaliser, op4_best_fit_packing, op5_decontamination, op6_token_shards, op7_toxicity, op8_sharding, op9_license_scan, op10_near_duplicates)
+QUERIES = (quality_statistics, op1_html_main_text, op2_quality_rules, op3_warc_normaliser, op4_best_fit_packing, op5_decontamination, op6_token_shards, op7_toxicity, op8_sharding, op9_license_scan, op10_near_duplicates, op13_bpe_codec)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
