@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codicil.llm import bpe_codec, compaction, decontaminate, html_blocks, licenses, packing, quality_rules, setsketch, token_shards, toxicity, warc
+from codicil.llm import bpe_codec, compaction, decontaminate, html_blocks, licenses, merkle, packing, quality_rules, setsketch, token_shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"), merkle.lowered_fifth())
+
+
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.round_trip(table(spark, sf_dir, "documents")))
 
@@ -63,7 +67,7 @@ def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", *quality_rules.BASE, quality_rules.base_failed().alias("base_failed"))
 
 
-QUERIES = (quality_statistics, op1_html_main_text, op2_quality_rules, op3_warc_normaliser, op4_best_fit_packing, op5_decontamination, op6_token_shards, op7_toxicity, op8_sharding, op9_license_scan, op10_near_duplicates, op13_bpe_codec)
+QUERIES = (quality_statistics, op1_html_main_text, op2_quality_rules, op3_warc_normaliser, op4_best_fit_packing, op5_decontamination, op6_token_shards, op7_toxicity, op8_sharding, op9_license_scan, op10_near_duplicates, op11_merkle_manifest, op13_bpe_codec)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -120,5 +124,53 @@ SELECT s.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 10 OR 100 *
 """
 
 
+#: A list that starts with all bits, then each byte of the decimal id followed by eight times -1: a byte is mixed in, -1 is one step of the checksum.
+SQL_CRC = r"""xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+  lambda i: list_concat([CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+  lambda c, x: CASE WHEN x < 0 THEN xor(c >> 1, (c & 1) * 3988292384) ELSE xor(c, x) END), 4294967295)"""
+
+
+def _sql_leaf(text: str) -> str:
+    fields = (f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return "sha256(" + " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}) || ':' || {f} END" for f in fields) + ")"
+
+
+SQL_MERKLE = rf"""
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN {SQL_CRC} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS altered
+  FROM documents),
+leaves AS (SELECT doc_id, source, {_sql_leaf("text")} AS leaf, {_sql_leaf("altered")} AS given FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf, given) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+tree(lvl, source, i, n, h) AS (
+  SELECT 0, source, i, n, leaf FROM placed
+  UNION ALL
+  SELECT lvl + 1, source, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY lvl, source, i // 16, n),
+roots AS (SELECT source, h, lvl AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+upper(lvl, i, n, h) AS (
+  SELECT 0, i, n, h FROM roots
+  UNION ALL
+  SELECT lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY lvl, i // 16, n),
+lower_beside AS (
+  SELECT lvl, source, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM tree WHERE n > 1 WINDOW w AS (PARTITION BY source, lvl, i // 16 ORDER BY i)),
+upper_beside AS (
+  SELECT lvl, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM upper WHERE n > 1 WINDOW w AS (PARTITION BY lvl, i // 16 ORDER BY i)),
+steps AS (
+  SELECT p.doc_id, p.leaf, p.given, b.lvl, l, r FROM placed p JOIN lower_beside b ON b.source IS NOT DISTINCT FROM p.source AND b.i = p.i // CAST(pow(16, b.lvl) AS BIGINT)
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.given, 100 + b.lvl, l, r FROM placed p JOIN roots s ON s.source IS NOT DISTINCT FROM p.source JOIN upper_beside b ON b.i = s.i // CAST(pow(16, b.lvl) AS BIGINT)),
+paths AS (SELECT doc_id, leaf, given, string_agg(l || r, '' ORDER BY lvl) AS proof, list(l || '|' || r ORDER BY lvl) AS steps FROM steps GROUP BY ALL),
+folded AS (
+  SELECT p.doc_id, p.leaf, s.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_concat([p.given], coalesce(steps, [])), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+  FROM placed p JOIN roots s ON s.source IS NOT DISTINCT FROM p.source
+  LEFT JOIN paths q ON q.doc_id = p.doc_id AND q.leaf = p.leaf AND q.given = p.given)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_near_duplicates": SQL_NEAR, "op3_warc_normaliser": SQL_WARC, "quality_statistics": SQL_STATISTICS}
+    return {"op10_near_duplicates": SQL_NEAR, "op3_warc_normaliser": SQL_WARC, "op11_merkle_manifest": SQL_MERKLE, "quality_statistics": SQL_STATISTICS}
