@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codicil.llm import bpe_codec, compaction, decontaminate, html_blocks, licenses, merkle, packing, quality_rules, setsketch, token_shards, toxicity, warc
+from codicil.llm import bpe_codec, compaction, decontaminate, html_blocks, licenses, merkle, packing, quality_rules, setsketch, token_shards, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"), merkle.lowered_fifth())
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def embedding_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op12 gives in whole numbers, which SQL can express unlike the components."""
+    return whitening.exact_deviations(table(spark, sf_dir, "embeddings"))
+
+
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.round_trip(table(spark, sf_dir, "documents")))
 
@@ -67,7 +76,7 @@ def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", *quality_rules.BASE, quality_rules.base_failed().alias("base_failed"))
 
 
-QUERIES = (quality_statistics, op1_html_main_text, op2_quality_rules, op3_warc_normaliser, op4_best_fit_packing, op5_decontamination, op6_token_shards, op7_toxicity, op8_sharding, op9_license_scan, op10_near_duplicates, op11_merkle_manifest, op13_bpe_codec)
+QUERIES = (quality_statistics, op1_html_main_text, op2_quality_rules, op3_warc_normaliser, op4_best_fit_packing, op5_decontamination, op6_token_shards, op7_toxicity, op8_sharding, op9_license_scan, op10_near_duplicates, op11_merkle_manifest, op12_embedding_whitening, embedding_deviations, op13_bpe_codec)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -172,5 +181,15 @@ SELECT *, folded_root = root AS verified FROM folded
 """
 
 
+SQL_DEVIATIONS = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+u AS (SELECT DISTINCT x FROM v), size AS (SELECT count(*) AS n FROM u),
+sums AS (SELECT i, sum(x[i]) AS s FROM u, range(1, len(x) + 1) t(i) GROUP BY i),
+all_sums AS (SELECT list(s ORDER BY i) AS s FROM sums)
+SELECT vec_id, n, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i] - s[i]) * (n * x[i] - s[i]))) AS BIGINT) AS deviation FROM v, size, all_sums
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_near_duplicates": SQL_NEAR, "op3_warc_normaliser": SQL_WARC, "op11_merkle_manifest": SQL_MERKLE, "quality_statistics": SQL_STATISTICS}
+    return {"op10_near_duplicates": SQL_NEAR, "op3_warc_normaliser": SQL_WARC, "op11_merkle_manifest": SQL_MERKLE, "embedding_deviations": SQL_DEVIATIONS, "quality_statistics": SQL_STATISTICS}
