@@ -1,7 +1,7 @@
 """Exact byte-level BPE, encoded by backtracking over longest matches and decoded through an offset table.
 
 A sequence of tokens is what BPE makes of a text exactly if no merge crosses the border of any two neighbours
-(the pair table of :class:`Codec`). So the encoder puts down the longest token that starts at a place, goes to shorter
+(the pair table of :class:`Encoder`). So the encoder puts down the longest token that starts at a place, goes to shorter
 ones where the border to the token before does not hold, and steps back one token where none holds; a place
 that was stepped back from is never entered again, which bounds the work by the length of the text times the longest
 chain of prefixes. The longest token at a place comes from an Aho-Corasick automaton that runs on over the text, and
@@ -34,9 +34,10 @@ from tokenizers import pre_tokenizers
 
 from codicil.llm import worker
 from codicil.llm.bpe import default_path
+from codicil.llm.scratch import small_batches
 
 #: Pre-tokens, and pairs of tokens, that a worker remembers; of twice as many the older half goes, which costs time and no result.
-KEPT, KEPT_PAIRS = 400_000, 1_000_000
+KEPT, KEPT_PAIRS = 250_000, 400_000
 #: Longer pre-tokens are encoded anew each time, so that the table's size is bounded.
 KEPT_CHARS = 64
 #: Fixed value: pre-tokens of the byte-level scheme; letters come first here as they are the most frequent.
@@ -81,29 +82,45 @@ class OffsetTable:
         return b"".join(out)
 
 
-class Codec:
-    """Encodes and decodes as ``tokenizers`` does with a byte-level BPE file.
+def read(path: str) -> tuple[dict, list[dict], list[bytes]]:
+    """The model, the added tokens and the bytes of every token of a tokenizer file.
 
-    Only files that this algorithm can follow exactly are accepted: byte-level pre-tokens, no normaliser, each token
-    made by one merge, added tokens without options.
+    Only files that this algorithm can follow exactly are accepted: byte-level pre-tokens, no normaliser, added tokens without options.
     """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, added = spec["model"], spec.get("added_tokens") or []
+    split, shape = spec.get("pre_tokenizer") or {}, (spec.get("decoder") or {}).get("type")
+    options = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if model["type"] != "BPE" or options or spec.get("normalizer") or shape != "ByteLevel" or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) != ("ByteLevel", False, True):
+        raise ValueError(f"{path} is no plain byte-level BPE file")
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens with options")
+    byte = alphabet()
+    parts = [b""] * (1 + max([*model["vocab"].values(), *(t["id"] for t in added)], default=-1))
+    for token, i in model["vocab"].items():
+        parts[i] = bytes(byte[c] for c in token)
+    for t in added:
+        parts[t["id"]] = bytes(byte[c] for c in t["content"]) if all(c in byte for c in t["content"]) else t["content"].encode()
+    return model, added, parts
+
+
+class Decoder:
+    """Texts of ids, added tokens included."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, added = spec["model"], spec.get("added_tokens") or []
-        split, shape = spec.get("pre_tokenizer") or {}, (spec.get("decoder") or {}).get("type")
-        options = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
-        if model["type"] != "BPE" or options or spec.get("normalizer") or shape != "ByteLevel" or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) != ("ByteLevel", False, True):
-            raise ValueError(f"{path} is no plain byte-level BPE file")
-        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
-            raise ValueError("added tokens with options")
-        byte = alphabet()
-        raw = {token: bytes(byte[c] for c in token) for token in model["vocab"]}
-        size = 1 + max([*model["vocab"].values(), *(t["id"] for t in added)], default=-1)
-        parts = [b""] * size
-        for token, i in model["vocab"].items():
-            parts[i] = raw[token]
+        self.table = OffsetTable(read(path)[2])
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.table.gather(ids).decode("utf-8", "replace")
+
+
+class Encoder:
+    """Ids of texts as ``tokenizers`` gives them for a byte-level BPE file whose tokens are made by one merge each."""
+
+    def __init__(self, path: str):
+        model, added, parts = read(path)
+        size = len(parts)
         #: When BPE makes a token (bytes: before all merges), and what it is made of.
         self.born, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
         self.merged: dict[tuple[int, int], int] = {}
@@ -126,9 +143,6 @@ class Codec:
             self.automaton.add_word(word, i)
         self.automaton.make_automaton()
         self.added = {t["content"]: t["id"] for t in added}
-        for text, i in self.added.items():
-            parts[i] = bytes(byte[c] for c in text) if all(c in byte for c in text) else text.encode()
-        self.table = OffsetTable(parts)
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if self.added else None
         self.simple, self.rare = regex.compile(PATTERN).findall, rare()
@@ -228,22 +242,18 @@ class Codec:
                 out += map(self.kept.__getitem__, self.split(part))
         return np.frombuffer(b"".join(out), np.uint32)
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids, added tokens included."""
-        return self.table.gather(ids).decode("utf-8", "replace")
-
 
 class _Kept(dict):
     """Ids (native unsigned 32-bit) by pre-token, in a younger and an older half."""
 
-    def __init__(self, codec: Codec):
+    def __init__(self, encoder: Encoder):
         super().__init__()
-        self.codec, self.old = codec, {}
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
-            ids = array("I", self.codec.piece(part if part.isascii() else part.encode().decode("latin-1"))).tobytes()
+            ids = array("I", self.encoder.piece(part if part.isascii() else part.encode().decode("latin-1"))).tobytes()
         if len(part) <= KEPT_CHARS:
             if len(self) >= KEPT:
                 self.old = dict(self)
@@ -253,14 +263,20 @@ class _Kept(dict):
 
 
 @cache
-def codec(path: str) -> Codec:
-    """One codec for each Python worker, kept while this is what the worker does."""
-    worker.keep("bpe_codec", codec.cache_clear)
-    return Codec(path)
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker, kept while this is what the worker does."""
+    worker.keep("bpe_codec", encoder.cache_clear)
+    return Encoder(path)
+
+
+@cache
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def _with_column(df: DataFrame, source: str, name: str, kind: str, make) -> DataFrame:
-    """df with the column name, which make (codec, Arrow values) computes from the column source."""
+    """df with the column name, which make computes from the column source."""
+    small_batches(df.sparkSession)
     rest = [c for c in df.columns if c.lower() != name.lower()]
     given = df.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{source}`").alias("__given"))
 
@@ -280,7 +296,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", tokenizer: str |
     path = tokenizer or default_path()
 
     def make(texts: pa.Array) -> pa.Array:
-        found = [codec(path).encode(t) for t in texts.to_pylist()]
+        found = [encoder(path).encode(t) for t in texts.to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.uint32)]).astype(np.int32)))
 
@@ -293,7 +309,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", tokenizer: st
 
     def make(lists: pa.Array) -> pa.Array:
         known, values, ends = lists.is_valid().to_pylist(), lists.values.fill_null(-1).to_numpy(), lists.offsets.to_numpy()
-        return pa.array([codec(path).decode(values[a:b]) if ok else None for ok, a, b in zip(known, ends[:-1], ends[1:], strict=True)], pa.string())
+        return pa.array([decoder(path).decode(values[a:b]) if ok else None for ok, a, b in zip(known, ends[:-1], ends[1:], strict=True)], pa.string())
 
     return _with_column(df.withColumn(ids, F.col(f"`{ids}`").cast("array<int>")), ids, text, "string", make)
 
