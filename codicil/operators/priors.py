@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from codicil.config import PSI_THRESHOLD
 from codicil.functions.text import expanded_tokens, tokens
-
-
-def labelled_tokens(examples: DataFrame) -> DataFrame:
-    """(doc, label, token) of examples (doc, label, text), with synonyms; texts without tokens and empty labels have none."""
-    return examples.where("label <> ''").select("doc", "label", F.explode(expanded_tokens(F.col("text"))).alias("token"))
+from codicil.sources.working import Tables, few
 
 
 def fit_prior(examples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Token counts by label, (label, total tokens, documents), and the size of the vocabulary."""
-    rows = labelled_tokens(examples)
-    counts = rows.groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))
-    docs = examples.where((F.col("label") != "") & (F.size(expanded_tokens(F.col("text"))) > 0)).groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
-    totals = counts.groupBy("label").agg(F.sum("n").alias("total")).join(docs, "label")
+    # each text is expanded once: a row without a token counts it
+    split = examples.where("label <> ''").select("label", expanded_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    rows = split.select("label", F.explode(F.concat(F.col("t"), F.array(F.lit(None).cast("string")))).alias("token"))
+    counted = rows.groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))
+    counted = Tables(examples.sparkSession, "prior").save(counted, "counts")
+    counts = counted.where("token IS NOT NULL")
+    totals = counted.groupBy("label").agg(F.sum(F.when(F.col("token").isNotNull(), F.col("n"))).alias("total"), F.max(F.when(F.col("token").isNull(), F.col("n"))).alias("docs"))
     return counts, totals, counts.agg(F.count_distinct("token").alias("vocabulary"))
 
 
@@ -32,7 +31,7 @@ def predict_prior(queries: DataFrame, counts: DataFrame, totals: DataFrame, voca
     q = queries.select("query_id", F.explode(expanded_tokens(F.col("text"))).alias("token"))
     size = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
     seen = q.join(counts, "token").groupBy("query_id", "label").agg(F.sum(F.log(F.col("n") + 1.0)).alias("gain"))
-    labels = F.broadcast(totals.crossJoin(vocabulary))  # a row for each label
+    labels = few(totals.crossJoin(vocabulary))  # a row for each label
     all_docs = F.sum("docs").over(Window.partitionBy("query_id"))
     base = size.crossJoin(labels).join(seen, ["query_id", "label"], "left")
     score = F.log(F.col("docs") / all_docs) + F.coalesce("gain", F.lit(0.0)) - F.col("m") * F.log(F.col("total") + F.col("vocabulary"))

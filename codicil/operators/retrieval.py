@@ -32,19 +32,19 @@ def mode_or_default(mode: str | None, has_vectors: bool) -> str:
     return mode or ("hybrid" if has_vectors else "keyword")
 
 
-def keyword_scores(queries: DataFrame, flat: DataFrame, synonyms: bool = True) -> DataFrame:
+def keyword_scores(queries: DataFrame, flat: DataFrame, synonyms: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Share of each query's tokens, with those of synonyms, that a section in force on its date holds, if over 0.
 
-    Tokens are made distinct in each row before they are exploded; the join meets only equal tokens, and
+    carry: columns of flat that its rows keep. Tokens are made distinct in each row before they are exploded; the join meets only equal tokens, and
     counts are partly summed before they move.
     """
     split = expanded_tokens if synonyms else tokens
     q = queries.select("query_id", "as_of", split(F.col("text")).alias("t"))
     q = q.select("query_id", "as_of", F.greatest(F.size("t"), F.lit(1)).alias("n"), F.explode("t").alias("token"))
-    d = flat.select(*KEY, "name", "version", "effective_from", "effective_to", F.explode(split(F.col("body"))).alias("token"))
+    d = flat.select(*KEY, "name", "version", "effective_from", "effective_to", *carry, F.explode(split(F.col("body"))).alias("token"))
     hits = d.join(q, "token").where(in_force(F.col("as_of")))
-    counted = hits.groupBy("query_id", *KEY, "name", "version", "n").agg(F.count(F.lit(1)).alias("c"))
-    return counted.select("query_id", *KEY, "name", "version", F.round(F.col("c") / F.col("n"), SCORE_DIGITS).alias("score"))
+    counted = hits.groupBy("query_id", *KEY, "name", "version", *carry, "n").agg(F.count(F.lit(1)).alias("c"))
+    return counted.select("query_id", *KEY, "name", "version", *carry, F.round(F.col("c") / F.col("n"), SCORE_DIGITS).alias("score"))
 
 
 def keyword(queries: DataFrame, flat: DataFrame, limit: int = SEARCH_LIMIT, synonyms: bool = True, bonus: DataFrame | None = None) -> DataFrame:
@@ -59,9 +59,24 @@ def with_bonus(scores: DataFrame, bonus: DataFrame) -> DataFrame:
     return joined.withColumn("score", F.round(F.col("score") + PRIOR_WEIGHT * F.coalesce("_p", F.lit(0.0)), SCORE_DIGITS)).drop("_p")
 
 
-def two_phase(scores: DataFrame, bonus: DataFrame, limit: int) -> DataFrame:
-    """Candidates by plain score, then the bonus, then the final order."""
-    return top(with_bonus(top(scores, min(CANDIDATES, max(limit, 1) * CANDIDATE_FACTOR)).drop("rank"), bonus), limit)
+def with_prior(scores: DataFrame, prior: DataFrame, labels: str = "labels") -> DataFrame:
+    """Scores plus the prior's weight times the best probability (query_id, label, probability) among a row's labels, an array.
+
+    A search's probabilities, one for each label, are one map that meets its rows.
+    """
+    maps = prior.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "probability"))).alias("_p"))  # a row for each query
+    best = F.array_max(F.transform(F.col(labels), lambda label: F.col("_p")[label]))
+    joined = scores.join(maps, "query_id", "left")
+    return joined.withColumn("score", F.round(F.col("score") + PRIOR_WEIGHT * F.coalesce(best, F.lit(0.0)), SCORE_DIGITS)).drop("_p", labels)
+
+
+def two_phase(scores: DataFrame, prior: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """Candidates by plain score, then the prior's bonus, then the final order.
+
+    labels: (policy_id, labels); only candidates meet them.
+    """
+    cut = top(scores, min(CANDIDATES, max(limit, 1) * CANDIDATE_FACTOR)).drop("rank")
+    return top(with_prior(cut.join(labels, "policy_id", "left"), prior), limit)
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame, positive: bool = False) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from codicil.config import CANDIDATES, MAX_ATTEMPTS, PRIOR_WEIGHT, QUESTION_LIMIT, SCORE_DIGITS
 from codicil.functions import labels, text
-from codicil.operators import catalog, collect, evaluate, ingest, priors, retrieval, review, workflow
+from codicil.operators import catalog, collect, evaluate, fulltext, ingest, priors, retrieval, review, workflow
 from codicil.plans import search
-from codicil.plans.search import DOCS, ORACLES, QUERIES, WHOLE, flat, fused_sql, prior_sql, query, ranked, scores_sql, semantic_sql, top_sql, whole
+from codicil.plans.search import CONTENT, DOCS, ORACLES, QUERIES, SEARCHES, WHOLE, flat, fulltext_sql, fused_sql, prior_sql, query, ranked, scores_sql, semantic_sql, top_sql, whole
 from codicil.sources.tables import SQL, policies, queries, sections, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -122,36 +122,49 @@ def retrieval_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.with_mode(rows, F.col("event_id") % 3 == 0, full_text=True).drop("mode")
 
 
-_BONUS = f"""
+_BONUS = """
 best_prior AS (SELECT r.query_id, p.policy_id, r.probability FROM prior r JOIN policies p ON p.lang = r.label),"""
 
 
-def _bonus(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """Prior of the policies of rows; classes are languages."""
-    q = queries(spark, sf_dir)
-    prior = priors.predict_prior(q, *priors.fit_prior(search._examples(spark, sf_dir)))
-    own = policies(spark, sf_dir).select("policy_id", F.col("lang").alias("label"))
-    return rows.select("query_id", "policy_id").join(own, "policy_id").join(prior, ["query_id", "label"])
+def _prior(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Probabilities of classes, which are languages, and each policy's class."""
+    prior = priors.predict_prior(queries(spark, sf_dir), *priors.fit_prior(search._examples(spark, sf_dir)))
+    return prior, policies(spark, sf_dir).select("policy_id", F.array("lang").alias("labels"))
 
 
-@query(f"""WITH {SQL} {WHOLE} {DOCS} {prior_sql('docs', 'items')} {_BONUS} {scores_sql('whole')} {top_sql('scores', 'cut', CANDIDATES)},
-biased AS (SELECT c.* EXCLUDE (score, rank), round(score + {PRIOR_WEIGHT} * coalesce(probability, 0), {SCORE_DIGITS}) AS score FROM cut c LEFT JOIN best_prior USING (query_id, policy_id)),
+def _biased_sql(cut: str, name: str = "biased") -> str:
+    return f"{name} AS (SELECT c.* EXCLUDE (score, rank), round(score + {PRIOR_WEIGHT} * coalesce(probability, 0), {SCORE_DIGITS}) AS score FROM {cut} c LEFT JOIN best_prior USING (query_id, policy_id)),"
+
+
+@query(f"""WITH {SQL} {WHOLE} {DOCS} {prior_sql('docs', 'items')} {_BONUS} {scores_sql('whole')} {top_sql('scores', 'cut', CANDIDATES)}, {_biased_sql('cut')}
 {top_sql('biased')} SELECT query_id, policy_id, section_ref, round(score, 6) AS score, rank FROM best""")
 def keyword_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred best by keywords, ranked again with the class prior."""
     scores = retrieval.keyword_scores(queries(spark, sf_dir), whole(spark, sf_dir))
-    return ranked(retrieval.two_phase(scores, _bonus(spark, sf_dir, scores), 5)).withColumn("score", F.round("score", 6))
+    return ranked(retrieval.two_phase(scores, *_prior(spark, sf_dir), 5)).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {SQL} {WHOLE} {DOCS} {prior_sql('docs', 'items')} {_BONUS} {scores_sql('whole')} {semantic_sql(True)}
-{fused_sql('scores', 'semantic', CANDIDATES).replace('best AS', 'cut AS').replace('rank <= 5', f'rank <= {CANDIDATES}')},
-biased AS (SELECT c.* EXCLUDE (score, rank), round(score + {PRIOR_WEIGHT} * coalesce(probability, 0), {SCORE_DIGITS}) AS score FROM cut c LEFT JOIN best_prior USING (query_id, policy_id)),
-{top_sql('biased')} SELECT query_id, policy_id, section_ref, round(score, 6) AS score, rank FROM best""")
+_COVERED = f"{CONTENT} {SEARCHES} {fulltext_sql('content')} {top_sql('covered', 'cut', CANDIDATES)}, {_biased_sql('cut', 'lexical')}"
+
+
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best by full text as far as the prior's bonus can count."""
+    return fulltext.fulltext_scores(search._searches(spark, sf_dir), catalog.text_only(whole(spark, sf_dir)), best=CANDIDATES)
+
+
+@query(f"""WITH {SQL} {WHOLE} {DOCS} {prior_sql('docs', 'items')} {_BONUS} {_COVERED}
+{top_sql('lexical')} SELECT query_id, policy_id, section_ref, round(score, 6) AS score, rank FROM best""")
+def fulltext_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred best by full text, ranked again with the class prior."""
+    return ranked(retrieval.two_phase(_lexical(spark, sf_dir), *_prior(spark, sf_dir), 5)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {SQL} {WHOLE} {DOCS} {prior_sql('docs', 'items')} {_BONUS} {_COVERED} {semantic_sql(False)}
+{fused_sql('lexical', 'semantic', CANDIDATES)} SELECT query_id, policy_id, section_ref, round(score, 6) AS score, rank FROM best""")
 def hybrid_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fusion of the hundred best of keywords and of vectors, ranked again with the class prior."""
-    lexical = retrieval.keyword_scores(queries(spark, sf_dir), whole(spark, sf_dir))
-    both = retrieval.fused(lexical, search._semantic(spark, sf_dir, True), CANDIDATES, CANDIDATES).drop("rank")
-    return ranked(retrieval.top(retrieval.with_bonus(both, _bonus(spark, sf_dir, both)), 5)).withColumn("score", F.round("score", 6))
+    """Fusion of the hundred best of full text, ranked with the class prior, and of vectors; nothing is added after it."""
+    lexical = retrieval.two_phase(_lexical(spark, sf_dir), *_prior(spark, sf_dir), CANDIDATES).drop("rank")
+    return ranked(retrieval.fused(lexical, search._semantic(spark, sf_dir, False), 5, CANDIDATES)).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {SQL} p AS (SELECT policy_id, effective_from AS published, lang, source, content FROM policies),

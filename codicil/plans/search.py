@@ -161,10 +161,8 @@ def keyword_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword ranking with the class prior as a bonus; classes are languages."""
     q = queries(spark, sf_dir)
     prior = priors.predict_prior(q, *priors.fit_prior(_examples(spark, sf_dir)))
-    scores = retrieval.keyword_scores(q, whole(spark, sf_dir))
-    own = policies(spark, sf_dir).select("policy_id", F.col("lang").alias("label"))
-    bonus = scores.select("query_id", "policy_id").join(own, "policy_id").join(prior, ["query_id", "label"])
-    return ranked(retrieval.top(retrieval.with_bonus(scores, bonus), 5)).withColumn("score", F.round("score", 6))
+    scores = retrieval.keyword_scores(q, whole(spark, sf_dir), carry=("lang",)).withColumn("labels", F.array("lang")).drop("lang")
+    return ranked(retrieval.top(retrieval.with_prior(scores, prior), 5)).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, {TOKENS.format('text')} AS a, {TOKENS.format("coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '')")} AS b FROM conversations)
@@ -219,16 +217,57 @@ def _websearch(q: DataFrame) -> DataFrame:
     return q.withColumn("text", F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(3)), clause), " OR "))
 
 
-@query()
+_WORD = lambda i: f"coalesce(w[{i}], '')"
+#: The same in SQL: alternatives start at every third word.
+WEBSEARCH = f"""lexed_items AS (SELECT query_id, as_of, {LEXEMES.format('text')} AS w FROM items),
+searches AS (SELECT query_id, as_of, array_to_string(list_transform(range(0, greatest(len(w), 1), 3),
+  lambda i: '"' || {_WORD('i + 1')} || ' ' || {_WORD('i + 2')} || '" ' || {_WORD('i + 3')} || CASE WHEN i + 3 >= len(w) THEN ' -' || {_WORD('1')} ELSE '' END), ' OR ') AS text FROM lexed_items),"""
+
+
+def fulltext_sql(rows: str, searches: str = "searches") -> str:
+    """CTEs up to covered(query_id, section columns, score) of web searches over rows."""
+    return rf"""
+ft_parts AS (SELECT query_id, as_of, unnest(p) AS part, unnest(range(len(p))) AS unit FROM (SELECT *, regexp_extract_all(lower(text), '-?"[^"]*"|\S+') AS p FROM {searches})),
+ft_clauses AS (SELECT *, sum(CASE WHEN part = 'or' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY unit) AS clause FROM ft_parts),
+ft_words AS (SELECT query_id, as_of, clause, unit, starts_with(part, '-') AS negated, len(w) AS n, unnest(w) AS lexeme, unnest(range(len(w))) AS shift
+  FROM (SELECT *, {LEXEMES.format('part')} AS w FROM ft_clauses WHERE part <> 'or')),
+ft_units AS (SELECT * FROM ft_words QUALIFY bool_or(NOT negated) OVER (PARTITION BY query_id, clause)),
+ft_asked AS (SELECT DISTINCT query_id, as_of, lexeme FROM ft_units),
+ft_places AS (SELECT row_number() OVER () AS section, * FROM {rows}),
+ft_terms AS (SELECT section, unnest(w) AS lexeme, unnest(range(len(w))) AS place FROM (SELECT section, {LEXEMES.format('body')} AS w FROM ft_places)),
+ft_hits AS (SELECT q.query_id, section, lexeme, place FROM ft_terms JOIN ft_asked q USING (lexeme) JOIN ft_places f USING (section) WHERE {IN_FORCE}),
+ft_occs AS (SELECT query_id, section, clause, unit, negated, n, min(place) AS a, max(place) AS z FROM ft_hits JOIN ft_units USING (query_id, lexeme)
+  GROUP BY query_id, section, clause, unit, negated, n, place - shift HAVING count(*) = n),
+ft_met AS (SELECT query_id, section, clause, count(DISTINCT unit) AS met FROM ft_occs GROUP BY ALL HAVING NOT bool_or(negated)),
+ft_needed AS (SELECT query_id, clause, count(DISTINCT unit) AS met FROM ft_units WHERE NOT negated GROUP BY ALL),
+ft_good AS (SELECT o.*, met FROM ft_occs o JOIN ft_met USING (query_id, section, clause) JOIN ft_needed USING (query_id, clause, met)),
+ft_ends AS (SELECT DISTINCT query_id, section, z AS e FROM ft_good),
+ft_last AS (SELECT query_id, section, e, clause, met, unit, max(a) AS a FROM ft_ends JOIN ft_good USING (query_id, section) WHERE z <= e GROUP BY ALL),
+ft_starts AS (SELECT query_id, section, e, clause, min(a) AS b FROM ft_last GROUP BY query_id, section, e, clause, met HAVING count(*) = met),
+ft_covers AS (SELECT query_id, section, b, min(e) AS e FROM (SELECT query_id, section, e, max(b) AS b FROM ft_starts GROUP BY ALL) GROUP BY ALL),
+ft_inside AS (SELECT query_id, section, b, e, count(*) AS named FROM ft_covers JOIN ft_hits USING (query_id, section) WHERE place BETWEEN b AND e GROUP BY ALL),
+covered AS (SELECT query_id, policy_id, section_ref, position, name, version, round(score, {SCORE_DIGITS}) AS score
+  FROM (SELECT query_id, section, sum({fulltext.WEIGHT} / (1 + (e - b + 1 - named))) AS score FROM ft_inside GROUP BY ALL) JOIN ft_places USING (section)),"""
+
+
+#: Web searches of plain items: their folded text and forms of synonyms.
+SEARCHES = f"""cleaned AS (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') AS clean FROM items),
+searches AS (SELECT query_id, as_of, array_to_string(list_filter([clean, {_MORE}], lambda x: x IS NOT NULL), ' OR ') AS text FROM cleaned),"""
+FLAT_CONTENT = "content AS (SELECT * REPLACE (text AS body) FROM flat),"
+
+
+@query(f"WITH {SQL} {FLAT_CONTENT} {WEBSEARCH} {fulltext_sql('content')} {top_sql('covered')} {RANKED}")
 def fulltext_websearch_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web searches of whole queries, ranked by cover density."""
-    return ranked(retrieval.top(fulltext.fulltext_scores(_websearch(queries(spark, sf_dir)), catalog.text_only(flat(spark, sf_dir))), 5))
+    asked, rows = _websearch(queries(spark, sf_dir)), catalog.text_only(flat(spark, sf_dir))
+    return ranked(retrieval.top(fulltext.fulltext_scores(asked, rows, best=5), 5))
 
 
 @query()
 def fulltext_english_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with English stems and stop words."""
-    return ranked(retrieval.top(fulltext.fulltext_scores(_websearch(queries(spark, sf_dir)), catalog.text_only(flat(spark, sf_dir)), stemmed=True), 5))
+    asked, rows = _websearch(queries(spark, sf_dir)), catalog.text_only(flat(spark, sf_dir))
+    return ranked(retrieval.top(fulltext.fulltext_scores(asked, rows, stemmed=True, best=5), 5))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -301,10 +340,15 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(retrieval.fused(lexical, _semantic(spark, sf_dir, True), 5)).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {SQL} {WHOLE} {CONTENT} {all_words_sql('content')} {semantic_sql(False)} {fused_sql('matched', 'semantic', CANDIDATES)} SELECT query_id, policy_id, section_ref, round(score, 6) AS score, rank FROM best")
+def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = queries(spark, sf_dir)
+    return q.withColumn("text", websearch_text(F.col("text")))
+
+
+@query(f"WITH {SQL} {WHOLE} {CONTENT} {SEARCHES} {fulltext_sql('content')} {semantic_sql(False)} {fused_sql('covered', 'semantic', CANDIDATES)} SELECT query_id, policy_id, section_ref, round(score, 6) AS score, rank FROM best")
 def hybrid_rrf_pg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion of the hundred best of full text and of vectors."""
-    lexical = fulltext.all_words(queries(spark, sf_dir), catalog.text_only(whole(spark, sf_dir)))
+    lexical = fulltext.fulltext_scores(_searches(spark, sf_dir), catalog.text_only(whole(spark, sf_dir)), best=CANDIDATES)
     return ranked(retrieval.fused(lexical, _semantic(spark, sf_dir, False), 5, CANDIDATES)).withColumn("score", F.round("score", 6))
 
 

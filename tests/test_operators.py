@@ -5,6 +5,8 @@ from __future__ import annotations
 import http.server
 import io
 import json
+import random
+import re
 import threading
 import urllib.error
 import urllib.parse
@@ -44,11 +46,70 @@ def test_websearch_text(spark, query, expected):
     assert one(spark, x=texts.websearch_text(F.lit(query))).x == expected
 
 
-def test_full_text_parser_and_covers():
-    assert fulltext.parse('a "b c" OR -d e') == [[(False, ["a"]), (False, ["b", "c"])], [(True, ["d"]), (False, ["e"])]]
-    assert fulltext.covers({"a": [0, 5], "b": [1]}, {"a", "b"}) == pytest.approx(0.1 + 0.1 / 4)
-    assert fulltext.covers({"a": [0, 1, 2]}, {"a"}) == pytest.approx(0.3)
-    assert fulltext.matches([(False, ["b", "c"])], {"b": [3], "c": [4]}) and not fulltext.matches([(False, ["b", "c"])], {"b": [4], "c": [3]})
+def searchable(spark, bodies):
+    rows = [(i, "s", 0, f"n{i:03d}", 1, None, None, t) for i, t in enumerate(bodies)]
+    return spark.createDataFrame(rows, "policy_id int, section_ref string, position int, name string, version int, effective_from date, effective_to date, body string")
+
+
+def searches(spark, asked):
+    return spark.createDataFrame([(i, t, date(2026, 1, 1)) for i, t in enumerate(asked)], "query_id int, text string, as_of date")
+
+
+def test_full_text_parser(spark):
+    rows = fulltext.parsed(searches(spark, ['a "b c" OR -d e', "-x", '"p q', "or pm2.5 or"])).collect()
+    got = sorted((r.query_id, r.clause, r.unit, r.negated, r.n, r.shift, r.lexeme) for r in rows)
+    assert got == [(0, 0, 0, False, 1, 0, "a"), (0, 0, 1, False, 2, 0, "b"), (0, 0, 1, False, 2, 1, "c"), (0, 1, 3, True, 1, 0, "d"), (0, 1, 4, False, 1, 0, "e"), (2, 0, 0, False, 1, 0, "p"), (2, 0, 1, False, 1, 0, "q"), (3, 1, 1, False, 2, 0, "pm2"), (3, 1, 1, False, 2, 1, "5")]
+
+
+def brute_covers(search, body):
+    """Score by trying every stretch of the body's words."""
+    words = re.findall("[a-z0-9]+", body.lower())
+    clauses = [[]]
+    for m in re.finditer(r'(-?)"([^"]*)"|(\S+)', search.lower()):
+        if m[3] == "or":
+            clauses.append([])
+        elif unit := re.findall("[a-z0-9]+", m[2] if m[3] is None else m[3]):
+            clauses[-1].append((bool(m[1]) if m[3] is None else m[3].startswith("-"), unit))
+    clauses = [c for c in clauses if any(not n for n, _ in c)]
+    named = {w for c in clauses for _, u in c for w in u}
+    held = lambda unit, part: any(part[i : i + len(unit)] == unit for i in range(len(part)))
+    good = [c for c in clauses if all(held(u, words) != n for n, u in c)]
+    stretches = [(i, j) for i in range(len(words)) for j in range(i, len(words)) if any(all(held(u, words[i : j + 1]) for n, u in c if not n) for c in good)]
+    shortest = [(i, j) for i, j in stretches if not any((i, j) != (a, b) and i <= a and b <= j for a, b in stretches)]
+    return round(sum(0.1 / (1 + sum(w not in named for w in words[i : j + 1])) for i, j in shortest), 9)
+
+
+def test_covers_are_those_of_all_stretches(spark):
+    rng = random.Random(4)
+    bodies = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 26))) for _ in range(150)] + ["", "z" * 50]
+    asked = ["a", "a b", '"a b"', '"a b" c -d', "a b c OR d e", '"c d e" OR "e d c" OR g -"a b"', "a -b OR b -a", "q OR a", "q", "-a", "a a", '"a a"', "a OR b OR c OR d"]
+    flat, q = searchable(spark, bodies), searches(spark, asked)
+    got = {(r.query_id, r.policy_id): r.score for r in fulltext.fulltext_scores(q, flat).collect()}
+    want = {(i, k): s for i, t in enumerate(asked) for k, b in enumerate(bodies) if (s := brute_covers(t, b))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in want)
+    for k in (1, 5, 40):  # bounds leave out nothing that is among the best
+        kept = {(r.query_id, r.policy_id): r.score for r in fulltext.fulltext_scores(q, flat, best=k).collect()}
+        for i in range(len(asked)):
+            own = sorted((s for (j, _), s in want.items() if j == i), reverse=True)
+            least = own[min(k, len(own)) - 1] if own else 0
+            assert {p for (j, p), s in want.items() if j == i and s > least + 1e-8} <= {p for j, p in kept if j == i}
+            assert sum(j == i for j, _ in kept) >= min(k, len(own))
+
+
+def test_all_alternatives_add_up(spark):
+    body = " ".join(["nox and more"] * 10 + ["nitrogen oxides or less"] * 8)
+    q = searches(spark, ["NOx"]).withColumn("text", texts.websearch_text(F.col("text")))
+    index = fulltext.PostingIndex.build(searchable(spark, [body, "nitrogen and oxides", "oxides nitrogen nox"]))
+    for _ in range(2):  # one index serves many batches
+        assert {r.policy_id: r.score for r in fulltext.fulltext_scores(q, None, index=index).collect()} == {0: 1.8, 2: 0.1}
+
+
+def test_prior_inside_full_text(spark):
+    flat, q = searchable(spark, ["nox rule", "nox rule", "rule"]), searches(spark, ["nox"])
+    prior = spark.createDataFrame([(0, "40:60", 1.0), (0, "40:52", 0.5)], "query_id int, label string, probability double")
+    labels_of = spark.createDataFrame([(1, ["40:52", "40:60"]), (2, ["40:60"])], "policy_id int, labels array<string>")
+    rows = retrieval.two_phase(fulltext.fulltext_scores(q, flat, best=100), prior, labels_of, 5).orderBy("rank").collect()
+    assert [(r.policy_id, r.score) for r in rows] == [(1, 0.15), (0, 0.1)]
 
 
 def test_english_stems():
@@ -63,10 +124,9 @@ def test_english_stems():
 
 
 def test_english_full_text(spark):
-    rows = [(1, "The agency regulates emissions of stationary sources."), (2, "An emission source was regulated by agencies in the state."), (3, "State plans for ozone.")]
-    flat = spark.createDataFrame([(i, "s", 0, f"n{i}", 1, None, None, t) for i, t in rows], "policy_id int, section_ref string, position int, name string, version int, effective_from date, effective_to date, body string")
+    flat = searchable(spark, ["", "The agency regulates emissions of stationary sources.", "An emission source was regulated by agencies in the state.", "State plans for ozone."])
     asked = ["regulating sources", "stationary sources", '"emission of stationary source"', "the state -ozone", "the of", "plan OR stationary"]
-    q = spark.createDataFrame([(i, t, date(2026, 1, 1)) for i, t in enumerate(asked)], "query_id int, text string, as_of date")
+    q = searches(spark, asked)
     found = {}
     for r in fulltext.fulltext_scores(q, flat, stemmed=True).collect():
         found.setdefault(r.query_id, set()).add(r.policy_id)
