@@ -11,7 +11,7 @@ from codicil.functions.vectors import cosine, reciprocal_rank
 from codicil.operators.catalog import in_force
 
 KEY = ("policy_id", "section_ref", "position")
-#: Most query vectors that are broadcast; a larger query set is joined as it is.
+#: Most query vectors that are broadcast; a larger query set is dealt into groups.
 BROADCAST_QUERIES = 10_000
 MODES = ("keyword", "fulltext", "vector", "embedding", "hybrid")
 
@@ -80,9 +80,21 @@ def two_phase(scores: DataFrame, prior: DataFrame, labels: DataFrame, limit: int
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame, positive: bool = False) -> DataFrame:
-    """Cosine of each query vector with each vector; exact. queries: the stated query set, which is the small side."""
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    scored = vectors.crossJoin(F.broadcast(queries) if few else queries).withColumn("score", F.round(cosine(F.col("embedding"), F.col("query_embedding")), SCORE_DIGITS)).drop("embedding", "query_embedding")
+    """Cosine of each query vector with each vector; exact. queries: the stated query set.
+
+    Query sets of over BROADCAST_QUERIES vectors are dealt into groups, and vectors are copied to each group, so that a task meets a
+    bounded part of both.
+    """
+    n = queries.count()
+    if n <= BROADCAST_QUERIES:
+        met = vectors.crossJoin(F.broadcast(queries))
+    else:
+        groups = -(-n // BROADCAST_QUERIES)
+        dealt = queries.withColumn("_group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+        copied = vectors.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("_deal", F.pmod(F.xxhash64("embedding"), F.lit(groups)).cast("int"))
+        dealt = dealt.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        met = copied.join(dealt, ["_group", "_deal"]).drop("_group", "_deal")
+    scored = met.withColumn("score", F.round(cosine(F.col("embedding"), F.col("query_embedding")), SCORE_DIGITS)).drop("embedding", "query_embedding")
     return scored.where("score > 0") if positive else scored
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codicil.config import CANDIDATES, PRIOR_WEIGHT, SCORE_DIGITS
 from codicil.functions.text import SYNONYMS, _form_tokens, embedding_key, overlap_share, websearch_text
-from codicil.operators import catalog, evaluate, fulltext, ingest, priors, retrieval, validate
+from codicil.operators import applicability, catalog, evaluate, fulltext, ingest, neighbours, priors, retrieval, validate
 from codicil.sources.tables import IN_FORCE, ORDER, SQL, policies, queries, sections, table
 
 QUERIES: dict = {}
@@ -109,6 +109,29 @@ def keyword_asof_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("as_of").agg(F.sum("step").alias("policies")).where("policies > 0")
 
 
+_CASES = "cases AS (SELECT o_orderkey AS case_id, DATE '2024-01-01' + CAST((CAST(o_orderdate AS DATE) - DATE '1992-01-01') % 730 AS INTEGER) AS case_date FROM orders),"
+
+
+@query(f"WITH {SQL} {_CASES} n AS (SELECT 1) SELECT q.case_id, f.source, count(*) AS policies, min(f.policy_id) AS first_policy, CAST(sum(f.policy_id) AS BIGINT) AS policy_sum FROM policies f, (SELECT case_id, case_date AS as_of FROM cases WHERE case_id % 100 = 0) q WHERE {IN_FORCE} GROUP BY 1, 2")
+def applicable_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies in force on the dates of the stated cases (orders whose key 100 divides), by source: pairs, summed up."""
+    found = applicability.applicable(_dated_cases(spark, sf_dir).where("case_id % 100 = 0"), policies(spark, sf_dir).where("status = 'ACTIVE'"), ("policy_id", "source"))
+    return found.groupBy("case_id", "source").agg(F.count(F.lit(1)).alias("policies"), F.min("policy_id").alias("first_policy"), F.sum("policy_id").alias("policy_sum"))
+
+
+@query(f"WITH {SQL} n AS (SELECT 1) SELECT q.query_id AS case_id, f.policy_id FROM policies f, items q WHERE {IN_FORCE}")
+def applicable_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of a benchmark case and a policy in force on its date."""
+    cases = queries(spark, sf_dir).select(F.col("query_id").alias("case_id"), F.col("as_of").alias("case_date"))
+    return applicability.applicable(cases, policies(spark, sf_dir).where("status = 'ACTIVE'"))
+
+
+def _dated_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    shift = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")) % 730
+    return o.select(F.col("o_orderkey").alias("case_id"), F.date_add(F.lit("2024-01-01").cast("date"), shift).alias("case_date"))
+
+
 SUFFIX = {0: " NOx limits", 1: " the greenhouse  gas", 2: " PM2.5 and SIP", 3: ""}
 
 
@@ -305,6 +328,32 @@ def vector_by_label_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy("query_id").agg(F.round(F.avg(same), 6).alias("same_label"))
 
 
+_NEAR = f"""WITH {VECTORS} {top_sql('scored', k=10)}, q AS (SELECT query_id, count(*) AS wanted FROM best GROUP BY 1)"""
+
+
+def _approximate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The ten nearest vectors of each query by the index, and exactly."""
+    q, rows = _vectors(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = neighbours.VectorIndex.build(vectors)
+    exact = retrieval.top(retrieval.vector_scores(q, rows), 10)
+    return index.search(q, vectors, 10), exact.withColumnRenamed("policy_id", "id")
+
+
+@query(f"{_NEAR} SELECT count(*) AS queries, CAST(sum(wanted) AS BIGINT) AS wanted, true AS recall_is_high FROM q")
+def vector_approximate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds at least nine tenths of the ten nearest vectors of all queries."""
+    r = neighbours.recall(*_approximate(spark, sf_dir))
+    return r.agg(F.count(F.lit(1)).alias("queries"), F.sum("wanted").alias("wanted"), (F.sum("met") >= 0.9 * F.sum("wanted")).alias("recall_is_high"))
+
+
+@query(f"{_NEAR} SELECT query_id, policy_id, round(score, 6) AS score FROM best WHERE rank = 1")
+def vector_approximate_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vector of each query by the index, which is the query's own."""
+    found, _ = _approximate(spark, sf_dir)
+    return found.where("rank = 1").select("query_id", F.col("id").alias("policy_id"), F.round("score", 6).alias("score"))
+
+
 def _semantic(spark: SparkSession, sf_dir: str, positive: bool) -> DataFrame:
     """Scores of policies in force by vectors: a policy's and a query's vector have its id."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
