@@ -1,8 +1,8 @@
 """Size-tiered compaction of immutable shards under versioned manifests.
 
 ``append`` writes arrivals as small Parquet shards and commits a manifest that lists them. ``compact`` looks for
-tiers (shards whose sizes are within a factor of FANOUT) with at least FANOUT members, merges neighbours in them
-into files of about the target size in one Spark job, and commits the next manifest; it repeats until no tier is
+runs of at least FANOUT shards of like size (each within a factor of FANOUT of the mean of the smaller ones), merges neighbours
+in them into files of about the target size in one Spark job, and commits the next manifest; it repeats until no run is
 full. A manifest ``v<number>.json`` is written under a temporary name and renamed without overwriting, so a version
 exists whole or not at all and of two writers one must try again. Shards are never changed; those that no manifest
 lists any more are removed by ``vacuum``.
@@ -47,22 +47,36 @@ class Entry:
 
 
 def tier(size: int) -> int:
-    """0 for the smallest shards; each tier's sizes are FANOUT times those of the one below."""
+    """What is shown of a size: 0 for the smallest shards, and one more for each factor of FANOUT. Merges don't go by it."""
     return max(0, math.floor(math.log(max(size, 1) / LEAST, FANOUT)))
 
 
+def like_sized(entries: list[Entry]) -> list[list[Entry]]:
+    """Shards by size, in runs in which none is more than FANOUT times the mean of those before it.
+
+    Sizes are compared with one another and not with fixed bounds, so shards of about one size are always of one run.
+    """
+    out: list[list[Entry]] = []
+    total = 0
+    for e in sorted(entries, key=lambda e: e.bytes):
+        size = max(e.bytes, LEAST)
+        if not out or size * len(out[-1]) > FANOUT * total:
+            out.append([])
+            total = 0
+        out[-1].append(e)
+        total += size
+    return out
+
+
 def runs(entries: list[Entry], target: int) -> list[list[Entry]]:
-    """Groups of shards to merge: neighbours of one tier, of at least FANOUT members, up to the target's size."""
-    tiers: dict[int, list[Entry]] = defaultdict(list)
-    for e in entries:
-        if e.bytes < target * 3 // 4:
-            tiers[tier(e.bytes)].append(e)
+    """Groups of shards to merge: of each run of at least FANOUT like-sized shards, neighbours up to the target's size."""
+    place = {e.path: i for i, e in enumerate(entries)}
     out = []
-    for _, own in sorted(tiers.items()):
+    for own in like_sized([e for e in entries if e.bytes < target * 3 // 4]):
         if len(own) < FANOUT:
             continue
         group: list[Entry] = []
-        for e in own:
+        for e in sorted(own, key=lambda e: place[e.path]):
             if group and sum(x.bytes for x in group) + e.bytes > target * 5 // 4:
                 out.append(group)
                 group = []
@@ -139,7 +153,7 @@ class Store:
         return version
 
     def compact(self) -> int:
-        """Merge full tiers until there are none; the number of the last version."""
+        """Merge full runs until there are none; the number of the last version."""
         version = self.version()
         entries = self.manifest(version)
         while groups := runs(entries, self.target):

@@ -380,6 +380,37 @@ def test_compaction(spark, tmp_path):
     assert store.vacuum() > 0 and store.read("doc_id long, text string").count() == 4000
 
 
+def test_runs_are_of_like_size():
+    kib = 1024
+    shard = lambda *sizes: [compaction.Entry(f"f{i}", 1, s * kib) for i, s in enumerate(sizes)]
+    merged = lambda *sizes: [[e.bytes // kib for e in g] for g in compaction.runs(shard(*sizes), 32 << 20)]
+    assert merged(255, 257, 211, 297, 240, 260) == [[255, 257, 211, 297, 240, 260]]  # however a power of four divides them
+    assert merged(1, 2, 3) == [] and merged(1, 2, 3, 60) == [[1, 2, 3, 60]]
+    assert merged(100, 2000, 100, 2000, 100, 2000, 100, 2000) == [[100] * 4, [2000] * 4]
+    assert merged(100, 100, 100, 9000) == [] and merged(40_000, 40_000, 40_000, 40_000) == []
+    assert merged(*[10_000] * 7) == [[10_000] * 4, [10_000] * 3]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_arrivals_are_merged(spark, sf):
+    documents = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = compaction.shard_and_read(documents).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("text_bytes").alias("b")).collect()
+    assert sum(r.n for r in rows) == documents.count()
+    assert len(rows) == 1  # six arrivals of this size fit into one shard
+
+
+def test_shards_reach_their_target(spark, tmp_path):
+    store = compaction.Store(spark, f"file://{tmp_path}/s", 400_000)
+    df = spark.range(40_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    for k in range(16):
+        store.append(df.where(F.col("id") % 16 == k).coalesce(1))
+    n = len(store.manifest())
+    store.compact()
+    sizes = [e.bytes for e in store.manifest()]
+    assert len(sizes) <= n / 2 and max(sizes) <= 500_000 and sum(s >= 200_000 for s in sizes) >= len(sizes) - 3
+    assert store.read("id long, text string").count() == 40_000
+
+
 def test_every_row_is_in_a_shard(odd):
     rows = compaction.shard_and_read(odd).collect()
     assert len(rows) == odd.count()
