@@ -9,6 +9,7 @@ from codicil.config import MAX_ATTEMPTS
 from codicil.operators import evaluate, workflow
 from codicil.plans.search import ORACLES, QUERIES, query
 from codicil.sources.tables import table
+from codicil.streaming import claims
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -102,3 +103,44 @@ def usage_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signed_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event properties as canonical bodies with their signatures."""
     return workflow.signed(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("payload")), "test-key")
+
+
+#: Leases of the claims below: three days.
+CLAIM_LEASE = 3 * 86_400
+
+_CLAIMS = f"""ev AS (SELECT user_id AS record, epoch_us(ts) AS moment, event_id AS seq, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'claimed' WHEN 'click' THEN 'renewed'
+  WHEN 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN 'finalised' ELSE 'claimed' END ELSE 'released' END AS kind, 'w' || event_id % 2 AS worker, 1 + event_id % 2 AS asked,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk(record, n, status, worker, token, attempts, lease_end, counted) AS (
+  SELECT record, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0 FROM (SELECT DISTINCT record FROM ev)
+  UNION ALL
+  SELECT record, n, CASE WHEN kind = 'queued' AND s IS NULL THEN 'queued' WHEN kind = 'claimed' AND s = 'queued' THEN 'claimed' WHEN mine AND kind = 'finalised' THEN 'finalised'
+      WHEN mine AND kind = 'released' THEN CASE WHEN attempts >= {MAX_ATTEMPTS} THEN 'failed' ELSE 'queued' END ELSE s END,
+    CASE WHEN kind = 'claimed' AND s = 'queued' THEN asker WHEN mine AND kind = 'released' AND attempts < {MAX_ATTEMPTS} THEN NULL ELSE w END,
+    token + CASE WHEN kind = 'claimed' AND s = 'queued' THEN 1 ELSE 0 END, attempts + CASE WHEN kind = 'claimed' AND s = 'queued' THEN 1 ELSE 0 END,
+    CASE WHEN kind = 'claimed' AND s = 'queued' OR mine AND kind = 'renewed' THEN moment + {CLAIM_LEASE}000000 ELSE lease_end END,
+    counted + CASE WHEN kind = 'queued' AND s IS NULL OR kind = 'claimed' AND s = 'queued' OR mine AND kind IN ('renewed', 'finalised', 'released') THEN 1 ELSE 0 END
+  FROM (SELECT *, coalesce(s = 'claimed' AND w = asker AND token = asked, false) AS mine FROM (
+    SELECT r.record, e.n, e.kind, e.moment, e.worker AS asker, e.asked, r.token, r.attempts, r.lease_end, r.counted,
+      CASE WHEN r.status = 'claimed' AND r.lease_end <= e.moment THEN CASE WHEN r.attempts >= {MAX_ATTEMPTS} THEN 'failed' ELSE 'queued' END ELSE r.status END AS s,
+      CASE WHEN r.status = 'claimed' AND r.lease_end <= e.moment AND r.attempts < {MAX_ATTEMPTS} THEN NULL ELSE r.worker END AS w
+    FROM walk r JOIN ev e ON e.record = r.record AND e.n = r.n + 1))),
+ended AS (SELECT * FROM walk QUALIFY n = max(n) OVER (PARTITION BY record)), till AS (SELECT max(moment) AS till FROM ev)"""
+
+
+def claim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test events as requests of two workers with tokens."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    named = F.when(kind == "signup", "queued").when(kind == "view", "claimed").when(kind == "click", "renewed").when((kind == "purchase") & (i % 4 == 0), "finalised").when(kind == "purchase", "claimed").otherwise("released")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("record"), F.col("ts").cast("timestamp").alias("ts"), i.alias("seq"), named.alias("kind"), F.concat(F.lit("w"), (i % 2).cast("string")).alias("worker"), (1 + i % 2).alias("token"))
+
+
+@query(f"""WITH RECURSIVE {_CLAIMS}
+SELECT record, CASE WHEN status = 'claimed' AND lease_end <= till THEN CASE WHEN attempts >= {MAX_ATTEMPTS} THEN 'failed' ELSE 'queued' END ELSE status END AS status,
+  CASE WHEN status = 'claimed' AND lease_end <= till AND attempts < {MAX_ATTEMPTS} THEN NULL ELSE worker END AS worker, token, attempts, CAST(counted AS BIGINT) AS counted
+FROM ended, till WHERE counted > 0""")
+def claim_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record after all requests and the reaping of leases between them, and how many requests counted."""
+    events = claims.claims_in_batch(claim_events(spark, sf_dir), CLAIM_LEASE)
+    counted = events.where("accepted AND kind <> 'reaped'").groupBy("record").agg(F.count(F.lit(1)).alias("counted"))
+    return claims.final_states(events).join(counted, "record")

@@ -1,20 +1,16 @@
-"""Queue replay, reaping and outbox delivery on streams."""
+"""Queue replay and windowed counts on streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import islice
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.query import StreamingQuery
 
 from codicil.config import LEASE_SECONDS
 
-#: Deliveries handed over at once.
-SENT_AT_ONCE = 500
 OUTPUT = "record long, state string, token long, stale long"
 STATE = "state string, token long, stale long, lease_end double"
 
@@ -47,16 +43,3 @@ def replayed(log: DataFrame, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
 def windowed_counts(log: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
     """Events of each kind by event-time window, with a watermark that drops later ones (an addition of this engine)."""
     return log.withWatermark("ts", late).groupBy(F.window("ts", width), "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-def deliver(outbox: DataFrame, send: Callable[[list[dict]], None], checkpoint: str) -> StreamingQuery:
-    """Send each micro-batch's partitions with their idempotency keys; at least once, resumed from the checkpoint."""
-
-    def batch(rows: DataFrame, _: int) -> None:
-        def sent(part: Iterator) -> None:
-            while some := [r.asDict() for r in islice(part, SENT_AT_ONCE)]:
-                send(some)
-
-        rows.foreachPartition(sent)
-
-    return outbox.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
