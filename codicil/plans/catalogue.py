@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codicil.plans import cases, corpus, queues, records, search
+from codicil.plans import cases, corpus, loads, queues, records, search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(search.QUERIES) | corpus.QUERIES | queues.QUERIES | records.QUERIES | cases.QUERIES
+    return dict(search.QUERIES) | corpus.QUERIES | queues.QUERIES | records.QUERIES | cases.QUERIES | loads.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(search.ORACLES) | corpus.ORACLES | queues.ORACLES | records.ORACLES | cases.ORACLES
+    return dict(search.ORACLES) | corpus.ORACLES | queues.ORACLES | records.ORACLES | cases.ORACLES | loads.ORACLES
