@@ -180,10 +180,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
                 good = [100 * n >= percent * (len(s) + len(t) - n) for n, s, t in zip(same, x, y, strict=True)]
                 yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t_{s}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    return joined.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long").distinct()
+    # of a pair's ends, the one that is in more pairs (a hub) is joined last: its text is one of few, the other's moves once
+    often = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    end = lambda s: often.select(F.col("doc_id").alias(s), F.col("times").alias(f"times_{s}"))
+    first = F.col("times_a") >= F.col("times_b")
+    turned = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"))
+    few = pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    side = lambda s: _texts(docs, turned.select(F.col(s).alias("doc_id")).distinct()).select(F.col("doc_id").alias(s), F.col("text").alias(f"t_{s}"))
+    joined = side("other").join(F.broadcast(turned) if few else turned, "other").join(side("hub"), "hub")
+    return joined.select("a", "b", "t_hub", "t_other").mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
