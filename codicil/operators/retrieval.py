@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codicil.config import CANDIDATE_FACTOR, CANDIDATES, PRIOR_WEIGHT, QUERY_CHARS_MOST, SCORE_DIGITS, SEARCH_LIMIT, SEARCH_LIMIT_MOST
+from codicil.config import CANDIDATE_FACTOR, CANDIDATES, PRIOR_WEIGHT, QUERY_CHARS_MOST, RRF_K, SCORE_DIGITS, SEARCH_LIMIT, SEARCH_LIMIT_MOST
 from codicil.functions.text import expanded_tokens, tokens
 from codicil.functions.vectors import cosine, reciprocal_rank
 from codicil.operators.catalog import in_force
+from codicil.sources.working import Tables
 
 KEY = ("policy_id", "section_ref", "position")
 #: Most query vectors that are broadcast; a larger query set is dealt into groups.
@@ -32,22 +33,50 @@ def mode_or_default(mode: str | None, has_vectors: bool) -> str:
     return mode or ("hybrid" if has_vectors else "keyword")
 
 
-def keyword_scores(queries: DataFrame, flat: DataFrame, synonyms: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+class TokenTable:
+    """Tokens of sections, with those of synonyms, as a table in buckets by token: computed once and joined without moving it.
+
+    Its rows keep the section's columns that rankings need, and those of ``carry``.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+
+    @classmethod
+    def build(cls, flat: DataFrame, synonyms: bool = True, carry: tuple[str, ...] = (), buckets: int | None = None) -> TokenTable:
+        spark = flat.sparkSession
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        split = expanded_tokens if synonyms else tokens
+        rows = flat.select(*KEY, "name", "version", "effective_from", "effective_to", *carry, F.explode(split(F.col("body"))).alias("token"))
+        tables = Tables(spark, "tokens")
+        name = f"tokens_{tables.root.rpartition('-')[2]}"
+        # a task for each bucket, so that a bucket is one sorted file
+        rows.repartition(n, "token").write.bucketBy(n, "token").sortBy("token").option("path", f"{tables.root}/rows").saveAsTable(name)
+        return cls(spark, name)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+
+def keyword_scores(queries: DataFrame, flat: DataFrame | TokenTable, synonyms: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Share of each query's tokens, with those of synonyms, that a section in force on its date holds, if over 0.
 
-    carry: columns of flat that its rows keep. Tokens are made distinct in each row before they are exploded; the join meets only equal tokens, and
+    flat: sections, or their token table (of the same synonyms). carry: columns that the rows keep. Tokens are made distinct in each row before they are exploded; the join meets only equal tokens, and
     counts are partly summed before they move.
     """
     split = expanded_tokens if synonyms else tokens
     q = queries.select("query_id", "as_of", split(F.col("text")).alias("t"))
     q = q.select("query_id", "as_of", F.greatest(F.size("t"), F.lit(1)).alias("n"), F.explode("t").alias("token"))
-    d = flat.select(*KEY, "name", "version", "effective_from", "effective_to", *carry, F.explode(split(F.col("body"))).alias("token"))
+    if isinstance(flat, TokenTable):
+        d = flat.rows().select(*KEY, "name", "version", "effective_from", "effective_to", *carry, "token")
+    else:
+        d = flat.select(*KEY, "name", "version", "effective_from", "effective_to", *carry, F.explode(split(F.col("body"))).alias("token"))
     hits = d.join(q, "token").where(in_force(F.col("as_of")))
     counted = hits.groupBy("query_id", *KEY, "name", "version", *carry, "n").agg(F.count(F.lit(1)).alias("c"))
     return counted.select("query_id", *KEY, "name", "version", *carry, F.round(F.col("c") / F.col("n"), SCORE_DIGITS).alias("score"))
 
 
-def keyword(queries: DataFrame, flat: DataFrame, limit: int = SEARCH_LIMIT, synonyms: bool = True, bonus: DataFrame | None = None) -> DataFrame:
+def keyword(queries: DataFrame, flat: DataFrame | TokenTable, limit: int = SEARCH_LIMIT, synonyms: bool = True, bonus: DataFrame | None = None) -> DataFrame:
     scores = keyword_scores(queries, flat, synonyms)
     return top(with_bonus(scores, bonus) if bonus is not None else scores, limit)
 
@@ -98,15 +127,47 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, positive: bool = False
     return scored.where("score > 0") if positive else scored
 
 
+#: Steps of a score within which rows are compared one by one.
+SCORE_STEPS = 4096
+
+
+def exact_ranks(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, KEY, rank) of the wanted rows (query_id, KEY) in the order of all rows of their query.
+
+    Rows are counted by steps of the score; only those of a wanted row's own step are compared with it. No query's list is
+    ranked as a whole, so its length bounds no task.
+    """
+    step = F.floor(F.col("score") * SCORE_STEPS).alias("step")
+    place = F.struct((-F.col("score")).alias("s"), "name", (-F.col("version")).alias("v"), "position", "section_ref", "policy_id").alias("place")
+    keyed = rows.select("query_id", *KEY, step, place)
+    steps = keyed.groupBy("query_id", "step").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # SCORE_STEPS rows or twice as many
+    own = keyed.join(wanted.select("query_id", *KEY), ["query_id", *KEY], "left_semi")
+    beside = own.join(keyed.select("query_id", "step", F.col("place").alias("other")), ["query_id", "step"]).where("other < place")
+    ahead = beside.groupBy("query_id", *KEY).agg(F.count(F.lit(1)).alias("ahead"))
+    placed = own.join(steps.select("query_id", "step", before.alias("before")), ["query_id", "step"]).join(ahead, ["query_id", *KEY], "left")
+    return placed.select("query_id", *KEY, (1 + F.col("before") + F.coalesce("ahead", F.lit(0))).alias("rank"))
+
+
 def fused(left: DataFrame, right: DataFrame, limit: int, candidates: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion of two scored lists (query_id, KEY, name, version, score).
 
-    candidates: length to which both lists are cut first. A list's rows keep their scores.
+    candidates: length to which both lists are cut first; without it ranks are those in the whole lists. A list's rows keep their scores.
+
+    Two ranks beyond RRF_K + 2 * limit add up to less than the first limit ranks of one list alone, so only rows within that of one
+    list can be among the best; their ranks in the other list are counted.
     """
-    bound = candidates or 2**31 - 1
     keys = ["query_id", *KEY, "name", "version"]
-    a = top(left, bound).select(*keys, F.col("rank").alias("left_rank"), F.col("score").alias("lexical_score"))
-    b = top(right, bound).select(*keys, F.col("rank").alias("right_rank"), F.col("score").alias("embedding_score"))
+    if candidates:
+        a, b = top(left, candidates), top(right, candidates)
+    else:
+        tables = Tables(left.sparkSession, "fused")
+        left, right = (tables.save(rows.select(*keys, "score"), side) for rows, side in ((left, "left"), (right, "right")))
+        near = RRF_K + 2 * limit
+        wanted = tables.save(top(left, near).select(*keys[:4]).union(top(right, near).select(*keys[:4])).distinct(), "wanted")
+        a, b = (rows.join(exact_ranks(rows, wanted), keys[:4]) for rows in (left, right))
+    a = a.select(*keys, F.col("rank").alias("left_rank"), F.col("score").alias("lexical_score"))
+    b = b.select(*keys, F.col("rank").alias("right_rank"), F.col("score").alias("embedding_score"))
     both = a.join(b, keys, "full_outer")
     score = F.round(reciprocal_rank(F.col("left_rank")) + reciprocal_rank(F.col("right_rank")), SCORE_DIGITS)
     rows = both.withColumn("score", score).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("lexical_score", "embedding_score")})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codicil.functions.privacy import INJECTIONS
 from codicil.operators import attempts, retrieval
-from codicil.plans.search import ORACLES, QUERIES, WHOLE, query, scores_sql, top_sql, whole
+from codicil.plans.search import ORACLES, QUERIES, WHOLE, prepared, query, scores_sql, top_sql, whole
 from codicil.sources.tables import SQL, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -43,7 +43,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     asked = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 365).cast("int")).alias("as_of"))
     w = whole(spark, sf_dir)
-    best = retrieval.keyword(asked, w, 1).select("query_id", "rank", "policy_id", "section_ref").join(w.select("policy_id", "text"), "policy_id")
+    best = retrieval.keyword(asked, prepared(spark, sf_dir, "whole"), 1).select("query_id", "rank", "policy_id", "section_ref").join(w.select("policy_id", "text"), "policy_id")
     return asked, best.select(F.col("query_id").alias("case_id"), "rank", F.col("policy_id").cast("string").alias("policy_id"), F.lit(1).alias("policy_version"), "section_ref", F.col("text").alias("content"))
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from codicil.config import PSI_FLOOR, PSI_THRESHOLD, SOURCE_CHARS
 from codicil.functions import privacy, text as texts
-from codicil.operators import catalog, drift, evaluate, ingest, priors, validate
+from codicil.operators import catalog, drift, evaluate, heads, ingest, priors, validate
 from codicil.plans.search import DOCS, ORACLES, QUERIES, TOKENS, prior_sql, query
 from codicil.sources.tables import SQL, policies, sections, table
+from codicil.sources.working import Tables
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -312,3 +313,37 @@ def round_robin_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty documents taken in turn from the sources."""
     key = F.struct(F.md5(F.col("doc_id").cast("string")), F.col("doc_id"))
     return evaluate.round_robin(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", key, 50)
+
+
+@query("""WITH models AS (SELECT unnest(['linear', 'majority', 'mlp', 'naive_bayes']) AS model)
+SELECT model, (SELECT count(*) FROM documents WHERE doc_id % 10 = 0 AND lang <> '') AS documents, true AS as_good_as_majority FROM models""")
+def classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The majority, naive Bayes and both heads on the test tenth's languages: whether each is right as often as the majority at least."""
+    docs = examples(spark, sf_dir).where("label <> ''").select("doc", "text", F.array("label").alias("labels"), "label")
+    train, test = docs.where("doc % 10 <> 0"), docs.where("doc % 10 = 0")
+    names = sorted(r.label for r in priors.supported_labels(train, 1).collect())  # classes, a handful
+    tables = Tables(spark, "comparison")
+    df = priors.document_frequency(train)
+    terms = tables.save(priors.vocabulary(df, 3, 500), "terms")
+    n = F.lit(train.count())
+    rows = {p: tables.save(heads.rows_for(priors.tfidf(part, terms, n), terms, part, names), p) for p, part in (("train", train), ("test", test))}
+    size = terms.count()
+    gold = test.select("doc", "label")
+    ranked = {"majority": _majority_ranks(train, test)}
+    asked = test.select(F.col("doc").alias("query_id"), "text")
+    ranked["naive_bayes"] = priors.predict_prior(asked, *priors.fit_prior(train)).select(F.col("query_id").alias("doc"), "label", F.col("probability").alias("score"))
+    for kind in heads.KINDS:
+        head = heads.fit(rows["train"], size, names, kind, epochs=15, hidden=16)
+        ranked[kind] = heads.scores(head, rows["test"], size)
+    rates = None
+    for model, s in ranked.items():
+        own = priors.hit_rates(priors.ranked_labels(s), gold, test).select(F.lit(model).alias("model"), "top1")
+        rates = own if rates is None else rates.unionByName(own)
+    rates = tables.save(rates, "rates")
+    least = rates.where("model = 'majority'").first()["top1"]
+    return rates.select("model", F.lit(test.count()).alias("documents"), (F.col("top1") >= least).alias("as_good_as_majority"))
+
+
+def _majority_ranks(train: DataFrame, test: DataFrame) -> DataFrame:
+    support = train.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return test.select("doc").crossJoin(F.broadcast(support))  # a row for each class

@@ -183,3 +183,49 @@ def test_more_queries_than_one_broadcast(spark, monkeypatch):
     q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(10)], "query_id long, query_embedding array<double>")
     rows = retrieval.vector_scores(q, v)
     assert rows.count() == 200 and "CartesianProduct" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+# token tables and ranks
+
+
+def test_token_table_is_joined_where_it_lies(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    bodies = ["nox limits apply", "nitrogen oxides apply here", "nothing else", ""]
+    rows = [(i, "s", 0, f"n{i}", 1, None, None, b, "en") for i, b in enumerate(bodies)]
+    flat = spark.createDataFrame(rows, "policy_id int, section_ref string, position int, name string, version int, effective_from date, effective_to date, body string, lang string")
+    q = spark.createDataFrame([(1, "NOx limits", date(2026, 1, 1)), (2, "apply nothing", date(2026, 1, 1))], "query_id int, text string, as_of date")
+    prepared = retrieval.TokenTable.build(flat, carry=("lang",), buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = retrieval.keyword_scores(q, prepared)
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(token") == 1  # the queries' side alone
+        got = sorted(map(tuple, scores.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted(map(tuple, retrieval.keyword_scores(q, flat).collect())) and got
+    assert {r.lang for r in retrieval.keyword_scores(q, prepared, carry=("lang",)).collect()} == {"en"}
+
+
+def test_ranks_are_counted_without_sorting_lists(spark):
+    rng = random.Random(8)
+    rows = [(q, i, "s", i % 3, f"n{rng.randrange(40)}", rng.randrange(3), round(rng.choice([rng.random(), 0.5, -0.25]), 4)) for q in range(3) for i in range(300)]
+    df = spark.createDataFrame(rows, "query_id int, policy_id int, section_ref string, position int, name string, version int, score double")
+    wanted = df.where("policy_id % 7 = 0").union(df.limit(1).withColumn("policy_id", F.lit(9999)))
+    got = {(r.query_id, r.policy_id): r["rank"] for r in retrieval.exact_ranks(df, wanted).collect()}
+    for q in range(3):
+        order = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[6], r[4], -r[5], r[3], r[2], r[1]))
+        for k, r in enumerate(order, 1):
+            assert (r[1] % 7 != 0) or got[q, r[1]] == k
+    assert len(got) == 3 * 43
+
+
+def test_fusion_of_whole_lists(spark):
+    rng = random.Random(9)
+    data = [[(1, i, "s", 0, f"n{i:03d}", 1, round(rng.random(), 2)) for i in range(250) if rng.random() < share] for share in (0.9, 0.5)]
+    left, right = (spark.createDataFrame(d, "query_id int, policy_id int, section_ref string, position int, name string, version int, score double") for d in data)
+    ranks = [{r[1]: k for k, r in enumerate(sorted(d, key=lambda r: (-r[6], r[4])), 1)} for d in data]
+    both = {i: round(sum(1 / (60 + r[i]) for r in ranks if i in r), 9) for i in set(ranks[0]) | set(ranks[1])}
+    want = sorted(both, key=lambda i: (-both[i], f"n{i:03d}"))[:5]
+    got = retrieval.fused(left, right, 5).orderBy("rank").collect()
+    assert [(r.policy_id, r.score) for r in got] == [(i, both[i]) for i in want]
