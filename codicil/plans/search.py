@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codicil.config import CANDIDATES, PRIOR_WEIGHT, SCORE_DIGITS
 from codicil.functions.text import SYNONYMS, _form_tokens, embedding_key, overlap_share, websearch_text
-from codicil.operators import applicability, catalog, evaluate, fulltext, ingest, neighbours, priors, retrieval, validate
+from codicil.operators import applicability, catalog, embedding, evaluate, fulltext, ingest, neighbours, priors, retrieval, validate
 from codicil.sources.tables import IN_FORCE, ORDER, SQL, policies, queries, sections, table
 from codicil.sources.working import Tables
 
@@ -425,6 +425,20 @@ def embed_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.incremental_embeddings(rows, stored)
 
 
+@query("""WITH r AS (SELECT doc_id, doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS current, len(regexp_extract_all(lower(concat_ws(' ', nullif(source, ''), nullif(text, ''))), '[a-z0-9]+')) AS words FROM documents)
+SELECT count(*) FILTER (NOT current) AS embedded, count(*) FILTER (current) AS skipped, count(*) FILTER (words > 256) AS truncated, count(*) AS filled FROM r""")
+def embedding_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a run over documents of which some have a vector of their content, and the vectors that a search then has."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("section_id"), F.col("source").alias("heading"), "text")
+    model = "hashed@1"
+    key = embedding_key(F.col("heading"), F.col("text"))
+    stored = d.where("section_id % 3 <> 0").select("section_id", F.lit(model).alias("model_id"), F.when(F.col("section_id") % 5 == 0, "old").otherwise(key).alias("content_sha256"), F.array(F.lit(1.0)).alias("embedding"))
+    rows, seen = embedding.embed_sections(d, stored, embedding.HashedWords, model)
+    rows.write.format("noop").mode("overwrite").save()
+    n = embedding.filled(d, stored, embedding.HashedWords, model).agg(F.count("embedding").alias("filled"))
+    return n.select(*(F.lit(seen.get[c]).alias(c) for c in ("embedded", "skipped", "truncated")), "filled")
+
+
 GOLD = f"gold_pairs AS (SELECT q.query_id, f.policy_id FROM items q, whole f WHERE len({TOKENS.format('q.text')}) > 0 AND contains(f.text, q.text) AND {IN_FORCE}),"
 
 

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codicil.operators import applicability, attempts, neighbours, retrieval
+from codicil.functions.text import embedding_key
+from codicil.operators import applicability, attempts, embedding, neighbours, retrieval
 
 # windows and dates
 
@@ -229,3 +230,31 @@ def test_fusion_of_whole_lists(spark):
     want = sorted(both, key=lambda i: (-both[i], f"n{i:03d}"))[:5]
     got = retrieval.fused(left, right, 5).orderBy("rank").collect()
     assert [(r.policy_id, r.score) for r in got] == [(i, both[i]) for i in want]
+
+
+# embedder
+
+
+def test_embedder_runs_once_for_what_is_missing(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def make():
+        with open(log, "a", encoding="utf-8") as f:
+            f.write("x")
+        return embedding.HashedWords(16, 3)
+
+    sections = spark.createDataFrame([(i, "Head" if i % 2 else None, "one two three four" if i < 4 else "one two") for i in range(10)], "section_id int, heading string, text string").coalesce(1)
+    key = embedding_key(F.col("heading"), F.col("text"))
+    kept = sections.where("section_id < 6").select("section_id", F.lit("m@1").alias("model_id"), F.when(F.col("section_id") == 0, "old").otherwise(key).alias("content_sha256"), F.array(F.lit(0.5)).alias("embedding"))
+    stored = kept.union(sections.where("section_id = 9").select("section_id", F.lit("other@1"), key, F.array(F.lit(0.1))))
+    rows, seen = embedding.embed_sections(sections, stored, make, "m@1")
+    got = {r.section_id: r for r in rows.collect()}
+    assert set(got) == {0, 6, 7, 8, 9} and {r.model_id for r in got.values()} == {"m@1"}
+    assert seen.get == {"embedded": 5, "skipped": 5, "truncated": 4}
+    assert got[6].embedding == embedding.HashedWords(16, 3).embed(["one two"])[0] and abs(sum(v * v for v in got[7].embedding) - 1) < 1e-9
+    assert {r.section_id for r in embedding.embed_sections(sections, stored, make, "m@1", only_missing=True)[0].collect()} == {6, 7, 8, 9}
+    every = {r.section_id: r.embedding for r in embedding.filled(sections, stored, make, "m@1").collect()}
+    assert len(every) == 10 and every[3] == [0.5] and len(every[0]) == 16
+    q = spark.createDataFrame([(1, "one two", date(2026, 1, 1))], "query_id int, text string, as_of date")
+    found = retrieval.vector_scores(embedding.query_vectors(q, make), sections.select(F.col("section_id")).join(embedding.filled(sections, stored.limit(0), make, "m@1"), "section_id"))
+    assert max(found.collect(), key=lambda r: r.score).section_id in (6, 8)
