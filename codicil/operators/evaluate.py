@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.functions.vectors import discounted_gain
+from codicil.sources.working import Tables
 
 #: Cells that a group's distinct values are dealt to when exact percentiles are looked for.
 CELLS = 256
@@ -49,7 +50,8 @@ def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     at = {"p50": 0.5, "p95": 0.95}
     same = F.col("_g").eqNullSafe(F.col("_of"))
     own = rows.select(F.col(by).alias("_g"), F.col(value).alias("_v"))
-    held = own.where(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # written once: cuts, cells and ranks all read it
+    held = Tables(rows.sparkSession, "percentiles").save(own.where(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n")), "held")
     turn = F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64("_v"), "_v"))
     cuts = held.select("_g", "_v", turn.alias("_turn")).where(F.col("_turn") < CELLS)
     cuts = cuts.groupBy(F.col("_g").alias("_of")).agg(F.sort_array(F.collect_list("_v")).alias("_cuts"))  # fewer than CELLS

@@ -8,8 +8,8 @@ of which reads less than a join of words with words would:
 2. In these blocks the alternative is tested with ``bit_and`` over its lexemes; no places are read.
 3. A block's greatest possible score follows from its most occurrences. With a limit k, each search's most promising blocks are scored
    first, and of the others only those that can still reach the k-th score.
-4. Places of what is left are read; phrases are equal shifts of places, and one pass over a section's occurrences adds up the
-   covers of all alternatives.
+   Before that, phrases are held against the places of their own words: equal shifts of places are a phrase.
+4. Places of all words are read for what is left, and one pass over a section's occurrences adds up the covers of all alternatives.
 
 Everything is DataFrame code; no row goes to Python, except words that are stemmed.
 """
@@ -28,6 +28,8 @@ from codicil.sources.working import Tables, few
 WEIGHT = 0.1
 #: Sections of a block: the bits of a long.
 BLOCK = 64
+#: So many matching sections, over all searches, are scored without looking at their bounds first.
+AT_ONCE = 20_000
 
 
 def lexemes(text: Column) -> Column:
@@ -52,14 +54,14 @@ class PostingIndex:
         tables = Tables(flat.sparkSession, "postings")
         keep = [c for c in (*KEY, "name", "version", "effective_from", "effective_to") if c in flat.columns]
         numbered = tables.save(flat.select(F.monotonically_increasing_id().alias("section"), *keep, "body"), "sections")
-        words = numbered.select("section", F.posexplode(terms(F.col("body"), stemmed)).alias("place", "lexeme")).where("lexeme <> ''")
+        block = F.expr(f"section div {BLOCK}").alias("block")
+        words = numbered.select("section", block, F.posexplode(terms(F.col("body"), stemmed)).alias("place", "lexeme")).where("lexeme <> ''")
         if asked is not None:
             words = words.join(few(asked.select("lexeme").distinct()), "lexeme", "left_semi")
-        # A section's words are together in one task before they move, so the first sum is complete there.
-        held = words.groupBy("section", "lexeme").agg(F.array_sort(F.collect_list("place")).alias("own"))
+        # dealt once: sections and then blocks are put together where a lexeme's block is
+        held = words.repartition("lexeme", "block").groupBy("lexeme", "block", "section").agg(F.array_sort(F.collect_list("place")).alias("own"))
         bit = F.expr(f"shiftleft(1L, cast(section % {BLOCK} AS INT))")
-        block = F.expr(f"section div {BLOCK}").alias("block")
-        blocks = held.groupBy("lexeme", block).agg(
+        blocks = held.groupBy("lexeme", "block").agg(
             F.bit_or(bit).alias("held"),
             F.max(F.size("own")).alias("most"),
             F.collect_list(F.struct((F.col("section") % BLOCK).cast("int").alias("slot"), "own")).alias("places"),  # 64 sections at most
@@ -91,7 +93,7 @@ def parsed(queries: DataFrame, stemmed: bool = False) -> DataFrame:
 
 
 def candidates(units: DataFrame, index: PostingIndex) -> DataFrame:
-    """(query_id, block, bits, bound): sections of a block that hold all words of a clause, and the most that any can score."""
+    """(query_id, clause, block, bits, most): sections of a block that hold all words of a clause, and the most covers that any can have."""
     whole = units.where("NOT negated").groupBy("query_id", "clause", "lexeme").agg(F.lit(1).alias("one")).drop("one")
     counted = whole.join(index.frequencies(units), "lexeme", "left")
     clause = Window.partitionBy("query_id", "clause")
@@ -114,7 +116,43 @@ def candidates(units: DataFrame, index: PostingIndex) -> DataFrame:
         F.min(F.when(F.col("must"), F.col("most"))).alias("most"),
     )
     good = tested.where("met = words").withColumn("bits", F.col("all").bitwiseAND(F.bitwise_not("none"))).where("bits <> 0")
-    return good.groupBy("query_id", "block").agg(F.bit_or("bits").alias("bits"), (WEIGHT * F.sum("most")).alias("bound"))
+    return good.select("query_id", "clause", "block", "bits", "most")
+
+
+def hits_in(words: DataFrame, blocks: DataFrame, index: PostingIndex, by: list[str]) -> DataFrame:
+    """(by, section, lexeme, place) of the words (by, lexeme) in the sections of blocks (by, block, bits), dealt by search and section."""
+    chosen = F.filter("places", lambda p: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p["slot"])) != 0)
+    met = index.postings.select("lexeme", "block", "places").join(blocks.join(few(words), by), ["lexeme", "block"])
+    met = met.select(*by, "lexeme", "block", F.explode(chosen).alias("p"))
+    return met.select(*by, (F.col("block") * BLOCK + F.col("p.slot")).alias("section"), "lexeme", F.explode("p.own").alias("place")).repartition("query_id", "section")
+
+
+def verified(units: DataFrame, clauses: DataFrame, index: PostingIndex) -> DataFrame:
+    """(query_id, block, bits, bound): sections that match some clause of clauses, whose phrases are held against places.
+
+    Only the words of phrases are read, and those only where all words of their clause are.
+    """
+    phrases = units.where("n > 1")
+    needed = phrases.where("NOT negated").groupBy("query_id", "clause").agg(F.count_distinct("unit").alias("needed"))
+    some = phrases.select("query_id", "clause").distinct()
+    plain = clauses.join(few(some), ["query_id", "clause"], "left_anti")
+    with_phrases = clauses.join(few(some), ["query_id", "clause"], "left_semi")
+    hits = hits_in(phrases.select("query_id", "clause", "lexeme").distinct(), with_phrases, index, ["query_id", "clause"])
+    each = hits.join(few(phrases.drop("as_of")), ["query_id", "clause", "lexeme"]).withColumn("first", F.col("place") - F.col("shift"))
+    found = each.groupBy("query_id", "section", "clause", "unit", "negated", "n", "first").agg(F.count(F.lit(1)).alias("c")).where("c = n")
+    own = found.groupBy("query_id", "section", "clause").agg(F.bool_or("negated").alias("barred"), F.count_distinct(F.when(~F.col("negated"), F.col("unit"))).alias("met"))
+    bit = F.expr(f"shiftleft(1L, cast(section % {BLOCK} AS INT))")
+    good = own.join(few(needed), ["query_id", "clause"]).where("met = needed AND NOT barred").select("query_id", "clause", F.expr(f"section div {BLOCK}").alias("block"), bit.alias("bit"))
+    bad = own.where("barred").select("query_id", "clause", F.expr(f"section div {BLOCK}").alias("block"), bit.alias("bit"))
+    held = good.groupBy("query_id", "clause", "block").agg(F.bit_or("bit").alias("held"))
+    gone = bad.groupBy("query_id", "clause", "block").agg(F.bit_or("bit").alias("gone"))
+    must = needed.select("query_id", "clause", F.lit(True).alias("must"))
+    key = ["query_id", "clause", "block"]
+    tested = with_phrases.join(few(must), ["query_id", "clause"], "left").join(held, key, "left").join(gone, key, "left")
+    kept = F.when(F.col("must"), F.col("bits").bitwiseAND(F.coalesce("held", F.lit(0)))).otherwise(F.col("bits"))
+    tested = tested.withColumn("bits", kept.bitwiseAND(F.bitwise_not(F.coalesce("gone", F.lit(0))))).where("bits <> 0")
+    every = plain.unionByName(tested.select(*plain.columns))
+    return every.groupBy("query_id", "block").agg(F.bit_or("bits").alias("bits"), (WEIGHT * F.sum("most")).alias("bound"))
 
 
 def _cover(events: Column, clauses: Column, units: Column) -> Column:
@@ -144,13 +182,8 @@ def _cover(events: Column, clauses: Column, units: Column) -> Column:
 
 def scored(units: DataFrame, blocks: DataFrame, index: PostingIndex) -> DataFrame:
     """query_id, KEY, name, version, score of the sections of blocks (query_id, block, bits) that match."""
-    words = units.select("query_id", "lexeme").distinct()
-    slots = F.filter("places", lambda p: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p["slot"])) != 0)
-    met = index.postings.select("lexeme", "block", "places").join(blocks.join(few(words), "query_id"), ["lexeme", "block"])
-    met = met.select("query_id", "lexeme", "block", F.explode(slots).alias("p"))
-    hits = met.select("query_id", (F.col("block") * BLOCK + F.col("p.slot")).alias("section"), "lexeme", F.explode("p.own").alias("place"))
     # all that follows is within a search and a section, which one task has
-    hits = hits.repartition("query_id", "section")
+    hits = hits_in(units.select("query_id", "lexeme").distinct(), blocks, index, ["query_id"])
     pair = ["query_id", "section"]
     hits = hits.withColumn("at", F.row_number().over(Window.partitionBy(*pair).orderBy("place")).cast("long"))
     each = hits.join(few(units.drop("as_of")), ["query_id", "lexeme"]).withColumn("first", F.col("place") - F.col("shift"))
@@ -184,8 +217,8 @@ def fulltext_scores(queries: DataFrame, flat: DataFrame, stemmed: bool = False,
     units = tables.save(parsed(queries, stemmed), "units")
     if index is None:
         index = PostingIndex.build(flat, stemmed, units)
-    blocks = tables.save(candidates(units, index), "blocks")
-    if best is None:
+    blocks = tables.save(verified(units, tables.save(candidates(units, index), "candidates"), index), "blocks")
+    if best is None or (blocks.agg(F.sum(F.bit_count("bits"))).first()[0] or 0) <= AT_ONCE:
         return scored(units, blocks, index)
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     before = F.coalesce(F.sum(F.bit_count("bits")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
