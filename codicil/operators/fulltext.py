@@ -29,7 +29,7 @@ WEIGHT = 0.1
 #: Sections of a block: the bits of a long.
 BLOCK = 64
 #: So many matching sections, over all searches, are scored without looking at their bounds first.
-AT_ONCE = 20_000
+AT_ONCE = 1_000_000
 
 
 def lexemes(text: Column) -> Column:
