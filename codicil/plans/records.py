@@ -105,7 +105,7 @@ def curated_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, NOT list_has_any(list(name), ['doc-0000005', 'doc-' || lpad(CAST(query_id AS VARCHAR), 7, '0'), 'doc-0000012']) AS excluded FROM best GROUP BY 1""")
 def excluded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each ranking is free of the documents that its query forbids."""
-    best = retrieval.keyword(queries(spark, sf_dir), search.prepared(spark, sf_dir)).groupBy("query_id").agg(F.collect_list("name").alias("found"))  # five a query
+    best = retrieval.keyword(queries(spark, sf_dir), flat(spark, sf_dir)).groupBy("query_id").agg(F.collect_list("name").alias("found"))  # five a query
     own = F.concat(F.lit("doc-"), F.lpad(F.col("query_id").cast("string"), 7, "0"))
     return best.select("query_id", collect.clear_of_forbidden(F.col("found"), F.array(F.lit("doc-0000005"), own, F.lit("doc-0000012"))).alias("excluded"))
 
@@ -140,7 +140,7 @@ def _biased_sql(cut: str, name: str = "biased") -> str:
 {top_sql('biased')} SELECT query_id, policy_id, section_ref, round(score, 6) AS score, rank FROM best""")
 def keyword_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred best by keywords, ranked again with the class prior."""
-    scores = retrieval.keyword_scores(queries(spark, sf_dir), search.prepared(spark, sf_dir, "whole"))
+    scores = retrieval.best_by_keywords(queries(spark, sf_dir), whole(spark, sf_dir), CANDIDATES)
     return ranked(retrieval.two_phase(scores, *_prior(spark, sf_dir), 5)).withColumn("score", F.round("score", 6))
 
 
