@@ -8,7 +8,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from codicil.operators import best, retrieval
+from codicil.operators import applicability, best, retrieval
 
 
 def _sections(spark, rng, n=260):
@@ -45,3 +45,27 @@ def test_best_by_keywords_are_those_of_all_pairs(spark, monkeypatch, blocks, k):
     assert sorted((r.query_id, r.policy_id) for r in full.collect()) == sorted((r.query_id, r.policy_id) for r in scores.where("score = 1").collect())
     every = retrieval.best_by_keywords(asked, flat, k, share=0.0).where("NOT listed").drop("listed")
     assert sorted(map(tuple, every.select("query_id", "policy_id", "score").collect())) == sorted(map(tuple, scores.select("query_id", "policy_id", "score").collect()))
+
+
+def test_sums_of_applicable_policies_without_their_pairs(spark, monkeypatch):
+    rng, day0 = random.Random(6), date(2023, 5, 17)
+    day = lambda: None if rng.random() < 0.2 else day0 + timedelta(rng.randrange(-40, 90))
+    windows = [(i, rng.choice("xy") if i % 9 else None, day(), day()) for i in range(400)]
+    cases = [(i, day0 + timedelta(rng.randrange(0, 50))) for i in range(150)] + [(500, None), (7, day0)]
+    met, seen = [], applicability.applicable
+
+    def counted(*given):
+        out = seen(*given)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(applicability, "applicable", counted)
+    policies = spark.createDataFrame(windows, "policy_id long, source string, effective_from date, effective_to date")
+    found = applicability.applicable_sums(spark.createDataFrame(cases, "case_id long, case_date date"), policies.union(policies), "source").collect()
+    want = {}
+    for c, d in cases:
+        for p, s, a, b in windows:
+            if d is not None and (a is None or a <= d) and (b is None or b > d):
+                want.setdefault((c, s), []).append(p)
+    assert {(r.case_id, r.source): (r.policies, r.first_policy, r.policy_sum) for r in found} == {k: (2 * len(v), min(v), 2 * sum(v)) for k, v in want.items()}
+    assert met[0] <= 400 * 50 < 2 * sum(map(len, want.values()))  # twice the rows and thrice the cases make no more of what is joined
