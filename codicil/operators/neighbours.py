@@ -6,12 +6,17 @@ looks into its nearest cells, adds up products with code words from a table that
 scores these exactly. How many cells are nearest enough is measured: as many as hold the share ``REACHED`` of the true neighbours of ``TRIED``
 indexed vectors, which are searched exactly once. Cells with more than ``CELL_ROWS`` rows are dealt over parts, so that no task holds a whole popular cell.
 
+Rows with one vector and window are one row of the index, that of the least id; a found row stands for its copies, of which as many as are
+wanted take part. A query's own direction is always a candidate, and a query with fewer rows than it wants (its nearest cells
+hold few that are in force) looks into all cells.
+
 Code words are fitted on at most ``SAMPLE`` vectors, taken by their hash; every vector is indexed. Vectors that are null, empty, zero or
 of another length than the index are not indexed, as they are near to nothing. The exact search is :func:`codicil.operators.retrieval.vector_scores`.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +28,7 @@ from pyspark.sql import functions as F
 
 from codicil.config import SCORE_DIGITS
 from codicil.functions.vectors import cosine
+from codicil.operators import best
 from codicil.sources.working import Tables, few
 
 #: Most rows of a part of a cell, and vectors on which code words are fitted.
@@ -33,6 +39,8 @@ ROUNDS = 12
 TRIED, NEIGHBOURS, REACHED = 64, 10, 0.97
 #: Candidates scored exactly for each wanted row.
 CANDIDATES_EACH = 16
+#: Copies of one vector that can be among a query's best; a query wants no more rows.
+COPIES = 1_000
 #: Days that stand for open bounds.
 FIRST, LAST = -(2**31), 2**31 - 1
 
@@ -70,10 +78,10 @@ def nearest(points: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 class VectorIndex:
-    """Cells of coded vectors. rows: (cell, part, id, code, opens, closes); cells: (cell, centre, parts)."""
+    """Cells of coded vectors. rows: (cell, part, id, code, opens, closes); cells: (cell, centre, parts); copies: (id, copy, nth); units: (id, v, opens, closes)."""
 
-    def __init__(self, tables: Tables, rows: DataFrame, cells: DataFrame, words: list[np.ndarray], d: int):
-        self.tables, self.rows, self.cells, self.words, self.d = tables, rows, cells, words, d
+    def __init__(self, tables: Tables, rows: DataFrame, cells: DataFrame, words: list[np.ndarray], d: int, copies: DataFrame, units: DataFrame):
+        self.tables, self.rows, self.cells, self.words, self.d, self.copies, self.units = tables, rows, cells, words, d, copies, units
         self.n_cells = self.probed = cells.count()
 
     @classmethod
@@ -82,7 +90,13 @@ class VectorIndex:
         tables = Tables(vectors.sparkSession, "vectors")
         day = lambda c, else_: F.coalesce(F.unix_date(c), F.lit(else_)) if c in vectors.columns else F.lit(else_)
         known = vectors.select("id", unit(F.col("embedding")).alias("v"), day("effective_from", FIRST).alias("opens"), day("effective_to", LAST).alias("closes"))
-        known = tables.save(known.where("v IS NOT NULL"), "unit")
+        known = tables.save(known.where("v IS NOT NULL"), "every")
+        alike = ["v", "opens", "closes"]
+        first = tables.save(known.groupBy(*alike).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "first")
+        # copies move only where a vector has some; null ids have none
+        more = known.join(first.where("n > 1").drop("n"), alike).select(F.col("first").alias("id"), F.col("id").alias("copy"))
+        copies = tables.save(more.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("copy"))).where(F.col("nth") <= COPIES), "copies")
+        known = tables.save(first.where("first IS NOT NULL").select(F.col("first").alias("id"), *alike), "unit")
         sizes = known.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
         if sizes is None:
             return None
@@ -109,16 +123,16 @@ class VectorIndex:
         cell_rows = tables.save(centre_rows.join(sizes_by_cell, "cell"), "cells")
         coded = placed.mapInPandas(code, "cell int, id long, opens int, closes int, code binary").join(F.broadcast(cell_rows.drop("centre")), "cell")
         coded = coded.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")
-        index = cls(tables, tables.save(coded, "rows", "cell"), cell_rows, words, d)
+        index = cls(tables, tables.save(coded, "rows", "cell"), cell_rows, words, d, copies, known)
         index.calibrate(known)
         return index
 
     def calibrate(self, known: DataFrame) -> None:
         """Set how many cells a query looks into (known: id and unit vectors v)."""
         tried = self.tables.save(known.orderBy(F.xxhash64("id"), "id").limit(TRIED).select(F.col("id").alias("query_id"), F.col("v").alias("query_embedding")), "tried")
-        dot = F.aggregate(F.zip_with("v", "query_embedding", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        exact = known.crossJoin(F.broadcast(tried)).select("query_id", "id", dot.alias("dot"))  # TRIED rows are broadcast
-        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dot"), "id"))
+        rows = known.select("id", F.lit(FIRST).cast("long").alias("opens"), F.lit(LAST).cast("long").alias("closes"), F.col("v").alias("embedding"))
+        exact = best.vector_best(tried.withColumn("day", F.lit(0)), rows, NEIGHBOURS, [F.col("id").asc()], ["id"])
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))
         true = exact.withColumn("n", nth).where(F.col("n") <= NEIGHBOURS).join(self.rows.select("id", F.col("cell").alias("own")), "id")
         order = self.probes(tried, self.n_cells).groupBy("query_id", F.col("cell").alias("own")).agg(F.max("nth").alias("nth"))
         ranks = true.join(order, ["query_id", "own"]).groupBy("nth").count().orderBy("nth").collect()  # a row for each cell at most
@@ -136,8 +150,8 @@ class VectorIndex:
         dot = F.aggregate(F.zip_with("v", "centre", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
         length = F.aggregate("centre", F.lit(0.0), lambda a, x: a + x * x)
         met = q.crossJoin(F.broadcast(self.cells)).withColumn("near", dot)  # cells are CELLS_MOST at most
-        best = Window.partitionBy("query_id").orderBy((length - 2 * dot).asc(), "cell")
-        met = met.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= probed)
+        nearest_first = Window.partitionBy("query_id").orderBy((length - 2 * dot).asc(), "cell")
+        met = met.withColumn("nth", F.row_number().over(nearest_first)).where(F.col("nth") <= probed)
         return met.select("query_id", "day", "v", "near", "cell", "nth", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def candidates(self, queries: DataFrame, each: int, probed: int | None = None) -> DataFrame:
@@ -154,9 +168,9 @@ class VectorIndex:
                 guess = q.near + sum(t[codes[:, m]] for m, t in enumerate(table))
                 if not pd.isna(q.day):
                     guess = np.where((rows["opens"] <= q.day) & (rows["closes"] > q.day), guess, -np.inf)
-                best = np.argsort(-guess, kind="stable")[:each]
-                best = best[np.isfinite(guess[best])]
-                out.append(pd.DataFrame({"query_id": q.query_id, "id": rows["id"].to_numpy()[best], "guess": guess[best]}))
+                first = np.argsort(-guess, kind="stable")[:each]
+                first = first[np.isfinite(guess[first])]
+                out.append(pd.DataFrame({"query_id": q.query_id, "id": rows["id"].to_numpy()[first], "guess": guess[first]}))
             return pd.concat(out)
 
         asked = self.probes(queries, probed or self.probed)
@@ -164,9 +178,28 @@ class VectorIndex:
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("guess"), "id"))
         return found.withColumn("nth", nth).where(F.col("nth") <= each).select("query_id", "id")
 
+    def alike(self, queries: DataFrame) -> DataFrame:
+        """(query_id, id): indexed rows of each query's own direction."""
+        asked = queries.select("query_id", unit(F.col("query_embedding")).alias("v"), *([F.unix_date("as_of").alias("day")] if "as_of" in queries.columns else [])).where("v IS NOT NULL")
+        met = self.units.join(asked, "v")
+        return (met.where("day IS NULL OR opens <= day AND closes > day") if "as_of" in queries.columns else met).select("query_id", "id")
+
     def search(self, queries: DataFrame, vectors: DataFrame, k: int, probed: int | None = None) -> DataFrame:
         """query_id, id, score, rank: the k best candidates by their exact cosine with vectors (id, embedding)."""
-        found = self.candidates(queries, k * CANDIDATES_EACH, probed)
+        if k > COPIES:
+            raise ValueError(f"a search may want {COPIES} rows")
+        found = self.tables.save(self._scored(queries, vectors, k, probed), f"found-{uuid.uuid4().hex[:8]}")
+        if (probed or self.probed) < self.n_cells:
+            enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+            short = queries.join(few(enough), "query_id", "left_anti")
+            more = self._scored(short, vectors, k, self.n_cells)
+            found = found.join(few(enough), "query_id", "left_semi").unionByName(more)
+        return found
+
+    def _scored(self, queries: DataFrame, vectors: DataFrame, k: int, probed: int | None) -> DataFrame:
+        found = self.candidates(queries, k * CANDIDATES_EACH, probed).union(self.alike(queries)).distinct()
+        copied = found.join(self.copies.where(F.col("nth") <= k), "id").select("query_id", F.col("copy").alias("id"))
+        found = found.union(copied).distinct()
         scored = vectors.select("id", "embedding").join(found, "id").join(few(queries.select("query_id", "query_embedding")), "query_id")
         scored = scored.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query_embedding")), SCORE_DIGITS).alias("score"))
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

@@ -164,7 +164,7 @@ def fulltext_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion of the hundred best of full text, ranked with the class prior, and of vectors; nothing is added after it."""
     lexical = retrieval.two_phase(_lexical(spark, sf_dir), *_prior(spark, sf_dir), CANDIDATES).drop("rank")
-    return ranked(retrieval.fused(lexical, search._semantic(spark, sf_dir, False), 5, CANDIDATES)).withColumn("score", F.round("score", 6))
+    return ranked(retrieval.fused(lexical, search._semantic(spark, sf_dir, False, CANDIDATES), 5, CANDIDATES)).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {SQL} p AS (SELECT policy_id, effective_from AS published, lang, source, content FROM policies),

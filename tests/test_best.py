@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codicil.operators import applicability, best, retrieval
+from codicil.operators import applicability, best, neighbours, retrieval
 
 
 def _sections(spark, rng, n=260):
@@ -69,3 +70,45 @@ def test_sums_of_applicable_policies_without_their_pairs(spark, monkeypatch):
                 want.setdefault((c, s), []).append(p)
     assert {(r.case_id, r.source): (r.policies, r.first_policy, r.policy_sum) for r in found} == {k: (2 * len(v), min(v), 2 * sum(v)) for k, v in want.items()}
     assert met[0] <= 400 * 50 < 2 * sum(map(len, want.values()))  # twice the rows and thrice the cases make no more of what is joined
+
+
+@pytest.mark.parametrize("blocks", [{}, {"QUERIES": 12, "ASKED": 5, "ROWS": 16, "PAIRS": 64}])
+@pytest.mark.parametrize("positive", [False, True])
+def test_best_by_vectors_are_those_of_all_pairs(spark, monkeypatch, blocks, positive):
+    for name, value in blocks.items():
+        monkeypatch.setattr(best, name, value)
+    rng = random.Random(5)
+    some = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(60)]
+    data = [(i, "s", 0, f"n{i // 2:03d}", i % 2, rng.choice(some), None if i % 3 else date(2024, 3, 1), None if i % 4 else date(2024, 9, 1)) for i in range(400)]
+    data += [(500, "s", 0, "a", 1, None, None, None), (501, "s", 0, "b", 1, [0.0] * 6, None, None), (502, "s", 0, "c", 1, [1.0, 2.0], None, None), (503, "s", 0, "d", 1, [1.0, None, 0.0, 0.0, 0.0, 0.0], None, None)]
+    rows = spark.createDataFrame(data, "policy_id int, section_ref string, position int, name string, version int, embedding array<float>, effective_from date, effective_to date").repartition(4)
+    asked = [(i, [rng.gauss(0, 1) for _ in range(6)] if i % 2 else some[i], date(2024, 1, 1) + timedelta(9 * i)) for i in range(40)]
+    asked = spark.createDataFrame([*asked, (90, [0.0] * 6, date(2024, 4, 4)), (91, None, date(2024, 4, 4)), (92, [1.0, 1.0], date(2024, 4, 4))], "query_id int, query_embedding array<double>, as_of date")
+    columns = ["query_id", "rank", "name", "version", "score"]
+    scores = retrieval.vector_scores(asked, rows, positive)
+    held = scores.where("(effective_from IS NULL OR effective_from <= as_of) AND (effective_to IS NULL OR effective_to > as_of)")
+    found = retrieval.best_by_vectors(asked, rows, 7, positive)
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, retrieval.top(held, 7).select(*columns).collect()))
+    plain = retrieval.best_by_vectors(asked.drop("as_of"), rows, 7, positive)
+    assert sorted(map(tuple, plain.select(*columns).collect())) == sorted(map(tuple, retrieval.top(scores, 7).select(*columns).collect()))
+
+
+def test_index_finds_the_first_of_many_copies(spark):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(30, 16))
+    order = rng.permutation(30 * 400)
+    df = spark.createDataFrame([(int(i), points[i % 30].tolist()) for i in order], "id long, embedding array<double>").repartition(6)
+    index = neighbours.VectorIndex.build(df)
+    assert index.rows.count() == 30
+    asked = df.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    found = index.search(asked, df, 10).collect()
+    assert len(found) == 120 * 10 and all(r.id == r.query_id % 30 + 30 * (r["rank"] - 1) and r.score == 1 for r in found)
+
+
+def test_index_fills_lists_whose_cells_are_closed(spark):
+    rng = np.random.default_rng(2)
+    points = np.concatenate([c + rng.normal(size=(40, 8)) * 0.1 for c in np.eye(8) * 9])
+    df = spark.createDataFrame([(i, p.tolist(), None, date(2024, 1, 1) if i < 40 else None) for i, p in enumerate(points)], "id long, embedding array<double>, effective_from date, effective_to date")
+    index = neighbours.VectorIndex.build(df)
+    asked = df.where("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.lit(date(2024, 6, 1)).alias("as_of"))
+    assert [r.n for r in index.search(asked, df, 10, probed=1).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()] == [10] * 5
