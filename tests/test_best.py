@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codicil.llm import decontaminate
 from codicil.operators import applicability, best, neighbours, retrieval
 
 
@@ -112,3 +113,18 @@ def test_index_fills_lists_whose_cells_are_closed(spark):
     index = neighbours.VectorIndex.build(df)
     asked = df.where("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.lit(date(2024, 6, 1)).alias("as_of"))
     assert [r.n for r in index.search(asked, df, 10, probed=1).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()] == [10] * 5
+
+
+def test_benchmark_basis_is_fitted_without_a_sample_of_documents(spark, monkeypatch):
+    fitted, fit = [], decontaminate.fit_basis
+
+    def seen(texts, *given):
+        fitted.extend(r.text for r in texts.collect())
+        return fit(texts, *given)
+
+    monkeypatch.setattr(decontaminate, "fit_basis", seen)
+    item = "the quick brown fox jumps over a lazy dog near seven silent rivers"
+    docs = spark.createDataFrame([(i, f"plain words of text number {i} " * 9) for i in range(40)] + [(90, f"before it {item} and after it")], "doc_id long, text string")
+    found = decontaminate.contamination(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).where("contaminated").collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(90, 5)]
+    assert fitted == [item]
