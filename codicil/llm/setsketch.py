@@ -51,9 +51,9 @@ RARE = 64
 SLOTS = 16
 #: Classes of one size and component in one cell of the join over sizes.
 CELL = 256
-#: Popular shingles that are broadcast; beyond it they are shuffled.
+#: Shared rare shingles that are broadcast; beyond it they are shuffled.
 BROADCAST_SHINGLES = 500_000
-#: Most ids that are broadcast to pick the texts of candidates; beyond it the two are shuffled together.
+#: Most ids or pairs that are broadcast to pick, pair or drop texts; beyond it the two are shuffled together.
 BROADCAST_IDS = 2_000_000
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, registers binary"
@@ -182,7 +182,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
 
     texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t_{s}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+    # pairs that are few go to one side's texts, so that these are moved once, and the other's as they are
+    few = F.broadcast(pairs) if pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else pairs
+    joined = few.join(side("b"), "b").join(side("a"), "a")
     return joined.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -225,15 +227,17 @@ def _apart(groups: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Sc
     sets = _sets(_texts(docs, many.select("doc_id").distinct()), k)
     sets = scratch.save(many.groupBy("hub", "doc_id").agg(F.min("n").alias("n"), F.min("component_id").alias("component_id")).join(sets, "doc_id"), "sets")
     each = sets.select("hub", "doc_id", F.explode("shingles").alias("shingle"))
-    popular = each.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > RARE)
-    popular = scratch.save(popular.select("hub", "shingle"), "popular")
-    rare = each.join(F.broadcast(popular) if popular.count() <= BROADCAST_SHINGLES else popular, ["hub", "shingle"], "left_anti")
-    held = rare.groupBy("hub", "shingle").agg(F.collect_list("doc_id").alias("docs"))  # at most RARE
-    held = held.select("hub", "shingle", F.size("docs").alias("held"), F.explode("docs").alias("doc_id"))
-    own = held.groupBy("hub", "doc_id").agg(F.count(F.lit(1)).alias("n_rare"), F.sort_array(F.collect_list(F.when(F.col("held") > 1, F.struct("held", "shingle")))).alias("shared"))
-    own = sets.select("hub", "doc_id", "component_id", "n", F.size("shingles").alias("size")).join(own, ["hub", "doc_id"], "left")
-    own = own.withColumn("t", (F.col("size") - F.coalesce("n_rare", F.lit(0))).cast("long"))
-    # rare shingles by number of holders: those held once come first, and the prefix leaves out what the least overlap allows
+    rare = each.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("only")).where(F.col("held") <= RARE)
+    rare = scratch.save(rare, "rare")
+    # shingles that one class holds are only counted; those of more find their holders, at most RARE each
+    once = rare.where("held = 1").groupBy("hub", F.col("only").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_once"))
+    shared = rare.where("held > 1").select("hub", "shingle", "held")
+    held = each.join(F.broadcast(shared) if shared.count() <= BROADCAST_SHINGLES else shared, ["hub", "shingle"])
+    held = held.groupBy("hub", "doc_id").agg(F.count(F.lit(1)).alias("n_shared"), F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
+    own = sets.select("hub", "doc_id", "component_id", "n", F.size("shingles").alias("size")).join(held, ["hub", "doc_id"], "left").join(once, ["hub", "doc_id"], "left")
+    own = own.withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<held:bigint,shingle:bigint>>"))).withColumn("n_rare", F.coalesce("n_once", F.lit(0)) + F.coalesce("n_shared", F.lit(0)))
+    own = own.withColumn("t", (F.col("size") - F.col("n_rare")).cast("long"))
+    # shared rare shingles by number of holders: the prefix leaves out what the least overlap allows
     least = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100) - F.col("t"))
     own = own.withColumn("prefix", F.greatest(F.lit(0), F.size("shared") - least + 1).cast("int")).withColumn("whole", F.col("prefix") == F.size("shared"))
     own = scratch.save(own.select("hub", "doc_id", "component_id", "n", "t", "whole", F.slice("shared", 1, F.col("prefix")).alias("shared")), "own")
@@ -355,4 +359,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns."""
     gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # whole rows are moved only where more ids go than can be broadcast
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

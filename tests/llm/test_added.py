@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from codicil.llm import bpe, bpe_codec, entries, merkle, whitening
+from codicil.llm import bpe, bpe_codec, entries, merkle, setsketch, whitening
 
 LONG = "lange Wörter und 日本語 " * 3000
 
@@ -236,3 +236,17 @@ def test_other_files_are_refused(tmp_path):
 def test_offset_table():
     table = bpe_codec.OffsetTable([b"ab", b"", b"c"])
     assert table.gather(np.array([2, 0, 1, -1, 7, 0])) == b"cabab" and table.gather(np.array([], int)) == b""
+
+
+def test_dropping_near_copies_moves_no_whole_rows(spark):
+    """Beyond Spark's own bound of a broadcast, too: ids that go are counted, and documents are filtered where they are."""
+    rows = [(i, f"{' '.join(f'w{i // 2}x{j}' for j in range(30))}") for i in range(60)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = setsketch.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 2))
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
