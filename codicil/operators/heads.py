@@ -9,14 +9,16 @@ dropped at random while training; a unit's fate follows from the document and th
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codicil.operators.priors import multi_hot
 from codicil.sources.staged import write_once
 from codicil.sources.working import Tables
 
@@ -35,17 +37,48 @@ def rows_for(weights: DataFrame, terms: DataFrame, labels: DataFrame, names: lis
     """
     numbered = terms.select("token", (F.row_number().over(Window.orderBy("token")) - 1).alias("place"))  # a bounded vocabulary
     sparse = weights.join(F.broadcast(numbered), "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), "weight"))).alias("s"))
-    y = F.array(*(F.array_contains("labels", n).cast("int") for n in names)) if names else F.array().cast("array<int>")
-    joined = labels.select("doc", y.alias("y")).join(sparse, "doc", "left")
+    joined = labels.select("doc", _multi_hot(names).alias("y")).join(sparse, "doc", "left")
     none = F.array().cast("array<struct<place:int,weight:double>>")
     return joined.withColumn("s", F.coalesce("s", none)).select("doc", F.col("s.place").alias("places"), F.col("s.weight").alias("values"), "y")
 
 
-def _dense(f: pd.DataFrame, terms: int) -> np.ndarray:
-    x = np.zeros((len(f), terms))
-    for i, (places, values) in enumerate(zip(f["places"], f["values"], strict=True)):
-        x[i, places] = values
-    return x
+def rows_of_words(words: DataFrame, terms: DataFrame, n_docs: int, names: list[str]) -> DataFrame:
+    """The rows of rows_for, from words (doc, labels, t, n) with a row for each document: weights are those of priors.tfidf, and nothing is shuffled."""
+    held = sorted((r.token, r.df) for r in terms.select("token", "df").collect())  # a bounded vocabulary
+    idf = np.log((1 + n_docs) / (1 + np.array([df for _, df in held], float))) + 1
+    numbers = [t for t, _ in held]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(numbers, pa.string())
+        for b in batches:
+            place = pc.fill_null(pc.index_in(b.column("t").flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("t")).to_numpy())
+            known = np.flatnonzero(place >= 0)
+            known = known[np.lexsort((place[known], row[known]))]
+            row, place = row[known], place[known]
+            weight = (1 + np.log(b.column("n").flatten().to_numpy()[known])) * idf[place]
+            weight /= np.sqrt(np.bincount(row, weight * weight, b.num_rows))[row]
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=b.num_rows))), pa.int32())
+            places, values = pa.ListArray.from_arrays(ends, pa.array(place, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(weight, pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), places, values, b.column("y")], ["doc", "places", "values", "y"])
+
+    kind = dict(words.dtypes)["doc"]
+    return words.select("doc", _multi_hot(names).alias("y"), "t", "n").mapInArrow(run, f"doc {kind}, places array<int>, values array<double>, y array<int>")
+
+
+def _multi_hot(names: list[str]) -> Column:
+    return multi_hot(F.col("labels"), names) if names else F.array().cast("array<int>")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Some documents at a time, and their values as a matrix."""
+    for b in batches:
+        for at in range(0, b.num_rows, BLOCK):
+            part = b.slice(at, BLOCK)
+            x = np.zeros((part.num_rows, terms))
+            row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("places")).to_numpy())
+            x[row, part.column("places").flatten().to_numpy()] = part.column("values").flatten().to_numpy()
+            yield part, x
 
 
 def _mask(docs: np.ndarray, hidden: int, step: int) -> np.ndarray:
@@ -114,55 +147,66 @@ class Head:
 
 def fit(rows: DataFrame, terms: int, names: list[str], kind: str, epochs: int = 40, hidden: int = 64, rate: float = 0.05, decay: float = 0.0, seed: int = 7) -> Head:
     """A head for rows (doc, places, values, y) with the labels names, after so many steps over all of them."""
+    return fit_kinds(rows, terms, names, (kind,), epochs, hidden, rate, decay, seed)[kind]
+
+
+def fit_kinds(
+    rows: DataFrame, terms: int, names: list[str], kinds: Sequence[str] = KINDS, epochs: int = 40, hidden: int = 64, rate: float = 0.05, decay: float = 0.0, seed: int = 7
+) -> dict[str, Head]:
+    """A head of each kind, as fit gives it; a step of all of them is one pass over the rows."""
     tables = Tables(rows.sparkSession, "head")
     rows = tables.save(rows, "rows")
-    head = Head.begin(kind, terms, names, hidden, seed)
+    heads = [Head.begin(kind, terms, names, hidden, seed) for kind in kinds]
     sums = rows.select(F.posexplode("y").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("n")).orderBy("k").collect()  # a row for each label
     total = rows.count()
     if not total or not names:
-        return head
+        return dict(zip(kinds, heads, strict=True))
     held = np.maximum(np.array([s["n"] for s in sums], float), 1)
     positive = np.minimum((total - held) / held, POSITIVE_MOST)
-    sizes = [p.size for p in head.parts]
-    first, second = [np.zeros_like(p) for p in head.parts], [np.zeros_like(p) for p in head.parts]
+    parts = [p for head in heads for p in head.parts]
+    sizes = [p.size for p in parts]
+    first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
 
     for epoch in range(1, epochs + 1):
 
-        def step(frames: Iterator[pd.DataFrame], head: Head = head, epoch: int = epoch) -> Iterator[pd.DataFrame]:
-            sums, loss = np.zeros(sum(sizes)), 0.0
-            for f in frames:
-                for at in range(0, len(f), BLOCK):
-                    part = f.iloc[at : at + BLOCK]
-                    mask = _mask(part["doc"].to_numpy(), hidden, epoch) if kind == "mlp" else None
-                    own, more = head.gradient(_dense(part, terms), np.array(part["y"].tolist(), float), positive, mask)
-                    sums += np.concatenate([g.ravel() for g in own])
-                    loss += more
-            yield pd.DataFrame({"place": np.arange(len(sums) + 1), "v": np.append(sums, loss)})
-
-        added = rows.mapInPandas(step, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).toPandas()  # as many rows as parameters
+        def step(batches: Iterator[pa.RecordBatch], heads: list[Head] = heads, epoch: int = epoch) -> Iterator[pa.RecordBatch]:
+            sums, losses = np.zeros(sum(sizes)), np.zeros(len(heads))
+            for part, x in _blocks(batches, terms):
+                y = part.column("y").flatten().to_numpy().reshape(len(x), -1).astype(float)
+                own = []
+                for i, head in enumerate(heads):
+                    mask = _mask(part.column("doc").to_numpy(), hidden, epoch) if head.kind == "mlp" else None
+                    gradients, loss = head.gradient(x, y, positive, mask)
+                    own += [g.ravel() for g in gradients]
+                    losses[i] += loss
+                sums += np.concatenate(own)
+            out = np.append(sums, losses)
+            yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(len(out)), pa.int32()), "v": out})
+
+        added = rows.mapInArrow(step, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).toPandas()  # as many rows as parameters
         flat = added.sort_values("place")["v"].to_numpy() / (total * len(names))
-        head.losses.append(float(flat[-1]))
+        for head, loss in zip(heads, flat[sum(sizes) :], strict=True):
+            head.losses.append(float(loss))
         at = 0
-        for i, p in enumerate(head.parts):
+        for i, p in enumerate(parts):
             g = flat[at : at + sizes[i]].reshape(p.shape) + decay * p
             at += sizes[i]
             first[i] = BETA_1 * first[i] + (1 - BETA_1) * g
             second[i] = BETA_2 * second[i] + (1 - BETA_2) * g * g
             p -= rate * (first[i] / (1 - BETA_1**epoch)) / (np.sqrt(second[i] / (1 - BETA_2**epoch)) + TINY)
-    if not all(np.isfinite(p).all() for p in head.parts):
+    if not all(np.isfinite(p).all() for p in parts):
         raise ValueError("the head's parameters are not finite")
-    return head
+    return dict(zip(kinds, heads, strict=True))
 
 
 def scores(head: Head, rows: DataFrame, terms: int) -> DataFrame:
     """(doc, label, score): the probability of each label for each document; no unit is dropped."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), BLOCK):
-                part = f.iloc[at : at + BLOCK]
-                p = _sigmoid(head.logits(_dense(part, terms))[0])
-                yield pd.DataFrame({"doc": np.repeat(part["doc"].to_numpy(), len(head.names)), "label": np.tile(head.names, len(part)), "score": p.ravel()})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in _blocks(batches, terms):
+            p = _sigmoid(head.logits(x)[0])
+            docs = part.column("doc").take(pa.array(np.repeat(np.arange(len(x)), len(head.names))))
+            yield pa.RecordBatch.from_arrays([docs, pa.array(head.names * len(x), pa.string()), pa.array(p.ravel())], ["doc", "label", "score"])
 
     kind = dict(rows.dtypes)["doc"]
-    return rows.select("doc", "places", "values").mapInPandas(run, f"doc {kind}, label string, score double")
+    return rows.select("doc", "places", "values").mapInArrow(run, f"doc {kind}, label string, score double")

@@ -2,35 +2,86 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.config import PSI_THRESHOLD
-from codicil.functions.text import expanded_tokens, tokens
+from codicil.functions.text import FORM_SETS, TOKEN, synonym_tokens
 from codicil.sources.working import Tables, few
 
 
+#: Texts whose tokens a task holds at once.
+AT_ONCE = 512
+
+
+def word_counts(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """kept columns, t, n, more: the distinct tokens of each text, how often each comes, and the tokens of its synonyms' forms, null or empty if it has none.
+
+    A text is split once, by its task; as an expression below an explode it would be split again to look for empty lists. Forms are looked for in
+    texts only that have all words of one.
+    """
+    fields = [f"`{c}` {dict(rows.dtypes)[c]}" for c in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(TOKEN).findall
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                words, times, ends, held = [], [], [0], []
+                for text in part.column(len(kept)).to_pylist():
+                    own = Counter(find(text or ""))
+                    words += own
+                    times += own.values()
+                    ends.append(len(words))
+                    held.append(text if any(own.keys() >= form for form in FORM_SETS) else None)
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for v in (pa.array(words, pa.string()), pa.array(times, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *lists, pa.array(held, pa.string())], [*kept, "t", "n", "held"])
+
+    split = rows.select(*kept, F.lower("text").alias("_text")).mapInArrow(run, ", ".join([*fields, "t array<string>", "n array<int>", "held string"]))
+    return split.select(*kept, "t", "n", F.when(F.col("held").isNotNull(), synonym_tokens(F.col("held"))).alias("more"))
+
+
+def _expanded() -> Column:
+    """The tokens of word_counts with those of synonyms."""
+    return F.when(F.col("more").isNull(), F.col("t")).otherwise(F.array_union("t", "more"))
+
+
 def fit_prior(examples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Token counts by label, (label, total tokens, documents), and the size of the vocabulary."""
-    # each text is expanded once: a row without a token counts it
-    split = examples.where("label <> ''").select("label", expanded_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    rows = split.select("label", F.explode(F.concat(F.col("t"), F.array(F.lit(None).cast("string")))).alias("token"))
-    counted = rows.groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))
-    counted = Tables(examples.sparkSession, "prior").save(counted, "counts")
+    return fit_counts(word_counts(examples.where("label <> ''"), ["label"]))
+
+
+def fit_counts(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """fit_prior for words (label, t, more)."""
+    # a row without a token counts a text
+    split = words.where(F.size("t") > 0).select("label", F.concat(_expanded(), F.array(F.lit(None).cast("string"))).alias("t"))
+    counted = split.select("label", F.explode("t").alias("token")).groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))
+    counted = Tables(words.sparkSession, "prior").save(counted, "counts")
     counts = counted.where("token IS NOT NULL")
     totals = counted.groupBy("label").agg(F.sum(F.when(F.col("token").isNotNull(), F.col("n"))).alias("total"), F.max(F.when(F.col("token").isNull(), F.col("n"))).alias("docs"))
     return counts, totals, counts.agg(F.count_distinct("token").alias("vocabulary"))
 
 
 def predict_prior(queries: DataFrame, counts: DataFrame, totals: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """query_id, label, probability: softmax of log prior and add-one smoothed log likelihoods of the query's tokens.
+    """query_id, label, probability: softmax of log prior and add-one smoothed log likelihoods of the query's tokens."""
+    asked = Tables(queries.sparkSession, "prior").save(word_counts(queries, ["query_id"]), "asked")  # read twice
+    return predict_counts(asked, counts, totals, vocabulary)
+
+
+def predict_counts(words: DataFrame, counts: DataFrame, totals: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """predict_prior for words (query_id, t, more).
 
     Unseen tokens give every label its smoothed floor, so only tokens that a label has are joined: the floor is
     counted once for each token, and a seen token adds ln(n + 1).
     """
-    q = queries.select("query_id", F.explode(expanded_tokens(F.col("text"))).alias("token"))
-    size = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
-    seen = q.join(counts, "token").groupBy("query_id", "label").agg(F.sum(F.log(F.col("n") + 1.0)).alias("gain"))
+    q = words.where(F.size("t") > 0).select("query_id", _expanded().alias("t"))
+    size = q.groupBy("query_id").agg(F.sum(F.size("t")).alias("m"))
+    seen = q.select("query_id", F.explode("t").alias("token")).join(counts, "token").groupBy("query_id", "label").agg(F.sum(F.log(F.col("n") + 1.0)).alias("gain"))
     labels = few(totals.crossJoin(vocabulary))  # a row for each label
     all_docs = F.sum("docs").over(Window.partitionBy("query_id"))
     base = size.crossJoin(labels).join(seen, ["query_id", "label"], "left")
@@ -43,7 +94,12 @@ def predict_prior(queries: DataFrame, counts: DataFrame, totals: DataFrame, voca
 
 def document_frequency(docs: DataFrame) -> DataFrame:
     """token, df of docs (doc, text)."""
-    return docs.select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return word_frequency(word_counts(docs, []))
+
+
+def word_frequency(words: DataFrame) -> DataFrame:
+    """token, df of words (t)."""
+    return words.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 def vocabulary(df: DataFrame, least: int, most: int) -> DataFrame:
@@ -52,8 +108,8 @@ def vocabulary(df: DataFrame, least: int, most: int) -> DataFrame:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(doc, token, n) with repeats counted."""
-    raw = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0)))
-    return docs.select("doc", raw.alias("token")).groupBy("doc", "token").agg(F.count(F.lit(1)).alias("n"))
+    each = word_counts(docs, ["doc"]).select("doc", F.inline(F.arrays_zip(F.col("t").alias("token"), F.col("n").alias("times"))))
+    return each.groupBy("doc", "token").agg(F.sum("times").alias("n"))
 
 
 def tfidf(docs: DataFrame, terms: DataFrame, n_docs: Column) -> DataFrame:

@@ -319,22 +319,19 @@ def round_robin_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT model, (SELECT count(*) FROM documents WHERE doc_id % 10 = 0 AND lang <> '') AS documents, true AS as_good_as_majority FROM models""")
 def classifier_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The majority, naive Bayes and both heads on the test tenth's languages: whether each is right as often as the majority at least."""
-    docs = examples(spark, sf_dir).where("label <> ''").select("doc", "text", F.array("label").alias("labels"), "label")
+    tables = Tables(spark, "comparison")
+    docs = tables.save(priors.word_counts(examples(spark, sf_dir).where("label <> ''"), ["doc", "label"]), "words").withColumn("labels", F.array("label"))
     train, test = docs.where("doc % 10 <> 0"), docs.where("doc % 10 = 0")
     names = sorted(r.label for r in priors.supported_labels(train, 1).collect())  # classes, a handful
-    tables = Tables(spark, "comparison")
-    df = priors.document_frequency(train)
-    terms = tables.save(priors.vocabulary(df, 3, 500), "terms")
-    n = F.lit(train.count())
-    rows = {p: tables.save(heads.rows_for(priors.tfidf(part, terms, n), terms, part, names), p) for p, part in (("train", train), ("test", test))}
-    size = terms.count()
+    terms = tables.save(priors.vocabulary(priors.word_frequency(train), 3, 500), "terms")
+    n, size = train.count(), terms.count()
     gold = test.select("doc", "label")
     ranked = {"majority": _majority_ranks(train, test)}
-    asked = test.select(F.col("doc").alias("query_id"), "text")
-    ranked["naive_bayes"] = priors.predict_prior(asked, *priors.fit_prior(train)).select(F.col("query_id").alias("doc"), "label", F.col("probability").alias("score"))
-    for kind in heads.KINDS:
-        head = heads.fit(rows["train"], size, names, kind, epochs=15, hidden=16)
-        ranked[kind] = heads.scores(head, rows["test"], size)
+    asked = test.withColumnRenamed("doc", "query_id")
+    ranked["naive_bayes"] = priors.predict_counts(asked, *priors.fit_counts(train)).select(F.col("query_id").alias("doc"), "label", F.col("probability").alias("score"))
+    fitted = heads.fit_kinds(heads.rows_of_words(train, terms, n, names), size, names, epochs=15, hidden=16)
+    rows = tables.save(heads.rows_of_words(test, terms, n, names), "test")
+    ranked |= {kind: heads.scores(head, rows, size) for kind, head in fitted.items()}
     rates = None
     for model, s in ranked.items():
         own = priors.hit_rates(priors.ranked_labels(s), gold, test).select(F.lit(model).alias("model"), "top1")

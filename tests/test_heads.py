@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codicil.functions import text
 from codicil.operators import heads, priors
 
 ROWS = "doc long, places array<int>, values array<double>, y array<int>"
@@ -60,3 +61,24 @@ def test_rows_of_texts(spark):
     assert heads.scores(head, empty, 2).count() == 0
     with pytest.raises(ValueError, match="tree"):
         heads.Head.begin("tree", 1, [], 1, 1)
+
+
+def test_words_of_texts_once(spark):
+    data = [(1, "p", "Alpha beta beta NOx"), (2, "q", "gamma  nitrogen\noxides, alpha alpha"), (3, "p", "nitrogen and oxides ab"), (4, "q", None), (5, "p", ""), (6, "q", "pm2.5 alpha gamma new source")]
+    docs = spark.createDataFrame(data, "doc long, label string, text string")
+    words = priors.word_counts(docs, ["doc", "label"])
+    got = {r.doc: r for r in words.collect()}
+    assert dict(zip(got[1].t, got[1].n, strict=True)) == {"alpha": 1, "beta": 2, "nox": 1} and got[4].t == got[5].t == []
+    want = docs.select("doc", text.expanded_tokens(F.col("text")).alias("e")).collect()
+    assert all(set(r.e or []) == {*got[r.doc].t, *(got[r.doc].more or [])} for r in want)
+    assert {"nitrogenoxides", "oxides"} <= set(got[1].more) and got[3].more in (None, [])
+    terms = spark.createDataFrame([("alpha", 3), ("beta", 1), ("gamma", 2)], "token string, df long")
+    labelled = docs.withColumn("labels", F.array("label"))
+    plain = {r.doc: r for r in heads.rows_for(priors.tfidf(docs, terms, F.lit(6)), terms, labelled, ["p", "q"]).collect()}
+    rows = heads.rows_of_words(words.withColumn("labels", F.array("label")), terms, 6, ["p", "q"])
+    for r in rows.collect():
+        assert (r.places, r.y) == (plain[r.doc].places, plain[r.doc].y) and np.allclose(r["values"], plain[r.doc]["values"], atol=1e-12)
+    both = heads.fit_kinds(rows, 3, ["p", "q"], epochs=3, hidden=4)
+    for kind in heads.KINDS:
+        one = heads.fit(rows, 3, ["p", "q"], kind, epochs=3, hidden=4)
+        assert np.allclose(one.losses, both[kind].losses) and all(np.allclose(p, q) for p, q in zip(one.parts, both[kind].parts, strict=True))
