@@ -141,6 +141,4 @@ SELECT record, CASE WHEN status = 'claimed' AND lease_end <= till THEN CASE WHEN
 FROM ended, till WHERE counted > 0""")
 def claim_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record after all requests and the reaping of leases between them, and how many requests counted."""
-    events = claims.claims_in_batch(claim_events(spark, sf_dir), CLAIM_LEASE)
-    counted = events.where("accepted AND kind <> 'reaped'").groupBy("record").agg(F.count(F.lit(1)).alias("counted"))
-    return claims.final_states(events).join(counted, "record")
+    return claims.states_in_batch(claim_events(spark, sf_dir), CLAIM_LEASE).where("record IS NOT NULL")

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -29,24 +30,28 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 #: An event: (record, ts, seq, kind, worker, token); kind is queued, claimed, renewed, finalised or released.
 STATE = "status string, worker string, token long, attempts long, lease_end long"
 OUTPUT = "record long, ts timestamp, seq long, kind string, accepted boolean, status string, worker string, token long, attempts long"
+#: A record at the end, its Arrow types, and rows that a task gives at once.
+FINAL = "record long, status string, worker string, token long, attempts long, counted long"
+ARROW, GIVEN = {"long": "int64", "string": "string", "boolean": "bool_"}, 8_192
 #: What the log has for a lease that ended: the event's kind, and its number before all of the same moment.
 REAPED, REAPED_SEQ = "reaped", -1
 MICROS = 1_000_000
 
 
-def step(state: tuple, kind: str, at: int, worker: str | None, token: int | None, lease: int, most: int) -> tuple[tuple, bool]:
+def step(state: tuple, kind: str, at: int | None, worker: str | None, token: int | None, lease: int, most: int) -> tuple[tuple, bool]:
     """The state after an event at a moment (microseconds), and whether it counted. A lease that has ended was reaped before."""
     status, holder, current, attempts, end = state
+    held = None if at is None else at + lease  # without a moment, a lease has no end
     if kind == "queued":
         return ("queued", None, current, attempts, 0) if status is None else state, status is None
     if kind == "claimed":
         if status != "queued":
             return state, False
-        return ("claimed", worker, current + 1, attempts + 1, at + lease), True
+        return ("claimed", worker, current + 1, attempts + 1, held), True
     if status != "claimed" or worker != holder or token != current:
         return state, False
     if kind == "renewed":
-        return ("claimed", holder, current, attempts, at + lease), True
+        return ("claimed", holder, current, attempts, held), True
     if kind == "finalised":
         return ("finalised", holder, current, attempts, 0), True
     return (reap(state, most), True) if kind == "released" else (state, False)
@@ -71,9 +76,9 @@ def replay(events: pd.DataFrame, state: tuple, lease: int, most: int) -> tuple[l
     return out, state
 
 
-def _until(at: int, state: tuple, most: int, out: list[tuple]) -> tuple:
+def _until(at: int | None, state: tuple, most: int, out: list[tuple]) -> tuple:
     """The state after a lease that ended at or before a moment."""
-    if state[0] == "claimed" and state[4] <= at:
+    if state[0] == "claimed" and at is not None and state[4] is not None and state[4] <= at:
         end, state = state[4], reap(state, most)
         out.append((end, REAPED_SEQ, REAPED, True, state))
     return state
@@ -142,17 +147,60 @@ def claims(events: DataFrame, late: str = "0 seconds", lease_seconds: int = LEAS
     return grouped.transformWithStateInPandas(Claims(lease_seconds, most), OUTPUT, "Append", "eventTime", initialState=begin)
 
 
+def _rows(batches: Iterator[pa.RecordBatch], end: int, lease: int, most: int, log: bool) -> Iterator[tuple]:
+    """The log of a partition's sorted events or, without it, a row for each record of which a request counted. What is held is one record's state."""
+    record, state, counted, begun = None, NEW, 0, False
+
+    def ended() -> list[tuple]:
+        out: list[tuple] = []
+        last = _until(end, state, most, out)
+        if log:
+            return [(record, *r[:4], *r[4][:4]) for r in out]
+        return [(record, *last[:4], counted)] if counted else []
+
+    for batch in batches:
+        for own, at, seq, kind, worker, token in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not begun or own != record:
+                if begun:
+                    yield from ended()
+                record, state, counted, begun = own, NEW, 0, True
+            out: list[tuple] = []
+            state = _until(at, state, most, out)
+            state, good = step(state, kind, at, worker, token, lease, most)
+            counted += good
+            if log:
+                yield from ((record, *r[:4], *r[4][:4]) for r in out)
+                yield (record, at, seq, kind, good, *state[:4])
+    if begun:
+        yield from ended()
+
+
+def _gone_over(events: DataFrame, lease_seconds: int, most: int, until: str | None, log: bool) -> DataFrame:
+    """Events with those of a record in one partition and in order, those without a moment last, gone over as they come: no group is held whole."""
+    end = events.agg(F.unix_micros(F.max("ts")).alias("end") if until is None else F.unix_micros(F.lit(until).cast("timestamp")).alias("end")).first()["end"]
+    order = [F.col(c).asc_nulls_last() for c in ("at", "seq")]
+    rows = events.select(F.col("record").cast("long"), F.unix_micros("ts").alias("at"), F.col("seq").cast("long"), "kind", "worker", F.col("token").cast("long"))
+    schema = OUTPUT.replace("ts timestamp", "at long") if log else FINAL
+    types = [getattr(pa, ARROW[field.split(" ")[1]])() for field in schema.split(", ")]
+    names = [field.split(" ")[0] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _rows(batches, end if end is not None else 0, lease_seconds * MICROS, most, log)
+        while part := list(islice(made, GIVEN)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names)
+
+    return rows.repartition("record").sortWithinPartitions("record", *order).mapInArrow(run, schema)
+
+
 def claims_in_batch(events: DataFrame, lease_seconds: int = LEASE_SECONDS, most: int = MAX_ATTEMPTS, until: str | None = None) -> DataFrame:
     """The same log of events at hand; until: moment up to which leases that nothing followed are reaped, the last event's by default."""
-    end = events.agg(F.unix_micros(F.max("ts")).alias("end") if until is None else F.unix_micros(F.lit(until).cast("timestamp")).alias("end")).first()["end"]
-    lease = lease_seconds * MICROS
+    log = _gone_over(events, lease_seconds, most, until, log=True)
+    return log.withColumn("at", F.timestamp_micros("at")).withColumnRenamed("at", "ts")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, state = replay(_micros(iter([rows])), NEW, lease, most)
-        _until(end if end is not None else 0, state, most, out)
-        return _frame(key[0], out)
 
-    return events.groupBy("record").applyInPandas(run, OUTPUT)  # one record's events
+def states_in_batch(events: DataFrame, lease_seconds: int = LEASE_SECONDS, most: int = MAX_ATTEMPTS, until: str | None = None) -> DataFrame:
+    """record, status, worker, token, attempts after the log of claims_in_batch, and how many requests counted, where any did. No log is made."""
+    return _gone_over(events, lease_seconds, most, until, log=False)
 
 
 def final_states(log: DataFrame) -> DataFrame:

@@ -150,3 +150,43 @@ def test_windowed_counts(spark, tmp_path):
     stream = queue.windowed_counts(spark.readStream.schema(requests(spark, rows).schema).parquet(f"{tmp_path}/in"))
     stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.window.start.timestamp(), r.kind, r.n) for r in spark.table("windows").collect()) == [(0.0, "claimed", 1), (0.0, "queued", 1), (86_400.0, "queued", 1)]
+
+
+def test_batch_goes_over_sorted_events(spark):
+    rng = random.Random(2)
+    kinds = ["queued", "claimed", "claimed", "renewed", "finalised", "released"]
+    rows = [(rng.choice([5, 5, 5, *range(40), None]), rng.choice([1_700_000_000 + i * 9, None]) if i % 50 == 0 else 1_700_000_000 + i * 9, i, rng.choice(kinds), rng.choice(["a", "b", None]), rng.randrange(1, 3)) for i in range(3000)]
+    df = requests(spark, rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a record's events come in more than one batch
+    try:
+        log = claims.claims_in_batch(df, 60).localCheckpoint()
+        got = {r.record: tuple(r)[1:] for r in claims.states_in_batch(df, 60).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plan = claims.states_in_batch(df, 60)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan  # no call for each record
+    assert log.where("seq >= 0").count() == len(rows)
+    for record in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == record), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        out, state = [], claims.NEW
+        counted = 0
+        for _, s, _, kind, worker, token in own:
+            at = None if s is None else s * claims.MICROS
+            state = claims._until(at, state, claims.MAX_ATTEMPTS, out)
+            state, good = claims.step(state, kind, at, worker, token, 60 * claims.MICROS, claims.MAX_ATTEMPTS)
+            counted += good
+        state = claims._until(max(r[1] or 0 for r in rows) * claims.MICROS, state, claims.MAX_ATTEMPTS, out)
+        assert got.get(record) == ((*state[:4], counted) if counted else None)
+        assert log.where(F.col("record").eqNullSafe(F.lit(record)) & F.col("accepted") & (F.col("kind") != "reaped")).count() == counted
+
+
+def test_batch_knows_no_time_zone(spark):
+    rows = [(1, 1_700_000_000, 0, "queued", None, None), (1, 1_700_000_010, 1, "claimed", "a", None), (2, 1_700_000_300, 2, "queued", None, None)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")  # shows moments hours later than UTC
+    try:
+        got = {r.seq: r.at for r in claims.claims_in_batch(requests(spark, rows)).select("seq", F.unix_seconds("ts").alias("at")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == {0: 1_700_000_000, 1: 1_700_000_010, 2: 1_700_000_300, claims.REAPED_SEQ: 1_700_000_070}
