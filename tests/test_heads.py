@@ -64,7 +64,7 @@ def test_rows_of_texts(spark):
 
 
 def test_words_of_texts_once(spark):
-    data = [(1, "p", "Alpha beta beta NOx"), (2, "q", "gamma  nitrogen\noxides, alpha alpha"), (3, "p", "nitrogen and oxides ab"), (4, "q", None), (5, "p", ""), (6, "q", "pm2.5 alpha gamma new source")]
+    data = [(1, "p", "Alpha beta beta NOx"), (2, "q", "gamma  nitrogen\noxides, alpha alpha"), (3, "p", "nitrogen and oxides ab"), (4, "q", None), (5, "p", ""), (6, "q", "pm2.5 alpha gamma new source"), (7, "p", "K\u212aLM \u0130stanbul stra\u00dfe\u00e9tude \u4e2d\u6587abc a\x1fb\u2028nox")]
     docs = spark.createDataFrame(data, "doc long, label string, text string")
     words = priors.word_counts(docs, ["doc", "label"])
     got = {r.doc: r for r in words.collect()}
@@ -74,8 +74,8 @@ def test_words_of_texts_once(spark):
     assert {"nitrogenoxides", "oxides"} <= set(got[1].more) and got[3].more in (None, [])
     terms = spark.createDataFrame([("alpha", 3), ("beta", 1), ("gamma", 2)], "token string, df long")
     labelled = docs.withColumn("labels", F.array("label"))
-    plain = {r.doc: r for r in heads.rows_for(priors.tfidf(docs, terms, F.lit(6)), terms, labelled, ["p", "q"]).collect()}
-    rows = heads.rows_of_words(words.withColumn("labels", F.array("label")), terms, 6, ["p", "q"])
+    plain = {r.doc: r for r in heads.rows_for(priors.tfidf(docs, terms, F.lit(7)), terms, labelled, ["p", "q"]).collect()}
+    rows = heads.rows_of_words(words.withColumn("labels", F.array("label")), terms, 7, ["p", "q"])
     for r in rows.collect():
         assert (r.places, r.y) == (plain[r.doc].places, plain[r.doc].y) and np.allclose(r["values"], plain[r.doc]["values"], atol=1e-12)
     both = heads.fit_kinds(rows, 3, ["p", "q"], epochs=3, hidden=4)
