@@ -14,22 +14,43 @@ ANALYSIS = "outcome string, confidence double, rationale string, citations array
 
 def quote_verdict(content: Column, quote: Column) -> Column:
     """not_retrieved, too_short or not_found of a cited quote; null if it is in its source."""
-    q, c = squeezed(quote), squeezed(content)
-    return F.when(content.isNull(), "citation_not_retrieved").when(F.length(q) < MIN_QUOTE_CHARS, "citation_quote_too_short").when(~holds_quote(c, q), "citation_quote_not_found")
+    return _verdict(squeezed(content), quote)
 
 
-def checked_citations(citations: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
-    """citations (case_id, ord, keys, ref, quote) with code (null if accepted): one left join by the keys and case."""
-    joined = citations.join(sources.select("case_id", *keys, "content"), ["case_id", *keys], "left")
-    return joined.withColumn("code", quote_verdict(F.col("content"), F.col("quote"))).drop("content")
+def _verdict(clean: Column, quote: Column) -> Column:
+    q = squeezed(quote)
+    return F.when(clean.isNull(), "citation_not_retrieved").when(F.length(q) < MIN_QUOTE_CHARS, "citation_quote_too_short").when(~holds_quote(clean, q), "citation_quote_not_found")
 
 
-def errors(outputs: DataFrame, citations: DataFrame, sources: DataFrame, keys: list[str], text: str = "rationale", prefix: str = "rationale", threshold: float | None = None) -> DataFrame:
+def with_text(rows: DataFrame, texts: DataFrame, column: str, by: str) -> DataFrame:
+    """rows (text_key, copies) with a column of their texts (text_key, copies), null where there is none; a text's rows are dealt over its copies by a column.
+
+    Rows without a text are dealt over all tasks.
+    """
+    spread = F.xxhash64(by)
+    dealt = rows.withColumn("_copy", F.coalesce(F.pmod(spread, F.col("copies")), spread))
+    copied = texts.select("text_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("_copy"), column)
+    return dealt.join(copied, ["text_key", "_copy"], "left").drop("_copy", "text_key", "copies")
+
+
+def checked_citations(citations: DataFrame, sources: DataFrame, keys: list[str], texts: DataFrame | None = None) -> DataFrame:
+    """citations (case_id, ord, keys, ref, quote) with code (null if accepted): one left join by the keys and case.
+
+    texts (text_key, copies, clean): the sources' squeezed texts, where sources hold text_key and copies instead of a content.
+    """
+    if texts is None:
+        joined = citations.join(sources.select("case_id", *keys, "content"), ["case_id", *keys], "left")
+        return joined.withColumn("code", quote_verdict(F.col("content"), F.col("quote"))).drop("content")
+    joined = with_text(citations.join(sources.select("case_id", *keys, "text_key", "copies"), ["case_id", *keys], "left"), texts, "clean", "case_id")
+    return joined.withColumn("code", _verdict(F.col("clean"), F.col("quote"))).drop("clean")
+
+
+def errors(outputs: DataFrame, citations: DataFrame, sources: DataFrame, keys: list[str], text: str = "rationale", prefix: str = "rationale", threshold: float | None = None, texts: DataFrame | None = None) -> DataFrame:
     """case_id, errors in order: low confidence, citations in their order, uncited claims in theirs.
 
-    Only quotes that were accepted support a claim.
+    Only quotes that were accepted support a claim. texts: as for checked_citations.
     """
-    cited = checked_citations(citations, sources, keys).withColumn("error", F.when(F.col("code").isNotNull(), F.concat_ws(":", "code", F.col("ref").cast("string"))))
+    cited = checked_citations(citations, sources, keys, texts).withColumn("error", F.when(F.col("code").isNotNull(), F.concat_ws(":", "code", F.col("ref").cast("string"))))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("ord", "error", F.when(F.col("code").isNull(), squeezed(F.col("quote"))).alias("quote")))), lambda x: x)
     per = cited.groupBy("case_id").agg(in_order.alias("c"))  # the citations of one output
     rows = outputs.join(per, "case_id", "left").withColumn("claims", temporal_claims(F.col(text)))
@@ -51,8 +72,9 @@ def parsed_output(text: Column) -> Column:
 
 
 def deterministic_answers(questions: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Answer that quotes the first source; unsupported without one. ranked: (query_id, rank, name, section_ref, text)."""
-    first = ranked.where("rank = 1").select("query_id", "name", "section_ref", leading_passage(F.col("text")).alias("quote"))
+    """Answer that quotes the first source; unsupported without one. ranked: (query_id, rank, name, section_ref, text), or with the text's leading passage as quote."""
+    quote = F.col("quote") if "quote" in ranked.columns else leading_passage(F.col("text")).alias("quote")
+    first = ranked.where("rank = 1").select("query_id", "name", "section_ref", quote)
     rows = questions.join(first, "query_id", "left")
     return rows.select("query_id", F.col("quote").isNotNull().alias("supported"), "name", "section_ref", "quote", F.when(F.col("quote").isNotNull(), F.lit(0.65)).otherwise(0.0).alias("confidence"))
 

@@ -18,7 +18,7 @@ ABSENT = "these words are certainly in no source of this case"
 
 
 def _quote(content: str) -> str:
-    text = " ".join(content.split())
+    text = " ".join(content.split(None, 241)[:241])  # longer than 240 if the content's is
     return text if len(text) <= 240 else text[:240].rsplit(" ", 1)[0]
 
 
@@ -38,13 +38,14 @@ def _analyst() -> attempts.Provider:
     return answer
 
 
-def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Users' turns as cases, and the best policy in force for each as its source."""
+def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Users' turns as cases, the best policy in force for each as its source, and the policies' texts."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     asked = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 365).cast("int")).alias("as_of"))
     w = whole(spark, sf_dir)
-    best = retrieval.keyword(asked, w, 1).select("query_id", "rank", "policy_id", "section_ref").join(w.select("policy_id", "text"), "policy_id")
-    return asked, best.select(F.col("query_id").alias("case_id"), "rank", F.col("policy_id").cast("string").alias("policy_id"), F.lit(1).alias("policy_version"), "section_ref", F.col("text").alias("content"))
+    policy = F.col("policy_id").cast("string")
+    best = retrieval.keyword(asked, w, 1).select(F.col("query_id").alias("case_id"), "rank", policy.alias("policy_id"), F.lit(1).alias("policy_version"), "section_ref", policy.alias("text_key"))
+    return asked, best, w.select(policy.alias("text_key"), F.col("text").alias("content"))
 
 
 _ASKED = "asked AS (SELECT conv_id * 1000 + turn AS query_id, text, DATE '2024-01-01' + CAST(conv_id % 365 AS INTEGER) AS as_of FROM conversations WHERE role = 'user'),"
@@ -66,8 +67,8 @@ SELECT query_id AS case_id, CASE WHEN ref IS NOT NULL AND kind = 4 THEN 'FAILED'
   array_to_string(list_append(list_transform(range(attempts), lambda i: 'analysis_attempted'), CASE WHEN ref IS NOT NULL AND kind = 4 THEN 'analysis_failed' ELSE 'analysis_completed' END), ',') AS events FROM e""")
 def case_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' turns as cases, looked at in at most two rounds with feedback; what they end with."""
-    asked, sources = _cases(spark, sf_dir)
-    out = attempts.analyse_cases(asked.withColumnRenamed("query_id", "case_id"), sources, _analyst)
+    asked, sources, texts = _cases(spark, sf_dir)
+    out = attempts.analyse_cases(asked.withColumnRenamed("query_id", "case_id"), sources, _analyst, texts=texts)
     return out.select("case_id", "status", "error_code", F.array_join("validation_errors", "|").alias("findings"), "provider_attempts", F.array_join("audit_events", ",").alias("events"))
 
 
@@ -99,7 +100,7 @@ SELECT query_id AS case_id, CASE WHEN quote IS NOT NULL AND kind = 6 THEN 'FAILE
   CASE WHEN kind <> 6 AND len(found) = 0 THEN quote END AS quote FROM e""")
 def question_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' turns as questions, answered in at most two rounds with feedback."""
-    asked, sources = _cases(spark, sf_dir)
-    given = sources.select("case_id", F.col("rank").alias("source"), "content")
-    out = attempts.answer_questions(asked.withColumnRenamed("query_id", "case_id"), given, _answerer)
+    asked, sources, texts = _cases(spark, sf_dir)
+    given = sources.select("case_id", F.col("rank").alias("source"), "text_key")
+    out = attempts.answer_questions(asked.withColumnRenamed("query_id", "case_id"), given, _answerer, texts=texts)
     return out.select("case_id", "status", "error_code", F.array_join("validation_errors", "|").alias("findings"), "provider_attempts", F.get("citations", F.lit(0))["quote"].alias("quote"))

@@ -258,3 +258,34 @@ def test_embedder_runs_once_for_what_is_missing(spark, tmp_path):
     q = spark.createDataFrame([(1, "one two", date(2026, 1, 1))], "query_id int, text string, as_of date")
     found = retrieval.vector_scores(embedding.query_vectors(q, make), sections.select(F.col("section_id")).join(embedding.filled(sections, stored.limit(0), make, "m@1"), "section_id"))
     assert max(found.collect(), key=lambda r: r.score).section_id in (6, 8)
+
+
+@pytest.mark.parametrize("kind", ["cases", "questions"])
+def test_a_text_is_written_once_for_all_its_rows(spark, monkeypatch, kind):
+    monkeypatch.setattr(attempts, "SHARING", 3)  # so that a text has copies
+    written, save = {}, attempts.Tables.save
+    monkeypatch.setattr(attempts.Tables, "save", lambda self, df, name, by=None: written.setdefault(name, save(self, df, name, by)))
+    ids = spark.range(20).select(F.col("id").alias("case_id"), F.lit("Filing.").alias("text"))
+    texts = spark.createDataFrame([("a", REPORTING), ("b", RETENTION), ("unused", "x")], "text_key string, content string")
+    key = F.when(F.col("case_id") < 15, "a").otherwise("b").alias("text_key")
+    known = {"a": REPORTING, "b": RETENTION}
+
+    def make():
+        def provide(request):
+            (source,) = request["sources"]
+            assert source["content"] == known["a" if request["id"] < 15 else "b"]
+            return output(quote=REPORTING) if kind == "cases" else json.dumps({"supported": True, "answer": "So.", "citations": [{"source": 1, "quote": REPORTING}]})
+
+        return provide
+
+    if kind == "cases":
+        sources = ids.where("case_id < 19").select("case_id", F.lit(0).alias("rank"), F.lit("p1").alias("policy_id"), F.lit(1).alias("policy_version"), F.lit("s").alias("section_ref"), key)
+        got = attempts.analyse_cases(ids, sources, make, texts=texts)
+    else:
+        got = attempts.answer_questions(ids, ids.where("case_id < 19").select("case_id", F.lit(1).alias("source"), key), make, texts=texts)
+    rows = {r.case_id: r for r in got.collect()}
+    assert len(rows) == 20 and rows[19].validation_errors == ["no_relevant_source"]
+    assert all(not rows[i].validation_errors and rows[i].provider_attempts == 1 for i in range(15))
+    assert all(rows[i].validation_errors[0].startswith("citation_quote_not_found") and rows[i].provider_attempts == 2 for i in range(15, 19))
+    assert [n for n, df in written.items() if "content" in df.columns] == ["texts"]
+    assert {r.text_key: r.copies for r in written["texts"].collect()} == {"a": 5, "b": 2}
