@@ -128,3 +128,16 @@ def test_benchmark_basis_is_fitted_without_a_sample_of_documents(spark, monkeypa
     found = decontaminate.contamination(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).where("contaminated").collect()
     assert [(r.doc_id, r.item_id) for r in found] == [(90, 5)]
     assert fitted == [item]
+
+
+@pytest.mark.parametrize("blocks", [{}, {"SINGLE": 40, "RICH": 3, "RARE": 1, "PAIRS": 16}, {"RICH": 0, "RARE": 9}])
+def test_the_best_row_alone_is_found_by_rarest_words(spark, monkeypatch, blocks):
+    for name, value in {"ASKED": 1, **blocks}.items():
+        monkeypatch.setattr(best, name, value)
+    seen, first = [], best.first_by_keywords
+    monkeypatch.setattr(best, "first_by_keywords", lambda *a: seen.append(first(*a)) or seen[-1])
+    rng = random.Random(5)
+    rows, asked = _sections(spark, rng), _asked(spark, rng)
+    plain = lambda df: {tuple(r) for r in df.drop("policy_id").collect()}  # noqa: E731  # names repeat, so that ties of all else are open
+    assert plain(retrieval.keyword(asked, rows, 1)) == plain(retrieval.top(retrieval.keyword_scores(asked, rows), 1))
+    assert len(seen) == 1  # many queries take this way
